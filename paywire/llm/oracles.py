@@ -1,3 +1,79 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _fit(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_LONG = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz')"
+
+
+def _last(n: int) -> str:
+    return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+
+def _moments(name: str, level: str) -> str:
+    return f"""{name} AS (
+  SELECT m, least(greatest(m * (1 - m) / greatest(sq / n - m * m - m * (1 - m) * k / n, 1e-9) - 1, 1.0), 1000.0) AS s
+  FROM (SELECT sum(bad)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS n, count(*) AS k, sum(n * (bad / n) * (bad / n)) AS sq FROM {level}))"""
+
+
+ORACLE_SQL["op2_url_reputation"] = f"""
+WITH seen AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+outcomes AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, CASE WHEN {_last(2)} IN {_LONG} THEN {_last(3)} ELSE {_last(2)} END AS domain,
+         CASE WHEN {_last(2)} IN {_LONG} THEN {_last(2)} ELSE {_last(1)} END AS suffix, count(*) AS n, sum(bad)::BIGINT AS bad
+  FROM seen JOIN outcomes USING (page_id) GROUP BY host),
+domains AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),
+{_moments("ms", "suffixes")}, {_moments("md", "domains")}, {_moments("mh", "hosts")},
+up1 AS (SELECT suffix, (bad + s * m) / (n + s) AS m1 FROM suffixes, ms),
+up2 AS (SELECT suffix, domain, (bad + s * m1) / (n + s) AS m2 FROM domains JOIN up1 USING (suffix), md),
+post AS (SELECT host, n, (bad + s * m2) / (n + s) AS p, n + s AS w FROM hosts JOIN up2 USING (suffix, domain), mh),
+judged AS (SELECT host, n, p - 1.645 * sqrt(p * (1 - p) / (w + 1)) > 0.2 AS bad FROM post)
+SELECT page_id, host, path,
+  CASE WHEN {_fit("example.com", "/en/7")} THEN 'example.com/en/7' WHEN {_fit("example.net", "/de/8")} THEN 'example.net/de/8'
+       WHEN {_fit("com", "/en/")} THEN 'com/en/' WHEN {_fit("net", "/de/")} THEN 'net/de/' WHEN {_fit("org", "/es/")} THEN 'org/es/' END AS rule,
+  CASE WHEN {_fit("example.com", "/en/7")} THEN 'allow' WHEN {_fit("example.net", "/de/8")} THEN 'block'
+       WHEN {_fit("com", "/en/")} THEN 'block' WHEN {_fit("net", "/de/")} THEN 'allow' WHEN {_fit("org", "/es/")} THEN 'block'
+       WHEN coalesce(bad, false) THEN 'block' ELSE 'allow' END AS verdict,
+  coalesce(n, 0)::BIGINT AS n_labelled
+FROM seen LEFT JOIN judged USING (host)
+"""
+
+_W4 = _LOWER.format("text")
+_WORD4 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE_SQL["op4_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_W4}, {_WORD4}) AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_W4}, {_WORD4}) AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT l FROM phrases),
+windows AS (
+  SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS p
+  FROM (SELECT r, w, l, unnest(generate_series(1, len(w) - l + 1)) AS i FROM d, lengths WHERE len(w) >= l)),
+found AS (SELECT r, i, windows.l, item_id FROM windows JOIN phrases ON windows.l = phrases.l AND windows.p = phrases.p),
+hit AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(generate_series(i, i + l - 1)) AS k FROM (SELECT DISTINCT r, i, l FROM found)) GROUP BY r),
+its AS (SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM found) GROUP BY r)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+_NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
+
+ORACLE_SQL["op8_exact_dedup"] = f"""
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256({_NORM}) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY {_NORM})
+"""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paywire.llm import common, token_ids
+from paywire.llm import common, decontaminate, exact_dedup, token_ids, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,3 +24,38 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/paywire-tokens-{uuid.uuid4().hex}"
     token_ids.write_token_file(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_ids.read_token_file(spark, path)
+
+
+URL_RULES = [
+    url_reputation.Rule("block", "com", "/en/"),
+    url_reputation.Rule("allow", "example.com", "/en/7"),
+    url_reputation.Rule("allow", "net", "/de/"),
+    url_reputation.Rule("block", "example.net", "/de/8"),
+    url_reputation.Rule("block", "org", "/es/"),
+]
+
+
+@query
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synthetic labels name ids only: page n takes the outcome of label row n, bad where its quality is 0."""
+    outcomes = common.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_reputation.judge_urls(common.table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = decontaminate.n_hit_words()
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_report(common.table(spark, sf_dir, "documents"))
