@@ -77,3 +77,16 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256({_NORM}) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY {_NORM})
 """
+
+ORACLE_SQL["op9_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_W4}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach AS (SELECT a AS v, b AS r FROM links UNION SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.r, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m.r, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v AS doc_id, min(r) AS r FROM reach GROUP BY v) m USING (doc_id)
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywire.llm import common, decontaminate, exact_dedup, token_ids, url_reputation
+from paywire.llm import common, decontaminate, exact_dedup, near_dedup, token_ids, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,3 +59,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.tagged(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicate_report(rows).drop("_tag")
