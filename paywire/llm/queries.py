@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywire.llm import common, decontaminate, exact_dedup, near_dedup, token_ids, url_reputation
+from paywire.llm import common, decontaminate, exact_dedup, langid, near_dedup, packing, quality, token_ids, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +65,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.tagged(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return near_dedup.near_duplicate_report(rows).drop("_tag")
+
+
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.id_bucket("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.id_bucket("doc_id", 3) == 1
+    net = quality.fit(docs, labels.where(~held_out))
+    scored = quality.with_scores(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
