@@ -1,8 +1,56 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: quality, exact and near duplicates, contamination, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns a DataFrame; run() writes each result as Parquet in the shared folder and
+reads it again.  All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from paywire.llm import common, decontaminate, exact_dedup, near_dedup, packing, quality
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go.  It learns from the labels that the query op10_quality learns from."""
+    labels = common.table(spark, sf_dir, "labels")
+    net = quality.fit(docs, labels.where(common.id_bucket("doc_id", 3) != 1))
+    return quality.keep_good(docs, net)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.near_deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; the others stay as they are."""
+    return decontaminate.remove_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = common.saved(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

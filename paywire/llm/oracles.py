@@ -90,3 +90,16 @@ reach AS (SELECT a AS v, b AS r FROM links UNION SELECT reach.v, links.b FROM re
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.r, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m.r, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v AS doc_id, min(r) AS r FROM reach GROUP BY v) m USING (doc_id)
 """
+
+ORACLE_SQL["op6_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (SELECT *, replace(replace(replace(text, '\', '\\'), '[', '\['), '<', '\<') AS e FROM rows)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('[INST:') + length(role) + 2 + length(e) + length('[/INST]</s>') + 1)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

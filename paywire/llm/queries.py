@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywire.llm import common, decontaminate, exact_dedup, langid, near_dedup, packing, quality, token_ids, url_reputation
+from paywire.llm import chat, common, decontaminate, exact_dedup, hmm_lm, langid, near_dedup, packing, quality, token_ids, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,3 +88,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.fit(docs, labels.where(~held_out))
     scored = quality.with_scores(docs.select("doc_id", "text"), net)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and -7, whose texts look like template marks."""
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    messages = rows.select("conv_id", "turn", "role", chat.text_parts(F.coalesce("text", F.lit(""))).alias("content"))
+    return chat.digests(chat.format_conversations(messages))
+
+
+@query
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_documents(common.table(spark, sf_dir, "documents"), common.id_bucket("doc_id", 5) == 1)
