@@ -5,8 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # The fields of ISO 8583:1987 as number, type (n digits, a letters, s special, b bytes, z track and mixes),
 # length (a number: fixed; ..n: two-digit length up to n; ...n: three-digit length up to n) and name.
@@ -180,11 +179,9 @@ class FieldSpec:
         make = cls.extending if raw.get("extends_builtin", True) else cls.closed
         return make(raw.get("name", ""), own)
 
-    def literal(self) -> Column:
-        """array<struct<prefix, size, numeric>> by number - 1; NULL where a field is unknown."""
-        one = lambda d: F.struct(F.lit(d.prefix).alias("prefix"), F.lit(d.size).alias("size"), F.lit(d.kind == "n").alias("numeric"))
-        none = F.lit(None).cast("struct<prefix:int,size:int,numeric:boolean>")
-        return F.array(*(one(self.fields[n]) if n in self.fields else none for n in range(1, 129)))
+    def by_number(self) -> list[tuple[int, int, bool] | None]:
+        """(prefix digits, size, numeric) by number, None where a field is unknown."""
+        return [(d.prefix, d.size, d.kind == "n") if (d := self.fields.get(n)) else None for n in range(129)]
 
     def table(self, spark: SparkSession) -> DataFrame:
         """number, type, prefix, size, name: 128 rows at most, so a broadcast of it is bounded."""

@@ -1,4 +1,8 @@
-"""ISO 8583 messages in three wire dialects, as column expressions.
+"""ISO 8583 messages in three wire dialects.
+
+Parsing and building walk a cursor over bytes, which higher-order functions can
+express but only interpret (measured at over 50 times the cost), so these two run
+over Arrow batches; all that follows from a parsed message is column expressions.
 
 hybrid: ASCII digits and lengths with a raw bitmap; ascii: the bitmap as hex
 characters too; binary: packed-decimal type, lengths and numeric fields.  A parsed
@@ -8,17 +12,20 @@ message has an error and no job fails.  NULL bytes give a NULL message.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywire.functions import wire as rows
 from paywire.functions.bytesx import printable, to_hex
 from paywire.operators.fieldspec import FieldSpec
 
-DIALECTS = ("hybrid", "ascii", "binary")  # in the order in which a message is tried
+DIALECTS = rows.DIALECTS
 ERROR = "struct<code:string,field:int,offset:int>"
 FIELDS = "array<struct<number:int,value:binary>>"
 MESSAGE = f"struct<mti:string,dialect:string,fields:{FIELDS},error:{ERROR}>"
-_STATE = f"struct<at:int,done:array<struct<number:int,hex:string>>,error:{ERROR}>"
+_FIELD = pa.struct([("number", pa.int32()), ("value", pa.binary())])
+_ERROR = pa.struct([("code", pa.string()), ("field", pa.int32()), ("offset", pa.int32())])
 
 
 def _once(value: Column, use) -> Column:
@@ -26,11 +33,6 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _error(code: str, field: Column | None = None, offset: Column | int | None = None) -> Column:
-    as_int = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
-    return F.struct(F.lit(code).alias("code"), as_int(field).alias("field"), as_int(offset).alias("offset")).cast(ERROR)
-
-
 def bits_of_hex(bitmap: Column) -> Column:
     """'0' and '1' characters of a hex text of 16 or 32 digits."""
     quarter = lambda k: F.lpad(F.conv(F.substring(bitmap, 8 * k + 1, 8), 16, 2), 32, "0")
@@ -52,147 +54,76 @@ def bitmap_hex(numbers: Column) -> Column:
     return _once(bits, lambda b: F.concat(quarter(b, 0), quarter(b, 1), F.when(wide, F.concat(quarter(b, 2), quarter(b, 3))).otherwise(F.lit(""))))
 
 
+def _messages(wires: pa.Array, read) -> pa.Array:
+    """MESSAGE of each value by read(bytes) -> dialect, type, fields."""
+    mti, dialect, errors, numbers, values, ends, null = [], [], [], [], [], [0], []
+    for wire in wires.to_pylist():
+        null.append(wire is None)
+        try:
+            d, m, fields = read(wire) if wire is not None else (None, None, ())
+            error = None
+        except rows.Bad as bad:
+            d, m, fields, error = None, None, (), bad.error
+        dialect.append(d)
+        mti.append(m)
+        errors.append(error)
+        for number, value in fields:
+            numbers.append(number)
+            values.append(value)
+        ends.append(len(numbers))
+    missing = pa.array([x is None for x in mti], pa.bool_())
+    flat = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(values, pa.binary())], fields=list(_FIELD))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=missing)
+    kinds = [("mti", pa.string()), ("dialect", pa.string()), ("fields", pa.list_(_FIELD)), ("error", _ERROR)]
+    return pa.StructArray.from_arrays([pa.array(mti, pa.string()), pa.array(dialect, pa.string()), lists, pa.array(errors, _ERROR)], fields=[pa.field(*k) for k in kinds], mask=pa.array(null, pa.bool_()))
+
+
 def parse(wire: Column, dialect: str, spec: FieldSpec = FieldSpec()) -> Column:
     """MESSAGE of one dialect: type, bitmap, then the fields in ascending order by a moving cursor; nothing may be left over."""
-    binary, text = dialect == "binary", F.hex(wire)
-    return F.when(wire.isNotNull(), _once(text, lambda h: _parse(h, dialect, binary, spec))).cast(MESSAGE)
-
-
-def _parse(h: Column, dialect: str, binary: bool, spec: FieldSpec) -> Column:
-    size = (F.length(h) / 2).cast("int")
-    head = 2 if binary else 4
-    mti_hex = F.substring(h, 1, 2 * head)
-    mti = mti_hex if binary else F.regexp_replace(mti_hex, "3(.)", "$1")
-    mti_error = F.when(size < head, _error("InsufficientBytes", None, 0)).when(
-        ~mti_hex.rlike("^[0-9]{4}$" if binary else "^(3[0-9]){4}$"), _error("InvalidBcdNibble", None, 0) if binary else _error("InvalidMti", None, 0)
-    )
-    if dialect == "ascii":
-        shown = lambda n: F.decode(F.unhex(F.substring(h, 2 * head + 1, 2 * n)), "ISO-8859-1")
-        unit, good = 2, "^[0-9A-Fa-f]*$"
-        wide = shown(1).rlike("^[89A-Fa-f]")
-    else:
-        shown = lambda n: F.substring(h, 2 * head + 1, n)
-        unit, good = 1, "^"
-        wide = shown(1).rlike("^[89A-F]")
-    length = F.when(wide, F.lit(32)).otherwise(F.lit(16))
-    used = (length * unit / 2).cast("int")
-    raw = F.when(wide, shown(32)).otherwise(shown(16))
-    bad_hex = ~shown(2).rlike(good) if dialect == "ascii" else F.lit(False)
-    bitmap_error = (
-        F.when(size < head + 8 * unit, _error("InsufficientBytes", None, head))
-        .when(bad_hex, _error("InvalidBitmapHex", None, head))
-        .when(size < head + used, _error("InsufficientBytes", None, head))
-        .when(~raw.rlike(good), _error("InvalidBitmapHex", None, head))
-    )
-    early = F.coalesce(mti_error, bitmap_error)
-    table = spec.literal()
-
-    def walk(start: Column) -> Column:
-        zero = F.struct(start.alias("at"), F.array().cast("array<struct<number:int,hex:string>>").alias("done"), F.lit(None).cast(ERROR).alias("error")).cast(_STATE)
-        return F.aggregate(set_fields(F.upper(raw)), zero, step)
-
-    def step(state: Column, n: Column) -> Column:
-        return F.when(state["error"].isNotNull(), state).otherwise(_once(F.get(table, n - 1), lambda d: F.when(d.isNull(), stop(state, "UnknownField", n)).otherwise(sized(state, n, d)))).cast(_STATE)
-
-    def stop(state: Column, code: str, n: Column) -> Column:
-        return F.struct(state["at"].alias("at"), state["done"].alias("done"), _error(code, n, state["at"]).alias("error")).cast(_STATE)
-
-    def sized(state: Column, n: Column, d: Column) -> Column:
-        at = state["at"]
-        width = F.ceil(d["prefix"] / 2).cast("int") if binary else d["prefix"]
-        prefix = F.substring(h, 2 * at + 1, 2 * width)
-        if binary:
-            checked = F.when(~prefix.rlike("^[0-9]*$"), F.lit("InvalidBcdNibble")).when((d["prefix"] == 3) & ~prefix.startswith("0"), F.lit("InvalidLengthPrefix"))
-            digits = prefix
-        else:
-            checked = F.when(~prefix.rlike("^(3[0-9])*$"), F.lit("InvalidLengthPrefix"))
-            digits = F.regexp_replace(prefix, "3(.)", "$1")
-        wrong = F.when(at + width > size, F.lit("InsufficientBytes")).otherwise(checked)
-        count = F.when(d["prefix"] == 0, d["size"]).when(wrong.isNull(), digits.try_cast("int"))
-        looked = F.struct(wrong.alias("wrong"), count.alias("count"), (at + width).alias("at"))
-
-        def valued(x: Column) -> Column:
-            count, begin = x["count"], x["at"]
-            taken = F.when(d["numeric"], F.ceil(count / 2).cast("int")).otherwise(count) if binary else count
-            value = F.substring(h, 2 * begin + 1, 2 * taken)
-            if binary:
-                packed = F.when(d["numeric"], ~value.rlike("^[0-9]*$") | (count % 2 == 1) & ~value.startswith("0")).otherwise(F.lit(False))
-                plain = F.when(d["numeric"], F.hex(F.encode(F.substring(value, 1 + count % 2, count), "US-ASCII"))).otherwise(value)
-            else:
-                packed, plain = F.lit(False), value
-            code = (
-                F.when(x["wrong"].isNotNull(), x["wrong"])
-                .when(count > d["size"], F.lit("LengthExceedsMax"))
-                .when(begin + taken > size, F.lit("InsufficientBytes"))
-                .when(packed, F.lit("InvalidBcdNibble"))
-            )
-            failed = F.when(code.isNotNull(), F.struct(code.alias("code"), n.cast("int").alias("field"), begin.cast("int").alias("offset")).cast(ERROR))
-            item = F.struct(n.cast("int").alias("number"), plain.alias("hex"))
-            return F.struct((begin + taken).alias("at"), F.when(code.isNull(), F.concat(state["done"], F.array(item))).otherwise(state["done"]).alias("done"), failed.alias("error")).cast(_STATE)
-
-        return _once(looked, valued)
-
-    def finished(state: Column) -> Column:
-        left = F.when(state["at"] != size, _error("TrailingBytes", None, state["at"]))
-        error = F.coalesce(state["error"], left)
-        fields = F.transform(state["done"], lambda f: F.struct(f["number"].alias("number"), F.unhex(f["hex"]).alias("value")))
-        return F.struct(F.when(error.isNull(), mti).alias("mti"), F.lit(dialect).alias("dialect"), F.when(error.isNull(), fields).alias("fields"), error.alias("error")).cast(MESSAGE)
-
-    failed = F.struct(F.lit(None).cast("string").alias("mti"), F.lit(dialect).alias("dialect"), F.lit(None).cast(FIELDS).alias("fields"), early.alias("error")).cast(MESSAGE)
-    return F.when(early.isNotNull(), failed).otherwise(_once(walk(F.lit(head) + used), finished))
+    table = spec.by_number()
+
+    @F.arrow_udf(MESSAGE)
+    def parsed(wires: pa.Array) -> pa.Array:
+        return _messages(wires, lambda data: (dialect, *rows.parse(data, dialect, table)))
+
+    return parsed(wire)
 
 
 def sniff(wire: Column, spec: FieldSpec = FieldSpec()) -> Column:
     """The first dialect that takes all bytes; else the error of the first dialect.  Later ones are tried only where needed."""
+    table = spec.by_number()
+
+    @F.arrow_udf(MESSAGE)
+    def sniffed(wires: pa.Array) -> pa.Array:
+        return _messages(wires, lambda data: rows.sniff(data, table))
 
-    def after(first: Column) -> Column:
-        last = _once(parse(wire, "binary", spec), lambda b: F.when(b["error"].isNull(), b).otherwise(first))
-        then = _once(parse(wire, "ascii", spec), lambda a: F.when(a["error"].isNull(), a).otherwise(last))
-        return F.when(first["error"].isNull(), first).otherwise(then)
-
-    return F.when(wire.isNotNull(), _once(parse(wire, "hybrid", spec), after))
-
-
-def build(mti: Column, fields: Column, dialect: str = "hybrid", spec: FieldSpec = FieldSpec()) -> Column:
-    """struct<wire binary, error>: everything is checked before a byte is written.  fields: FIELDS, any order; of repeated numbers the last counts."""
-    binary, table = dialect == "binary", spec.literal()
-
-    def written(sorted_fields: Column) -> Column:
-        def fault(f: Column) -> Column:
-            d, n = F.get(table, f["number"] - 1), F.octet_length(f["value"])
-            code = (
-                F.when(~f["number"].between(2, 128), F.lit("InvalidFieldNumber"))
-                .when(d.isNull(), F.lit("UnknownField"))
-                .when((d["prefix"] == 0) & (n != d["size"]), F.lit("FixedLengthMismatch"))
-                .when((d["prefix"] > 0) & (n > d["size"]), F.lit("LengthExceedsMax"))
-            )
-            if binary:
-                code = code.when(d["numeric"] & ~F.hex(f["value"]).rlike("^(3[0-9])*$"), F.lit("InvalidBcdDigit"))
-            return F.when(code.isNotNull(), F.struct(code.alias("code"), f["number"].alias("field"), F.lit(None).cast("int").alias("offset")).cast(ERROR))
-
-        def payload(f: Column) -> Column:
-            d, n, h = F.get(table, f["number"] - 1), F.octet_length(f["value"]).cast("string"), F.hex(f["value"])
-            if binary:
-                digits = F.regexp_replace(h, "3(.)", "$1")
-                size = F.when(d["prefix"] == 0, F.lit("")).when(d["prefix"] == 2, F.lpad(n, 2, "0")).otherwise(F.lpad(n, 4, "0"))
-                h = F.when(d["numeric"], F.concat(F.when(F.length(digits) % 2 == 1, F.lit("0")).otherwise(F.lit("")), digits)).otherwise(h)
-            else:
-                two = F.hex(F.encode(F.lpad(n, 2, "0"), "US-ASCII"))
-                three = F.hex(F.encode(F.lpad(n, 3, "0"), "US-ASCII"))
-                size = F.when(d["prefix"] == 0, F.lit("")).when(d["prefix"] == 2, two).otherwise(three)
-            return F.concat(size, h)
-
-        faults = F.filter(F.transform(sorted_fields, fault), lambda e: e.isNotNull())
-        error = F.when(~mti.rlike("^[0-9]{4}$") | mti.isNull(), _error("InvalidMti")).otherwise(F.get(faults, 0))
-        bitmap = bitmap_hex(F.transform(sorted_fields, lambda f: f["number"]))
-        head = mti if binary else F.hex(F.encode(mti, "US-ASCII"))
-        if dialect == "ascii":
-            bitmap = F.hex(F.encode(bitmap, "US-ASCII"))
-        wire = F.unhex(F.concat(head, bitmap, F.array_join(F.transform(sorted_fields, payload), "")))
-        return F.struct(F.when(error.isNull(), wire).alias("wire"), error.alias("error"))
-
-    last = F.aggregate(fields, F.array().cast(FIELDS), lambda done, f: F.concat(F.filter(done, lambda x: x["number"] != f["number"]), F.array(F.struct(f["number"].cast("int").alias("number"), f["value"].alias("value")))))
-    return _once(F.array_sort(last), written)
+    return sniffed(wire)
+
+
+def build(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: FieldSpec = FieldSpec()) -> Column:
+    """struct<wire binary, error>: everything is checked before a byte is written.  fields: FIELDS, any order; of repeated numbers the last counts.
+
+    NULL fields are no fields; dialect may be a column.
+    """
+    table = spec.by_number()
+
+    @F.arrow_udf(f"struct<wire:binary,error:{ERROR}>")
+    def built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array) -> pa.Array:
+        ends = lists.offsets.to_pylist()
+        flat = lists.values
+        numbers, values = flat.field("number").to_pylist(), flat.field("value").to_pylist()
+        wires, errors = [], []
+        for i, (m, d) in enumerate(zip(mtis.to_pylist(), dialects.to_pylist(), strict=True)):
+            own = slice(ends[i], ends[i + 1]) if lists[i].is_valid else slice(0, 0)
+            try:
+                wires.append(rows.build(m, dict(zip(numbers[own], values[own], strict=True)), d, table))
+                errors.append(None)
+            except rows.Bad as bad:
+                wires.append(None)
+                errors.append(bad.error)
+        return pa.StructArray.from_arrays([pa.array(wires, pa.binary()), pa.array(errors, _ERROR)], fields=[pa.field("wire", pa.binary()), pa.field("error", _ERROR)])
+
+    return built(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
 
 
 def field(message: Column, number: int) -> Column:
@@ -233,22 +164,39 @@ def decode_mti(mti: Column) -> Column:
     return F.when(mti.rlike("^[0-9]{4}$"), parts)
 
 
-def round_trip(wire: Column, same_dialect: bool = False, spec: FieldSpec = FieldSpec()) -> Column:
-    """struct<ok, offsets array<int> (at most 8 places that differ), lengths_differ, error>: parse any dialect, build, compare.
+def round_trip(df: DataFrame, wire: str, same_dialect: bool = False, spec: FieldSpec = FieldSpec()) -> DataFrame:
+    """df with `trip`: struct<ok, offsets array<int> (at most 8 places that differ), lengths_differ, error>.
 
-    It builds the hybrid dialect, so other valid dialects are reported as not ok; same_dialect compares like with like.
+    It parses any dialect and builds the hybrid one, so other valid dialects are
+    reported as not ok; same_dialect compares like with like.
     """
-
-    def rebuilt(m: Column) -> Column:
-        made = build(m["mti"], m["fields"], "hybrid", spec)["wire"]
-        if same_dialect:
-            made = F.when(m["dialect"] == "hybrid", made).when(m["dialect"] == "ascii", build(m["mti"], m["fields"], "ascii", spec)["wire"]).otherwise(build(m["mti"], m["fields"], "binary", spec)["wire"])
-        return _once(made, lambda x: compared(x, m))
-
-    def compared(made: Column, m: Column) -> Column:
-        a, b = F.hex(wire), F.hex(made)
-        n = F.least(F.octet_length(wire), F.octet_length(made))
-        differ = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, 2 * i + 1, F.lit(2)) != F.substring(b, 2 * i + 1, F.lit(2)))
-        return F.struct((wire == made).alias("ok"), F.slice(differ, 1, 8).alias("offsets"), (F.octet_length(wire) != F.octet_length(made)).alias("lengths_differ"), m["error"].alias("error"))
-
-    return _once(sniff(wire, spec), lambda m: F.when(m["error"].isNull(), rebuilt(m)).otherwise(F.struct(F.lit(False).alias("ok"), F.lit(None).cast("array<int>").alias("offsets"), F.lit(None).cast("boolean").alias("lengths_differ"), m["error"].alias("error"))))
+    parsed = df.withColumn("_m", sniff(F.col(wire), spec))
+    m = F.col("_m")
+    made = build(m["mti"], m["fields"], m["dialect"] if same_dialect else "hybrid", spec)["wire"]
+    both = parsed.withColumn("_made", F.when(m["error"].isNull(), made))
+    a, b = F.hex(wire), F.hex("_made")
+    n = F.least(F.octet_length(wire), F.octet_length("_made"))
+    differ = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, 2 * i + 1, F.lit(2)) != F.substring(b, 2 * i + 1, F.lit(2)))
+    same = F.col(wire).eqNullSafe(F.col("_made")) & m["error"].isNull()
+    offsets = F.when(same, F.array().cast("array<int>")).otherwise(F.slice(differ, 1, 8))
+    trip = F.struct(same.alias("ok"), offsets.alias("offsets"), (F.octet_length(wire) != F.octet_length("_made")).alias("lengths_differ"), m["error"].alias("error"))
+    return both.withColumn("trip", trip).drop("_m", "_made")
+
+
+def parse_any_of(wire: Column, dialect: Column, spec: FieldSpec = FieldSpec()) -> Column:
+    """parse() where each row names its dialect; NULL for a NULL in either."""
+    table = spec.by_number()
+
+    def parsed(wires: pa.Array, dialects: pa.Array) -> pa.Array:
+        named = iter(dialects.to_pylist())
+        pairs = [(w, d) for w, d in zip(wires.to_pylist(), named, strict=True)]
+        order = iter([d for w, d in pairs if w is not None and d is not None])
+        known = pa.array([w if d is not None else None for w, d in pairs], pa.binary())
+
+        def read(data: bytes) -> tuple:
+            d = next(order)
+            return d, *rows.parse(data, d, table)
+
+        return _messages(known, read)
+
+    return F.arrow_udf(parsed, MESSAGE)(wire, dialect)
