@@ -48,6 +48,9 @@ class Cursor:
         return text
 
 
+_SET = [[k for k in range(1, 9) if byte >> (8 - k) & 1] for byte in range(256)]  # places of the bits of a byte, from 1
+
+
 def parse(data: bytes, dialect: str, table: list[tuple[int, int, bool] | None]) -> tuple[str, list[tuple[int, bytes]]]:
     """Type and (number, value) pairs; table[number] is (prefix digits, size, numeric) or None."""
     c, binary = Cursor(data), dialect == "binary"
@@ -56,10 +59,9 @@ def parse(data: bytes, dialect: str, table: list[tuple[int, int, bool] | None])
     bitmap = half()
     if bitmap[0] in "89abcdefABCDEF":
         bitmap += half()
-    bits, last = int(bitmap, 16), 4 * len(bitmap)
     found = []
-    for number in range(2, last + 1):
-        if not bits >> (last - number) & 1:
+    for number in (8 * i + k for i, byte in enumerate(bytes.fromhex(bitmap)) for k in _SET[byte]):
+        if number == 1:
             continue
         if table[number] is None:
             raise Bad("UnknownField", number, c.at)

@@ -112,9 +112,9 @@ def build(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: F
         ends = lists.offsets.to_pylist()
         flat = lists.values
         numbers, values = flat.field("number").to_pylist(), flat.field("value").to_pylist()
-        wires, errors = [], []
+        wires, errors, missing = [], [], lists.is_null().to_pylist()
         for i, (m, d) in enumerate(zip(mtis.to_pylist(), dialects.to_pylist(), strict=True)):
-            own = slice(ends[i], ends[i + 1]) if lists[i].is_valid else slice(0, 0)
+            own = slice(0, 0) if missing[i] else slice(ends[i], ends[i + 1])
             try:
                 wires.append(rows.build(m, dict(zip(numbers[own], values[own], strict=True)), d, table))
                 errors.append(None)
