@@ -104,6 +104,7 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = possibly_repeated(digests, repeated_filter(digests, digests.count(), **bounds))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     groups = marked.where("maybe").groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = saved(groups, "digest-groups")  # the join below then stands alone, so that adaptive execution can split a hot digest
     sha = F.lower(F.hex("digest")).alias("text_sha256")
     straight = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     grouped = (

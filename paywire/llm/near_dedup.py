@@ -10,7 +10,8 @@ cluster is solved exactly: a pivot is compared with every node that it isn't
 joined to yet, first by the joint likelihood estimate from both sketches (6
 standard deviations of slack), then on the full sets.  So no pair is left out,
 and only a spanning forest of confirmed links is emitted.  Clusters over
-`block` nodes are split into blocks, and each pair of blocks is a task of its own.
+`block` nodes or `block_shingles` shingles are split into blocks, and each pair of
+blocks is solved on its own, which bounds a task's memory.
 
 Defined results: NULL texts and texts without words have no shingles and stand
 alone; a text of fewer words than a shingle is one shingle; the class id is the
@@ -43,7 +44,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -172,7 +173,7 @@ def tagged(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_tag")), "near")
 
 
-def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400) -> DataFrame:
+def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400, block_shingles: int = 400_000) -> DataFrame:
     """_tag, doc_id, n_shingles, component_id, kept of each row of a `tagged` table."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +186,18 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, M // BAND, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["tag", "doc_id", "n", "set_id", "bands"])
+        _HASHES.clear()
 
     source = rows.select(F.col("_tag").alias("tag"), F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
     sketched = saved(source.mapInArrow(sketches, "tag long, doc_id long, n long, set_id binary, bands array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
-    nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
+    nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     loose = in_band.join(shared, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
     clusters = connected_components(loose, "loose")
-    blocks = clusters.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    clusters = clusters.join(nodes.select("node", "n"), "node")
+    blocks = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     members = clusters.join(blocks, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     members = members.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
@@ -218,6 +221,7 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
                 out = []
         out += solved(nodes, texts)
+        _HASHES.clear()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     confirmed = connected_components(groups.mapInArrow(solve, "a long, b long"), "links")

@@ -39,7 +39,7 @@ class Encoder:
     max_chunks bounds the memory of the memo; a full memo is emptied, which costs time only.
     """
 
-    def __init__(self, path: str, max_chunks: int = 1_200_000):
+    def __init__(self, path: str, max_chunks: int = 400_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
