@@ -10,8 +10,11 @@ cluster is solved exactly: a pivot is compared with every node that it isn't
 joined to yet, first by the joint likelihood estimate from both sketches (6
 standard deviations of slack), then on the full sets.  So no pair is left out,
 and only a spanning forest of confirmed links is emitted.  Clusters over
-`block` nodes or `block_shingles` shingles are split into blocks, and each pair of
-blocks is solved on its own, which bounds a task's memory.
+`block` nodes or `block_shingles` shingles are split into blocks, which bounds a
+task's memory.  A first pass solves each block together with `PIVOTS` nodes of its
+cluster, which joins most of a large group of copies into one class at a cost in
+proportion to its size; a second pass compares the blocks of the nodes outside their
+cluster's main class with all its blocks, and so leaves no pair out.
 
 Defined results: NULL texts and texts without words have no shingles and stand
 alone; a text of fewer words than a shingle is one shingle; the class id is the
@@ -21,17 +24,19 @@ smallest id (NULL ids last); of rows with the same id, one stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywire.llm.common import LOWER_TABLE, saved
 from paywire.llm.graph import connected_components
 
 M, BAND = 252, 6  # registers, and registers in a band
+PIVOTS = 4  # nodes of a large cluster that each of its blocks is compared with
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch
 _GOLDEN, _MIX1, _MIX2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))  # odd constants of the published splitmix64 and a multiplier
 
@@ -124,8 +129,8 @@ def joint_estimate(a: np.ndarray, size_a: int, b: np.ndarray, size_b: np.ndarray
     return (lo + hi) / 2
 
 
-def links(sets: list[np.ndarray], registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
+def links(sets: list[np.ndarray], registers: np.ndarray, percent: int, classes: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest, over these classes, of the pairs with 100 * intersection >= percent * union."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
@@ -133,7 +138,7 @@ def links(sets: list[np.ndarray], registers: np.ndarray, percent: int) -> list[t
     if n:
         distinct, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         n_shingles = len(distinct)
-    root = np.arange(n)
+    root = np.unique(np.array(classes, np.int64), return_inverse=True)[1]
     slack = 6 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     mark = np.zeros(n_shingles, bool)
     found = []
@@ -173,6 +178,52 @@ def tagged(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_tag")), "near")
 
 
+def _solve(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b: links of each group of rows (label, i, j, node, class, text), which stand together."""
+    group, nodes, classes, texts, out = None, [], [], [], []
+
+    def flush() -> None:
+        sets = [s for part in _batched(iter(texts), size) for s in part]
+        out.extend((nodes[a], nodes[b]) for a, b in links(sets, sketch(sets), percent, classes))
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for *key, node, class_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != group:
+                flush()
+                group, nodes, classes, texts = key, [], [], []
+            nodes.append(node)
+            classes.append(class_)
+            texts.append(text)
+        if len(out) > 10_000:
+            yield made()
+            out.clear()
+    flush()
+    _HASHES.clear()
+    yield made()
+
+
+def _rest(members: DataFrame, n_blocks: Column) -> DataFrame:
+    """label, i, j, node, class: pairs of blocks that cover each pair of classes left in a cluster.
+
+    members: label, node, n, class (NULL for a node without links).  Blocks of nodes
+    outside the main class come first; they meet each block, the main class's only them.
+    """
+    members = saved(members.select("label", "node", "n", F.coalesce("class", "node").alias("class")), "rest")
+    classes = members.groupBy("label", "class").agg(F.count("*").alias("m"))
+    main = classes.groupBy("label").agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.count("*").alias("n_classes")).where("n_classes > 1")
+    sides = members.join(main, "label").withColumn("outside", F.col("class") != F.col("main"))
+    sizes = sides.groupBy("label", "outside").agg(n_blocks.alias("k"))
+    sizes = sizes.groupBy("label").agg(F.max(F.when(F.col("outside"), F.col("k"))).alias("first"), F.max(F.when(~F.col("outside"), F.col("k"))).alias("others"))
+    at = F.xxhash64("node")
+    own = F.when(F.col("outside"), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.col("others"))).cast("int")
+    meets = F.when(F.col("outside"), F.col("first") + F.col("others")).otherwise(F.col("first"))
+    each = sides.join(sizes, "label").select("label", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
+    return each.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class")
+
+
 def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400, block_shingles: int = 400_000) -> DataFrame:
     """_tag, doc_id, n_shingles, component_id, kept of each row of a `tagged` table."""
 
@@ -197,34 +248,26 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     loose = in_band.join(shared, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
     clusters = connected_components(loose, "loose")
     clusters = clusters.join(nodes.select("node", "n"), "node")
-    blocks = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    members = clusters.join(blocks, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = members.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
     texts = clusters.select("node").join(source.select(F.col("tag").alias("node"), "text"), "node")
-    groups = members.join(texts, "node").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(nodes: list[int], texts: list[str]) -> list[tuple[int, int]]:
-            sets = [s for part in _batched(iter(texts), size) for s in part]
-            return [(nodes[a], nodes[b]) for a, b in links(sets, sketch(sets), percent)]
+    def solved(members: DataFrame) -> DataFrame:
+        """Links a, b within each (label, i, j).  members: label, i, j, node, class; a class is joined already."""
+        groups = members.join(texts, "node").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+        return saved(groups.select("label", "i", "j", "node", "class", "text").mapInArrow(partial(_solve, size=size, percent=percent), "a long, b long"), "links")
 
-        group, nodes, texts, out = None, [], [], []
-        for batch in batches:
-            for *key, node, text in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "node", "text")), strict=True):
-                if key != group:
-                    out += solved(nodes, texts)
-                    group, nodes, texts = key, [], []
-                nodes.append(node)
-                texts.append(text)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        out += solved(nodes, texts)
-        _HASHES.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    confirmed = connected_components(groups.mapInArrow(solve, "a long, b long"), "links")
+    pivots = F.array(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == p, F.col("node"))) for p in range(PIVOTS)))
+    sized = saved(clusters.groupBy("label").agg(n_blocks.alias("k"), pivots.alias("pivots")), "sized")
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = clusters.join(sized, "label").select("label", own.alias("i"), "node")
+    large = sized.where("k > 1")
+    across = large.select("label", "k", F.explode("pivots").alias("node"), F.sequence(F.lit(0), F.col("k") - 1).alias("i")).withColumn("i", F.explode("i"))
+    dealt = dealt.unionByName(across.where(F.col("node").isNotNull() & (own != F.col("i"))).select("label", "i", "node"))
+    confirmed = connected_components(solved(dealt.select("label", "i", F.col("i").alias("j"), "node", F.col("node").alias("class"))), "links")
+    if large.limit(1).count():
+        rest = _rest(clusters.join(large.select("label"), "label").join(confirmed.withColumnRenamed("label", "class"), "node", "left"), n_blocks)
+        joined = confirmed.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(solved(rest))
+        confirmed = connected_components(joined, "links")
     labelled = nodes.select("node", "set_id", "first").join(confirmed, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
     classes = labelled.join(smallest, "label").select("set_id", "smallest")

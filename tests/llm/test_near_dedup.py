@@ -79,3 +79,24 @@ def test_components(spark):
     found = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90, 100: 90}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_cluster_in_two_passes(spark):
+    """A base text, many copies of it that no pivot joins all, and a chain whose ends only its links join."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for at in rnd.sample(range(80), rnd.choice([1, 1, 1, 2, 3])):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    chain = [f"c{i}" for i in range(120)]
+    for step in range(0, 60, 2):
+        texts.append(" ".join(f"d{i}" if i < step else w for i, w in enumerate(chain)))
+    docs = list(enumerate(texts))
+    rnd.shuffle(docs)
+    rows = nd.tagged(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute(docs)
+    for how in ({}, {"block": 3}, {"block_shingles": 300}):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicate_report(rows, **how).collect()} == want
