@@ -116,10 +116,18 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows that stay, with all columns of docs.  docs is read three times: give a table, not a costly plan."""
+    """The rows that stay, with all columns of docs.  docs is read three times: give a table, not a costly plan.
+
+    Beyond the bound of the filter the digests alone shuffle first, and the filter is
+    built from the repeated ones; so rows without a copy still pass straight through.
+    """
     columns = docs.columns
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), text_digest(F.col(text_col)).alias("digest"))
-    marked = possibly_repeated(keyed, repeated_filter(keyed, docs.count(), **bounds))
+    twice = repeated_filter(keyed, docs.count(), **bounds)
+    if twice is None:
+        repeated = saved(keyed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
+        twice = repeated_filter(repeated.union(repeated), repeated.count(), **bounds)  # each stands for two rows
+    marked = possibly_repeated(keyed, twice)
     key = F.struct(F.col(f"row.`{id_col}`").isNull(), F.col(f"row.`{id_col}`"))
     firsts = marked.where("maybe").groupBy("digest").agg(F.min_by("row", key).alias("row"))
     return marked.where("not maybe").select("row").unionByName(firsts.select("row")).select("row.*")

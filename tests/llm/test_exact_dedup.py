@@ -45,3 +45,11 @@ def test_many_copies_and_empty_table(spark):
     assert found.where("group_size = 1000 and keep_id = 0").count() == 1000
     assert exact_dedup.duplicate_report(many.limit(0)).count() == 0
     assert exact_dedup.deduplicate(many.limit(0)).count() == 0
+
+
+def test_filter_of_repeated_digests_only(spark):
+    """6,000 rows are over the bound of 8,192 bytes; the 40 repeated texts are not."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('t', if(id < 80, id % 40, id)) as text")
+    assert exact_dedup.repeated_filter(docs.select(exact_dedup.text_digest(docs.text).alias("digest")), 6000, max_filter_bytes=8192) is None
+    found = exact_dedup.deduplicate(docs, max_filter_bytes=8192)
+    assert sorted(r["doc_id"] for r in found.collect()) == [*range(40), *range(80, 6000)]
