@@ -248,7 +248,7 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     loose = in_band.join(shared, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
     clusters = connected_components(loose, "loose")
     clusters = clusters.join(nodes.select("node", "n"), "node")
-    texts = clusters.select("node").join(source.select(F.col("tag").alias("node"), "text"), "node")
+    texts = saved(source.select(F.col("tag").alias("node"), "text").join(clusters.select("node"), "node"), "cluster-texts")
     n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
 
     def solved(members: DataFrame) -> DataFrame:
