@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from paywire.llm.common import LOWER_TABLE, saved
 from paywire.llm.graph import connected_components
 
-M, BAND = 252, 6  # registers, and registers in a band
+M = 252  # registers
+MISS = 1e-8  # share of the pairs at the threshold that all bands may miss
 PIVOTS = 4  # nodes of a large cluster that each of its blocks is compared with
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch
 _GOLDEN, _MIX1, _MIX2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))  # odd constants of the published splitmix64 and a multiplier
@@ -99,11 +100,17 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.where(np.isinf(least), 0, value), 0, TOP + 1).astype(np.uint16).reshape(n, M)
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
+def band_width(percent: int) -> int:
+    """Registers in a band: the most that miss few enough of the pairs at the threshold."""
+    return max((w for w in range(1, 17) if (1 - (percent / 100) ** w) ** (M // w) <= MISS), default=1)
+
+
+def bands(registers: np.ndarray, width: int) -> np.ndarray:
     """One 64-bit key a band."""
-    r = registers.reshape(len(registers), M // BAND, BAND).astype(np.uint64)
-    key = np.broadcast_to(np.arange(M // BAND, dtype=np.uint64), r.shape[:2]).copy()
-    for k in range(BAND):
+    n = M // width
+    r = registers[:, : n * width].reshape(len(registers), n, width).astype(np.uint64)
+    key = np.broadcast_to(np.arange(n, dtype=np.uint64), r.shape[:2]).copy()
+    for k in range(width):
         key = _mix(key * _FOLD + r[:, :, k])
     return key
 
@@ -226,6 +233,7 @@ def _rest(members: DataFrame, n_blocks: Column) -> DataFrame:
 
 def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400, block_shingles: int = 400_000) -> DataFrame:
     """_tag, doc_id, n_shingles, component_id, kept of each row of a `tagged` table."""
+    width = band_width(percent)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,9 +241,9 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
             for sets in _batched((t.as_py() for t in batch.column(2)), size):
                 part = batch.slice(done, len(sets))
                 done += len(sets)
-                keys = bands(sketch(sets))
+                keys = bands(sketch(sets), width)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, M // BAND, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
+                flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, M // width, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["tag", "doc_id", "n", "set_id", "bands"])
         _HASHES.clear()
 
@@ -245,7 +253,10 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    loose = in_band.join(shared, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    # a node and the least nodes of its bands hang together: one edge to the first of these, which has the edges to the others
+    hubs = in_band.join(shared, "band").where("node != a").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("hubs"))
+    to_first = F.transform("hubs", lambda h, k: F.struct(F.col("hubs")[0].alias("a"), F.when(k == 0, F.col("node")).otherwise(h).alias("b")))
+    loose = hubs.select(F.inline(to_first)).distinct()
     clusters = connected_components(loose, "loose")
     clusters = clusters.join(nodes.select("node", "n"), "node")
     texts = saved(source.select(F.col("tag").alias("node"), "text").join(clusters.select("node"), "node"), "cluster-texts")

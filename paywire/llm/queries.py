@@ -64,7 +64,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.tagged(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return near_dedup.near_duplicate_report(rows).drop("_tag")
+    return near_dedup.near_duplicate_report(rows, percent=85).drop("_tag")
 
 
 @query

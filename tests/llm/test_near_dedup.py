@@ -100,3 +100,12 @@ def test_large_cluster_in_two_passes(spark):
     want = brute(docs)
     for how in ({}, {"block": 3}, {"block_shingles": 300}):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicate_report(rows, **how).collect()} == want
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 80, 85, 95):
+        width = nd.band_width(percent)
+        assert (1 - (percent / 100) ** width) ** (nd.M // width) <= 1e-8
+    assert (nd.band_width(80), nd.band_width(85)) == (5, 6)
+    registers = np.arange(2 * nd.M, dtype=np.uint16).reshape(2, nd.M)
+    assert nd.bands(registers, 5).shape == (2, 50) and nd.bands(registers, 6).shape == (2, 42)

@@ -53,3 +53,17 @@ def test_pipeline(spark, tmp_path):
     for r in packed:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
     assert total == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in seen[3].items()}
+
+
+def test_near_stage_joins_from_four_fifths(spark):
+    """Copies with other words at the end: of s shingles t differ, which is a similarity of (s - t) / (s + t)."""
+    texts, n = [], 0
+    for s, t in [(90, 10), (180, 20), (180, 19), (180, 18), (360, 35), (360, 30), (90, 11), (180, 21), (900, 101)] * 3:
+        words = [f"w{n}x{i}" for i in range(s + 4 + t)]
+        texts += [" ".join(words[: s + 4]), " ".join(words[: s + 4 - t] + words[s + 4 :])]
+        n += 1
+    docs = list(enumerate(texts))
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    got = {r["doc_id"] for r in kept.collect()}
+    assert got == {v[1] for v in brute(docs, percent=80).values()} and len(got) == 36
+    assert len({v[1] for v in brute(docs).values()}) == 54, "none of the pairs reaches 0.85"
