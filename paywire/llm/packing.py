@@ -2,11 +2,12 @@
 
 Documents are encoded once; only (piece, length) rows shuffle, dealt by hash
 into groups of about `group_tokens` tokens.  A group starts from best fit on
-falling lengths.  A local search then takes the emptiest bin and tries to place
-its pieces elsewhere; where a piece fits nowhere it is exchanged one-for-one,
-two-for-one or moved so that some other bin gets fuller.  Each step raises the
-sum of squared fills, so the search ends, and bins that run empty go.  A group
-leaves at most about one underfull bin, whatever the input's size.
+falling lengths.  If that takes more bins than the tokens need, a local search goes
+through the bins from the emptiest on and moves one or two pieces into another bin,
+for none, one or two of its pieces, so that the sum of squared fills rises.  An
+index from the room a bin can make to the least length that leaves for it finds the
+largest step over all bins of the group.  The search ends when the tokens' bound is
+met or no bin has a step left; bins that run empty go.
 
 Defined results: a NULL or empty text is one piece that holds the end id; only a
 document of more than `capacity` ids is cut, its first piece taking the
@@ -17,7 +18,7 @@ empty result.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,72 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
 
 
+def sums(lengths: Iterable[int]) -> list[int]:
+    """0, each length and each sum of two of them, rising and without repeats."""
+    once = twice = both = 0
+    for n in lengths:
+        twice |= once & (1 << n)
+        once |= 1 << n
+    rest = once
+    while rest:
+        low = rest & -rest
+        n = low.bit_length() - 1
+        rest ^= low
+        both |= (rest | twice & low) << n
+    every = 1 | once | both
+    raw = np.frombuffer(every.to_bytes(every.bit_length() // 8 + 1, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+
+
+class Rooms:
+    """Of bins with free space: the room that is there once up to two pieces leave, and the least length that must leave for it."""
+
+    def __init__(self, bins: Bins):
+        self.least = np.full(bins.capacity + 1, 1 << 62)
+        self.lengths: list[list[int]] = [[] for _ in self.least]  # for each room, what may leave, sorted
+        self.counts: dict[tuple[int, int], int] = {}
+        self.sums: dict[int, tuple[int, list[int]]] = {}
+        self.by_free: dict[int, set[int]] = {}
+        for b in range(len(bins.items)):
+            self.put(b, bins)
+
+    def put(self, b: int, bins: Bins) -> None:
+        free = bins.capacity - bins.fill[b]
+        if not 0 < free < bins.capacity:
+            return
+        own = sums(bins.lengths[i] for i in bins.items[b])
+        self.sums[b] = free, own
+        self.by_free.setdefault(free, set()).add(b)
+        for n in own:
+            key = (free + n, n)
+            self.counts[key] = self.counts.get(key, 0) + 1
+            if self.counts[key] == 1:
+                insort(self.lengths[free + n], n)
+                self.least[free + n] = self.lengths[free + n][0]
+
+    def drop(self, b: int) -> None:
+        if b not in self.sums:
+            return
+        free, own = self.sums.pop(b)
+        self.by_free[free].remove(b)
+        for n in own:
+            key = (free + n, n)
+            self.counts[key] -= 1
+            if not self.counts[key]:
+                del self.counts[key]
+                kept = self.lengths[free + n]
+                del kept[bisect_left(kept, n)]
+                self.least[free + n] = kept[0] if kept else 1 << 62
+
+    def bin_with(self, free: int, n: int) -> int:
+        def holds(b: int) -> bool:
+            own = self.sums[b][1]
+            at = bisect_left(own, n)
+            return at < len(own) and own[at] == n
+
+        return next(b for b in self.by_free[free] if holds(b))
+
+
 class Bins:
     """Bins of one group; free space is kept sorted as (free, bin)."""
 
@@ -90,65 +157,67 @@ class Bins:
         if 0 < self.fill[b] < self.capacity:
             insort(self.order, (self.capacity - self.fill[b], b))
 
-    def _exchange(self, victim: int, others: list[int]) -> bool:
-        """One step that moves length from the victim into another bin, the largest gain over the bins looked at."""
+    def _step(self, victim: int, rooms: Rooms) -> bool:
+        """The step that moves most length from the victim, which is not in rooms, into another bin and raises squared fill."""
+        free = self.capacity - self.fill[victim]
         best = None
-        mine = sorted((self.lengths[i], i) for i in self.items[victim])
-        sizes = [x[0] for x in mine]
-        for b in others:
-            free = self.capacity - self.fill[b]
-            if b == victim or not free or not self.fill[b]:
-                continue
-            at = bisect_left(sizes, free + 1)
-            if at:  # a move
-                best = max(best or (0,), (sizes[at - 1], b, [], [mine[at - 1][1]]), key=lambda x: x[0])
-            theirs = sorted((self.lengths[i], i) for i in self.items[b])
-            for k, (n, i) in enumerate(theirs):
-                at = bisect_left(sizes, n + free + 1)
-                if at and sizes[at - 1] > n:  # one for one
-                    best = max(best or (0,), (sizes[at - 1] - n, b, [i], [mine[at - 1][1]]), key=lambda x: x[0])
-                for n2, i2 in theirs[k + 1 :]:  # one of ours for two of theirs
-                    at = bisect_left(sizes, n + n2 + free + 1)
-                    if at and sizes[at - 1] > n + n2:
-                        best = max(best or (0,), (sizes[at - 1] - n - n2, b, [i, i2], [mine[at - 1][1]]), key=lambda x: x[0])
-                for k1 in range(len(mine) - 1):  # two of ours for one of theirs
-                    at = min(bisect_left(sizes, n + free + 1 - sizes[k1]), len(mine))
-                    at = at - 1 if at > k1 + 1 else 0
-                    if at > k1 and sizes[k1] + sizes[at] > n:
-                        best = max(best or (0,), (sizes[k1] + sizes[at] - n, b, [i], [mine[k1][1], mine[at][1]]), key=lambda x: x[0])
-        if not best:
+        for x in sums(self.lengths[i] for i in self.items[victim]):
+            # the other bin is fuller afterwards than the victim was, which is when squared fill rises
+            window = rooms.least[x : x + free]
+            if x and len(window):
+                room = int(window.argmin())
+                if window[room] < x and (best is None or x - window[room] > best[0]):
+                    best = (x - int(window[room]), x, x + room, int(window[room]))
+        if best is None:
             return False
-        _, b, out, into = best
-        # the other bin gets fuller than the victim was only if squared fill rises
-        gain = best[0]
-        if (self.fill[b] + gain) ** 2 + (self.fill[victim] - gain) ** 2 <= self.fill[b] ** 2 + self.fill[victim] ** 2:
-            return False
-        self.change(b, out, into)
+        _, x, room, less = best
+        other = rooms.bin_with(room - less, less)
+        out, into = (self._summing(b, n) for b, n in ((other, less), (victim, x)))
+        rooms.drop(other)
+        self.change(other, out, into)
         self.change(victim, into, out)
+        rooms.put(other, self)
         return True
 
-    def improve(self, look: int = 64, failures: int = 32) -> None:
-        """Empty bins from the least full on; a step looks at the `look` emptiest other bins; stop after `failures` bins that stayed."""
+    def _summing(self, b: int, total: int) -> list[int]:
+        """No, one or two items of a bin with these lengths together."""
+        if not total:
+            return []
+        for i in self.items[b]:
+            if self.lengths[i] == total:
+                return [i]
+        last: dict[int, int] = {}
+        for i in self.items[b]:
+            if total - self.lengths[i] in last:
+                return [last[total - self.lengths[i]], i]
+            last[self.lengths[i]] = i
+        raise AssertionError("no such pieces")
+
+    def improve(self, look: int | None = None, failures: int | None = None) -> None:
+        """Empty bins from the least full on, until the bound is met or no bin has a step left.
+
+        Each step looks at all bins of the group; look and failures limit nothing and stay for callers that name them.
+        """
         need = -(-sum(self.lengths) // self.capacity)
-        stuck: set[int] = set()
         count = sum(f > 0 for f in self.fill)
-        while count > need and len(stuck) < failures:
-            open_bins = [b for _, b in reversed(self.order)]
-            victim = next((b for b in open_bins if b not in stuck), None)
-            if victim is None:
-                return
-            for item in sorted(self.items[victim], key=lambda i: -self.lengths[i]):
-                at = bisect_left(self.order, (self.lengths[item], -1))
-                to = next((b for _, b in self.order[at : at + 2] if b != victim), None)
-                if to is not None:
-                    self.change(to, [], [item])
-                    self.change(victim, [item], [])
-            while self.fill[victim] and self._exchange(victim, [b for _, b in reversed(self.order)][: look + 1]):
-                pass
-            if self.fill[victim]:
-                stuck.add(victim)
-            else:
-                count -= 1
+        if count <= need:
+            return
+        rooms = Rooms(self)
+        steps, without = 0, {}  # steps so far, and how many there were when a bin last had none
+        before = -1
+        while before < steps:
+            before = steps
+            for victim in [b for _, b in reversed(self.order)]:
+                if not 0 < self.fill[victim] < self.capacity or without.get(victim) == steps:
+                    continue
+                rooms.drop(victim)
+                while self.fill[victim] and self._step(victim, rooms):
+                    steps += 1
+                without[victim] = steps
+                rooms.put(victim, self)
+                count -= not self.fill[victim]
+                if count <= need:
+                    return
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:

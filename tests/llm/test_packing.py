@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -76,3 +77,31 @@ def test_near_the_bound(spark):
     rows = packing.pack(docs, BYTES).collect()
     total, used = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
     assert used <= 1.02 * total / 2048 + 2
+
+
+def test_partners_from_the_whole_group():
+    """Best fit leaves 800 + 800, 648 * 3 and 600 * 3; the emptiest bins can only trade with the others."""
+    lengths = [n for n in (800, 648, 600) for _ in range(300)]
+    start = packing.Bins(lengths, 2048)
+    which, _ = packing.pack_lengths(lengths, 2048)
+    assert len(start.items) == 350
+    fills = np.bincount(which, lengths)
+    assert (fills**2).sum() > sum(f * f for f in start.fill) and fills.max() <= 2048 and len(fills) < 335
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(20, 60), min_size=1, max_size=40))
+def test_no_step_is_left(lengths):
+    """Against brute force over all pairs of bins and up to two pieces of each."""
+    bins = packing.Bins(lengths, 100)
+    bins.improve()
+    assert sorted(i for x in bins.items for i in x) == list(range(len(lengths)))
+    used = [b for b, f in enumerate(bins.fill) if f]
+    assert all(bins.fill[b] == sum(lengths[i] for i in bins.items[b]) <= 100 for b in used)
+    if len(used) <= -(-sum(lengths) // 100):
+        return
+    parts = {b: {sum(lengths[i] for i in c) for k in range(3) for c in itertools.combinations(bins.items[b], k)} for b in used}
+    for a, b in itertools.permutations(used, 2):
+        for x, y in itertools.product(parts[a], parts[b]):
+            more, less = bins.fill[b] + x - y, bins.fill[a] - x + y
+            assert max(more, less) > 100 or more**2 + less**2 <= bins.fill[a] ** 2 + bins.fill[b] ** 2
