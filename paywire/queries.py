@@ -290,15 +290,23 @@ def layout_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.select("l_orderkey", "l_linenumber", text(2).alias("account"), text(3).cast("long").alias("amount"))
 
 
-@query("SELECT o_custkey % 50 AS path, count(*) AS frames, sum(length(o_orderpriority))::BIGINT AS bytes, 1::BIGINT AS dropped FROM orders GROUP BY 1")
-def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace file a customer group: a dump of each priority, and one cut off at the end."""
+TRACE_KEYS = 5000  # order keys to a trace file
+
+
+def _trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: trace files of a customer group and a range of order keys: a dump of each priority, and one cut off at the end."""
     h = F.hex(F.encode("o_orderpriority", "US-ASCII"))
     pairs = F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))
     dump = F.concat(F.lit("x\n[buffer dump: in length="), F.length("o_orderpriority").cast("string"), F.lit("]\n\n"), F.array_join(F.slice(pairs, 1, 16), " "), F.lit("  AB CD gutter\n"))
-    rows = synth.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("path")).agg(F.array_join(F.collect_list(dump), "").alias("content"))
-    traces = files.explode_traces(rows.withColumn("content", F.concat("content", F.lit("[buffer dump: in length=40]\n00 01\n"))).withColumn("path", F.col("path").cast("string")))
-    return traces.groupBy(F.col("path").cast("long").alias("path")).agg(F.count("frame").alias("frames"), F.sum(F.octet_length("frame")).cast("long").alias("bytes"), F.max("dropped").cast("long").alias("dropped"))
+    path = F.concat_ws("/", F.col("o_custkey") % 50, F.floor(F.col("o_orderkey") / TRACE_KEYS))
+    rows = synth.table(spark, sf_dir, "orders").groupBy(path.alias("path")).agg(F.array_join(F.collect_list(dump), "").alias("content"))
+    return rows.withColumn("content", F.concat("content", F.lit("[buffer dump: in length=40]\n00 01\n")))
+
+
+@query("SELECT o_custkey % 50 AS path, count(*) AS frames, sum(length(o_orderpriority))::BIGINT AS bytes, 1::BIGINT AS dropped FROM orders GROUP BY 1")
+def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traces = files.explode_traces(_trace_files(spark, sf_dir)).withColumn("path", F.substring_index("path", "/", 1).cast("long"))
+    return traces.groupBy("path").agg(F.count("frame").alias("frames"), F.sum(F.octet_length("frame")).cast("long").alias("bytes"), F.max("dropped").cast("long").alias("dropped"))
 
 
 @query("SELECT c_custkey, lower(hex(translate(regexp_replace(upper(c_name), '[^A-I0-9]', '', 'g'), '0123456789ABCDEFGHI', 'ðñòóôõö÷øùÁÂÃÄÅÆÇÈÉ'))) AS utf8_of_codes FROM customer")
@@ -331,10 +339,10 @@ def redact_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log a source: every third file is cut by two bytes, every third has its last byte changed."""
+    """Logs of a source: of every third source the latest is cut by two bytes, of every third it has its last byte changed."""
     docs = synth.table(spark, sf_dir, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("payload"))
     made = log.log_files(docs, "source", "doc_id", "payload")
-    kind = F.substring("path", F.lit(4), F.length("path")).cast("int") % 3
+    kind = F.when(F.col("latest"), F.substring("path", F.lit(4), F.length("path")).cast("int") % 3)
     cut = F.expr("substring(content, 1, octet_length(content) - 2)")
     bad = F.expr("concat(substring(content, 1, octet_length(content) - 1), unhex('00'))")
     return log.explode_logs(made.select("path", F.when(kind == 1, cut).when(kind == 2, bad).otherwise(F.col("content")).alias("content")))

@@ -79,8 +79,21 @@ def framed(payload: F.Column) -> F.Column:
     return F.concat(little(F.octet_length(payload).cast("long")), little(F.crc32(payload)), payload)
 
 
-def log_files(df: DataFrame, file_key: str, order: str, payload: str) -> DataFrame:
-    """path, content: one log a key, records in order; payloads over the limit make the content NULL."""
-    rows = df.groupBy(F.col(file_key).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), framed(F.col(payload)).alias("r")))).alias("rs"), F.max(F.octet_length(payload)).alias("most"))
-    body = F.aggregate("rs", F.lit(bytearray(MAGIC)), lambda done, x: F.concat(done, x["r"]))
-    return rows.select("path", F.when(F.col("most") <= MAX_PAYLOAD, body).alias("content"))
+def log_files(df: DataFrame, file_key: str, order: str, payload: str, segment_bytes: int = 4 << 20) -> DataFrame:
+    """path, segment, latest, content: logs of about `segment_bytes` a key, records in order in each; a payload over the limit makes its log's content NULL.
+
+    A key's number of logs follows its bytes, and a hash of the record tells which of them takes it, so a log
+    stays of one size however large the key.  `latest`: the log holds the key's greatest order value.
+    """
+    size = F.coalesce(F.octet_length("p"), F.lit(0)).cast("long") + HEADER.size
+    rows = df.select(F.col(file_key).cast("string").alias("path"), F.col(order).alias("o"), F.col(payload).alias("p"))
+    keys = rows.groupBy(F.col("path").alias("key")).agg(F.ceil(F.sum(size) / segment_bytes).alias("k"), F.max("o").alias("end"))
+    dealt = rows.join(keys, F.col("path").eqNullSafe(F.col("key"))).withColumn("segment", F.pmod(F.xxhash64("o", "p"), F.col("k")))
+    logs = dealt.groupBy("path", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("o", framed(F.col("p")).alias("r")))).alias("rs"),
+        F.max(F.octet_length("p")).alias("most"),
+        F.count_if(F.col("p").isNull()).alias("none"),
+        F.max("o").eqNullSafe(F.max("end")).alias("latest"),
+    )
+    body = F.concat(F.lit(bytearray(MAGIC)), F.unhex(F.array_join(F.transform("rs", lambda x: F.hex(x["r"])), "")))
+    return logs.select("path", "segment", "latest", F.when((F.col("most") <= MAX_PAYLOAD) & (F.col("none") == 0), body).alias("content"))

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from paywire import queries
 from paywire.functions import bytesx, ebcdic, sm
 from paywire.operators import conformance as conf
 from paywire.operators import fixed
@@ -105,6 +106,30 @@ def test_logs(spark, tmp_path):
     assert bytes(log.log_files(df, "f", "o", "p").first()["content"]) == good
 
 
+def test_logs_stay_of_one_size(spark):
+    rows = [("big", i, bytes([i % 256]) * 92) for i in range(2000)] + [("small", 7, b"x")]
+    made = log.log_files(spark.createDataFrame(rows, "f string, o int, p binary"), "f", "o", "p", segment_bytes=10_000)
+    logs = made.collect()
+    assert max(len(r["content"]) for r in logs) < 20_000 and len(logs) > 15
+    assert sorted(r["path"] for r in logs if r["latest"]) == ["big", "small"]
+    got = []
+    for r in logs:
+        own = list(log.records(bytes(r["content"])))
+        assert all(tail is None for _, _, tail in own)
+        got += [(r["path"], p) for _, p, _ in own]
+        if r["latest"]:
+            assert own[-1][1] == {"big": rows[1999][2], "small": b"x"}[r["path"]]
+    assert sorted(got) == sorted((f, p) for f, _, p in rows)
+
+
+def test_trace_files_stay_of_one_size(spark, tmp_path):
+    orders = spark.range(12_000).select(F.col("id").alias("o_orderkey"), F.lit(50).cast("long").alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    made = queries._trace_files(spark, str(tmp_path)).selectExpr("size(split(content, 'gutter')) - 1 n").collect()
+    assert sorted(r["n"] for r in made) == [2000, 5000, 5000]
+    assert [tuple(r) for r in queries.trace_frames(spark, str(tmp_path)).collect()] == [(0, 12_000, 96_000, 1)]
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "a.XML").write_text("<a/>")
     (tmp_path / "b.txt").write_text("b")
