@@ -52,7 +52,7 @@ def hexdump(data: Column, cap: int = 4096) -> Column:
     n = F.octet_length(shown)
 
     def line(at: Column) -> Column:
-        part = F.substring(F.hex(shown), 2 * at + 1, F.lit(32))
+        part = F.hex(F.substring(shown, at + 1, F.lit(16)))
         pairs = F.regexp_extract_all(F.lower(part), F.lit("(..)"), F.lit(1))
         left, right = F.array_join(F.slice(pairs, 1, 8), " "), F.array_join(F.slice(pairs, 9, 8), " ")
         gutter = F.array_join(F.transform(pairs, lambda p: F.when(p.rlike("^([2-6].|7[0-9a-e])$"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.lit("."))), "")

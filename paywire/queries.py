@@ -385,3 +385,10 @@ def bcd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, '00000000  ' || rpad(array_to_string(regexp_extract_all(lower(hex(left(c_name, 8))), '..'), ' '), 23, ' ') || '  ' || repeat(' ', 23) || '  |' || left(c_name, 8) || '|' AS dump, 'a b' AS squeezed FROM customer")
 def hexdump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.table(spark, sf_dir, "customer").select("c_custkey", hexdump(F.encode(F.left("c_name", F.lit(8)), "US-ASCII")).alias("dump"), squeeze(F.lit(" a\t \u00a0b\n")).alias("squeezed"))
+
+
+@query()
+def hexdump_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, dumped to the last byte, and squeezed; hexdump_lines holds the first line's form against SQL."""
+    data = F.encode("text", "UTF-8")
+    return synth.table(spark, sf_dir, "documents").select("doc_id", hexdump(data, 2**31 - 1).alias("dump"), squeeze(F.col("text")).alias("squeezed"))

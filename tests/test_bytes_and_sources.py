@@ -106,6 +106,21 @@ def test_logs(spark, tmp_path):
     assert bytes(log.log_files(df, "f", "o", "p").first()["content"]) == good
 
 
+def test_dumps_of_whole_texts(spark, tmp_path):
+    texts = ["", "Customer#000000001", "eight by", " a\t\u00a0b\n", "\u20ac" * 6, "x y\n" * 2500, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def dump(data):
+        lines = []
+        for at in range(0, len(data), 16):
+            part = data[at : at + 16]
+            lines.append(f"{at:08x}  {part[:8].hex(' '):23}  {part[8:].hex(' '):23}  |{''.join(chr(b) if 32 <= b < 127 else '.' for b in part)}|")
+        return "\n".join(lines)
+
+    got = {r["doc_id"]: (r["dump"], r["squeezed"]) for r in queries.QUERIES["hexdump_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if t is None else (dump(t.encode()), " ".join(t.split())) for i, t in enumerate(texts)}
+
+
 def test_logs_stay_of_one_size(spark):
     rows = [("big", i, bytes([i % 256]) * 92) for i in range(2000)] + [("small", 7, b"x")]
     made = log.log_files(spark.createDataFrame(rows, "f string, o int, p binary"), "f", "o", "p", segment_bytes=10_000)
