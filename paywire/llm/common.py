@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +20,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Only a local session may go without; it gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/paywire"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+class _Scopes(threading.local):
+    def __init__(self) -> None:
+        self.open: list[Scratch] = []
+
+
+_SCOPES = _Scopes()
+
+
+class Scratch:
+    """Tables that `saved` and `bucketed` wrote since the scope was opened."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep_last(self) -> None:
+        """The table written last outlives this scope; a scope around it may still remove it."""
+        path = self.paths.pop()
+        if len(_SCOPES.open) > 1:
+            _SCOPES.open[-2].paths.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Removes the tables written inside, except those kept.  For code whose result is written before it ends."""
+    scope = Scratch()
+    _SCOPES.open.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.open.pop()
+        for path in scope.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/paywire-{label}-{uuid.uuid4().hex}"
+    if _SCOPES.open:
+        _SCOPES.open[-1].paths.append(path)
+    return path
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
     """Write to a new Parquet table in the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paywire-{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    path = _new_path(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """As `saved`, in n buckets of `key`: a join on it then moves the other side only.
+
+    Rows do not shuffle on the way; a task writes a file for each bucket that its own keys fall in.
+    """
+    spark = df.sparkSession
+    path, name = _new_path(spark, label), f"paywire_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("parquet.block.size", 32 << 20).bucketBy(n, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files at a path of their own stay
+    return found
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL ids go to bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

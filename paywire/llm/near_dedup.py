@@ -5,24 +5,34 @@ floor(1 - log_b x_i), cut to [0, q + 1], where x_i is the least point that any
 element's Poisson process puts there, so sketches of unions merge by maximum.
 Documents with equal sets become one node.  Nodes that agree in all registers of
 a band are possible partners; a band of 6 at similarity 0.85 is missed by all 42
-bands once in 10^8 pairs.  Possible partners form loose clusters, and each
-cluster is solved exactly: a pivot is compared with every node that it isn't
-joined to yet, first by the joint likelihood estimate from both sketches (6
-standard deviations of slack), then on the full sets.  So no pair is left out,
-and only a spanning forest of confirmed links is emitted.  Clusters over
-`block` nodes or `block_shingles` shingles are split into blocks, which bounds a
-task's memory.  A first pass solves each block together with `PIVOTS` nodes of its
-cluster, which joins most of a large group of copies into one class at a cost in
-proportion to its size; a second pass compares the blocks of the nodes outside their
-cluster's main class with all its blocks, and so leaves no pair out.
+bands once in 10^8 pairs.  A node first takes the name of the smallest node that shares
+one of its first `FIRST` bands; names, not nodes, are then joined by all bands.  Most of
+a large group of near copies agree in one of any few bands, so it comes down to a handful
+of names, and the edges between names don't grow with it.
+
+The possible partners form loose clusters, and each cluster is solved exactly: a
+pivot is compared with every node that it isn't joined to yet, first by the joint
+likelihood estimate from both sketches (6 standard deviations of slack), then on
+the full sets.  So no pair is left out, and only a spanning forest of confirmed links
+is emitted.  A cluster over `block` nodes or `block_shingles` shingles is split into
+blocks of nodes of like set size, which bounds a task's memory; sets link only if
+their sizes are within 100 : percent, so only blocks within `REACH` levels of each
+other can hold a link.  A first pass solves each block together with `PIVOTS` nodes
+of each level near it, which joins most of a large group of copies into one class at
+a cost in proportion to its size; a second pass compares the blocks of the nodes
+outside their cluster's main class with all blocks in reach, and so leaves no pair
+out.  A cluster of many classes of like sizes costs the square of its blocks there.
 
 Defined results: NULL texts and texts without words have no shingles and stand
 alone; a text of fewer words than a shingle is one shingle; the class id is the
-smallest id (NULL ids last); of rows with the same id, one stays.
+smallest id in the id's own order (NULL ids last); of rows with the same id, one
+stays; an empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,13 +41,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from paywire.llm.common import LOWER_TABLE, saved
+from paywire.llm.common import LOWER_TABLE, saved, scratch
 from paywire.llm.graph import connected_components
 
 M = 252  # registers
 MISS = 1e-8  # share of the pairs at the threshold that all bands may miss
-PIVOTS = 4  # nodes of a large cluster that each of its blocks is compared with
+FIRST = 7  # bands that give a node its first name
+LEVELS, REACH = 4, 5  # levels of set size from percent to 100, and how far apart two levels with a link may be (one to spare)
+PIVOTS, NEAR = 4, 2  # nodes of each level of a large cluster that each block up to so many levels away is compared with
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch
 _GOLDEN, _MIX1, _MIX2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))  # odd constants of the published splitmix64 and a multiplier
 
@@ -212,28 +225,68 @@ def _solve(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
     yield made()
 
 
-def _rest(members: DataFrame, n_blocks: Column) -> DataFrame:
-    """label, i, j, node, class: pairs of blocks that cover each pair of classes left in a cluster.
+def _first_blocks(members: DataFrame, n_blocks: Column) -> DataFrame:
+    """label, i, node, n: the blocks of each level of a large cluster, and the pivots that each is sent."""
+    block = lambda level, at: level * F.lit(1 << 32) + at
+    at = lambda node, k: F.pmod(F.xxhash64(node), k)
+    pivots = F.array(*(F.min(F.when(at("node", F.lit(PIVOTS)) == p, F.struct("node", "n"))) for p in range(PIVOTS)))
+    levels = saved(members.groupBy("label", "level").agg(n_blocks.alias("k"), pivots.alias("pivots")), "levels")
+    dealt = members.join(levels.drop("pivots"), ["label", "level"]).select("label", block(F.col("level"), at("node", F.col("k"))).alias("i"), "node", "n")
+    sent = levels.select("label", "level", F.col("k"), F.explode("pivots").alias("p")).where("p is not null")
+    sent = sent.select("label", "level", "p", at("p.node", F.col("k")).alias("home"), F.explode(F.sequence(F.col("level") - NEAR, F.col("level") + NEAR)).alias("to"))
+    sent = sent.join(levels.select("label", F.col("level").alias("to"), F.col("k").alias("to_k")), ["label", "to"]).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_k") - 1)))
+    return dealt.unionByName(sent.where("to != level or at != home").select("label", block(F.col("to"), F.col("at")).alias("i"), "p.node", "p.n"))
 
-    members: label, node, n, class (NULL for a node without links).  Blocks of nodes
-    outside the main class come first; they meet each block, the main class's only them.
+
+def _pairs_of_blocks(members: DataFrame, n_blocks: Column) -> DataFrame:
+    """label, i, j, node, n, class: pairs of blocks that cover each pair of classes left in a cluster.
+
+    members: label, node, n, level, class.  Blocks of nodes outside the main class meet
+    each block in reach; those of the main class meet only them.
     """
-    members = saved(members.select("label", "node", "n", F.coalesce("class", "node").alias("class")), "rest")
+    members = saved(members, "rest")
     classes = members.groupBy("label", "class").agg(F.count("*").alias("m"))
-    main = classes.groupBy("label").agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.count("*").alias("n_classes")).where("n_classes > 1")
-    sides = members.join(main, "label").withColumn("outside", F.col("class") != F.col("main"))
-    sizes = sides.groupBy("label", "outside").agg(n_blocks.alias("k"))
-    sizes = sizes.groupBy("label").agg(F.max(F.when(F.col("outside"), F.col("k"))).alias("first"), F.max(F.when(~F.col("outside"), F.col("k"))).alias("others"))
-    at = F.xxhash64("node")
-    own = F.when(F.col("outside"), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.col("others"))).cast("int")
-    meets = F.when(F.col("outside"), F.col("first") + F.col("others")).otherwise(F.col("first"))
-    each = sides.join(sizes, "label").select("label", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
-    return each.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class")
+    main = saved(classes.groupBy("label").agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.count("*").alias("n_classes")).where("n_classes > 1"), "main")
+    sides = saved(members.join(main, "label").withColumn("outside", F.col("class") != F.col("main")).drop("main", "n_classes"), "sides")
+    sizes = saved(sides.groupBy("label", "outside", "level").agg(n_blocks.alias("k")), "blocks")
+    block = lambda level, outside, at: level * F.lit(1 << 32) + outside.cast("long") * F.lit(1 << 31) + at
+    own = sizes.select("label", "outside", "level", F.col("k").alias("own_k"), F.explode(F.sequence(F.col("level") - REACH, F.col("level") + REACH)).alias("to"))
+    others = sizes.select("label", F.col("level").alias("to"), F.col("outside").alias("to_outside"), F.col("k").alias("to_k"))
+    meets = own.join(others, ["label", "to"]).where("outside or to_outside")
+    meets = meets.groupBy("label", "outside", "level", "own_k").agg(F.collect_list(F.struct("to", "to_outside", "to_k")).alias("meets"))  # two for each level in reach at most
+    each = sides.join(meets, ["label", "outside", "level"]).select("label", "node", "n", "class", block(F.col("level"), F.col("outside"), F.pmod(F.xxhash64("node"), F.col("own_k"))).alias("own"), F.explode("meets").alias("m"))
+    each = each.select("label", "node", "n", "class", "own", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m.to_k") - 1)).alias("at"))
+    other = block(F.col("m.to"), F.col("m.to_outside"), F.col("at"))
+    return each.select("label", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "node", "n", "class")
+
+
+def _least_of_bands(in_band: DataFrame) -> DataFrame:
+    """band, a: the smallest name of each band that holds several.  in_band: name, band.
+
+    Written, so that the join it is for stands alone and adaptive execution can split a hot band.
+    """
+    least = in_band.groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("last"))
+    return saved(least.where("a != last").select("band", "a"), "bands")
+
+
+def _loose_clusters(nodes: DataFrame) -> DataFrame:
+    """node, label of the nodes that share a band with another, directly or through others."""
+    in_band = nodes.select(F.col("node").alias("name"), F.explode(F.slice("bands", 1, FIRST)).alias("band"))
+    least = in_band.join(_least_of_bands(in_band), "band").groupBy("name").agg(F.min("a").alias("a"))
+    named = saved(nodes.join(least.withColumnRenamed("name", "node"), "node", "left").select("node", F.coalesce("a", "node").alias("name"), "bands"), "named")
+    in_band = named.select("name", F.explode("bands").alias("band"))
+    edges = in_band.join(_least_of_bands(in_band), "band").where("name != a").select("a", F.col("name").alias("b"))
+    joined = connected_components(edges, "loose").withColumnRenamed("node", "name")
+    labels = saved(named.select("node", "name").join(joined, "name", "left").select("node", F.coalesce("label", "name").alias("label")), "loose")
+    shared = labels.where("node != label").select("label").distinct()
+    return labels.join(shared, "label")
 
 
 def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400, block_shingles: int = 400_000) -> DataFrame:
     """_tag, doc_id, n_shingles, component_id, kept of each row of a `tagged` table."""
     width = band_width(percent)
+    source = rows.select(F.col("_tag").alias("tag"), F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    schema = StructType([*source.schema.fields[:2], StructField("n", LongType()), StructField("set_id", BinaryType()), StructField("bands", ArrayType(LongType()))])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,44 +297,14 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
                 keys = bands(sketch(sets), width)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, M // width, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["tag", "doc_id", "n", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], schema.names)
         _HASHES.clear()
 
-    source = rows.select(F.col("_tag").alias("tag"), F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
-    sketched = saved(source.mapInArrow(sketches, "tag long, doc_id long, n long, set_id binary, bands array<long>"), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
-    nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
-    in_band = nodes.select("node", F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    # a node and the least nodes of its bands hang together: one edge to the first of these, which has the edges to the others
-    hubs = in_band.join(shared, "band").where("node != a").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("hubs"))
-    to_first = F.transform("hubs", lambda h, k: F.struct(F.col("hubs")[0].alias("a"), F.when(k == 0, F.col("node")).otherwise(h).alias("b")))
-    loose = hubs.select(F.inline(to_first)).distinct()
-    clusters = connected_components(loose, "loose")
-    clusters = clusters.join(nodes.select("node", "n"), "node")
-    texts = saved(source.select(F.col("tag").alias("node"), "text").join(clusters.select("node"), "node"), "cluster-texts")
-    n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
-
-    def solved(members: DataFrame) -> DataFrame:
-        """Links a, b within each (label, i, j).  members: label, i, j, node, class; a class is joined already."""
-        groups = members.join(texts, "node").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-        return saved(groups.select("label", "i", "j", "node", "class", "text").mapInArrow(partial(_solve, size=size, percent=percent), "a long, b long"), "links")
-
-    pivots = F.array(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == p, F.col("node"))) for p in range(PIVOTS)))
-    sized = saved(clusters.groupBy("label").agg(n_blocks.alias("k"), pivots.alias("pivots")), "sized")
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = clusters.join(sized, "label").select("label", own.alias("i"), "node")
-    large = sized.where("k > 1")
-    across = large.select("label", "k", F.explode("pivots").alias("node"), F.sequence(F.lit(0), F.col("k") - 1).alias("i")).withColumn("i", F.explode("i"))
-    dealt = dealt.unionByName(across.where(F.col("node").isNotNull() & (own != F.col("i"))).select("label", "i", "node"))
-    confirmed = connected_components(solved(dealt.select("label", "i", F.col("i").alias("j"), "node", F.col("node").alias("class"))), "links")
-    if large.limit(1).count():
-        rest = _rest(clusters.join(large.select("label"), "label").join(confirmed.withColumnRenamed("label", "class"), "node", "left"), n_blocks)
-        joined = confirmed.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(solved(rest))
-        confirmed = connected_components(joined, "links")
-    labelled = nodes.select("node", "set_id", "first").join(confirmed, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
-    classes = labelled.join(smallest, "label").select("set_id", "smallest")
+    with scratch(rows.sparkSession) as tables:
+        sketched = saved(source.mapInArrow(sketches, schema), "sketches")
+        tables.keep_last()
+        classes = _classes(source, sketched, size, percent, block, block_shingles)
+        tables.keep_last()
     return (
         sketched.select("tag", "doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
         .join(classes, "set_id", "left")
@@ -295,6 +318,39 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def _classes(source: DataFrame, sketched: DataFrame, size: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """set_id, smallest (none, doc_id, tag) of each set that isn't empty."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
+    level = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-9) / LEVELS)).alias("level")
+    clusters = saved(_loose_clusters(nodes).join(nodes.select("node", "n", level), "node"), "clusters")
+    texts = saved(source.select(F.col("tag").alias("node"), "text").join(clusters.select("node"), "node"), "cluster-texts")
+    n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles))
+
+    def solved(members: DataFrame) -> DataFrame:
+        """Links a, b within each (label, i, j).  members: label, i, j, node, n, class; a class is joined already."""
+        members = saved(members, "members")
+        cost = members.agg(F.sum("n").alias("n"), F.count("*").alias("m")).first()
+        parts = min(max(1, (cost["n"] or 0) // 250_000, cost["m"] // 500), 100_000)
+        groups = members.join(texts, "node").repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j")
+        return saved(groups.select("label", "i", "j", "node", "class", "text").mapInArrow(partial(_solve, size=size, percent=percent), "a long, b long"), "links")
+
+    large = saved(clusters.groupBy("label").agg(n_blocks.alias("k")).where("k > 1").select("label"), "large")
+    if large.isEmpty():
+        dealt = clusters.select("label", F.lit(0).cast("long").alias("i"), "node", "n")
+    else:
+        split = saved(clusters.join(large, "label"), "split")
+        dealt = clusters.join(large, "label", "left_anti").select("label", F.lit(0).cast("long").alias("i"), "node", "n").unionByName(_first_blocks(split, n_blocks))
+    confirmed = connected_components(solved(dealt.select("label", "i", F.col("i").alias("j"), "node", "n", F.col("node").alias("class"))), "links")
+    if not large.isEmpty():
+        members = split.join(confirmed.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        joined = confirmed.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(solved(_pairs_of_blocks(members, n_blocks)))
+        confirmed = connected_components(joined, "links")
+    labelled = nodes.select("node", "set_id", "first").join(confirmed, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = saved(labelled.groupBy("label").agg(F.min("first").alias("smallest")), "smallest")
+    return saved(labelled.join(smallest, "label").select("set_id", "smallest"), "classes")
+
+
 def near_deduplicate(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, with all columns of docs: the one with the smallest id."""
     rows = tagged(docs)
