@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame; run() writes each result as Parquet in the shared folder and
-reads it again.  All but the last return the columns of `documents`.
+reads it again, and what a stage wrote for itself goes once its result is written.
+All but the last return the columns of `documents`, whatever further ones it has.
+
+Defined results: a NULL text is judged and packed as the empty text and is no near
+copy of anything; of rows with one id and text a single one stays; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for runs of ASCII white space, the document with the smallest id stays; NULL counts as empty."""
     return exact_dedup.deduplicate(docs)
 
 
@@ -38,6 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece: its place in its document and in a sequence of at most 2,048 ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -52,6 +59,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage{k}")
+    with common.scratch(spark) as stages:
+        for k, (_, stage) in enumerate(STAGES):
+            with common.scratch(spark) as own:
+                docs = common.saved(stage(spark, docs, sf_dir), f"stage{k}")
+                own.keep_last()
+        stages.keep_last()
     return docs
