@@ -9,17 +9,18 @@ def _fit(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
 
-_LONG = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz')"
+_SECOND = r"^(ac|asn|co|com|ed|edu|go|gob|gouv|gov|gv|id|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2}$"
+_ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 
 
 def _last(n: int) -> str:
-    return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+    return f"array_to_string(string_split(site, '.')[-{n}:], '.')"
 
 
 def _moments(name: str, level: str) -> str:
     return f"""{name} AS (
-  SELECT m, least(greatest(m * (1 - m) / greatest(sq / n - m * m - m * (1 - m) * k / n, 1e-9) - 1, 1.0), 1000.0) AS s
-  FROM (SELECT sum(bad)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS n, count(*) AS k, sum(n * (bad / n) * (bad / n)) AS sq FROM {level}))"""
+  SELECT coalesce(m, 0) AS m, coalesce(least(greatest(m * (1 - m) / greatest(sq / n - m * m - m * (1 - m) * k / n, 1e-9) - 1, 1.0), 1000.0), 1.0) AS s
+  FROM (SELECT sum(bad)::DOUBLE / nullif(sum(n), 0) AS m, sum(n)::DOUBLE AS n, count(*) AS k, sum(n * (bad / n) * (bad / n)) AS sq FROM {level} WHERE n > 0))"""
 
 
 ORACLE_SQL["op2_url_reputation"] = f"""
@@ -28,25 +29,29 @@ WITH seen AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 outcomes AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+sites AS (
+  SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS site, n, bad
+  FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM seen LEFT JOIN outcomes USING (page_id) GROUP BY host)),
 hosts AS (
-  SELECT host, CASE WHEN {_last(2)} IN {_LONG} THEN {_last(3)} ELSE {_last(2)} END AS domain,
-         CASE WHEN {_last(2)} IN {_LONG} THEN {_last(2)} ELSE {_last(1)} END AS suffix, count(*) AS n, sum(bad)::BIGINT AS bad
-  FROM seen JOIN outcomes USING (page_id) GROUP BY host),
+  SELECT host, n, bad,
+         CASE WHEN regexp_matches(site, '{_ADDRESS}') THEN site WHEN regexp_matches({_last(2)}, '{_SECOND}') THEN {_last(3)} ELSE {_last(2)} END AS domain,
+         CASE WHEN regexp_matches(site, '{_ADDRESS}') THEN '#' WHEN regexp_matches({_last(2)}, '{_SECOND}') THEN {_last(2)} ELSE {_last(1)} END AS suffix
+  FROM sites),
 domains AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),
 {_moments("ms", "suffixes")}, {_moments("md", "domains")}, {_moments("mh", "hosts")},
-up1 AS (SELECT suffix, (bad + s * m) / (n + s) AS m1 FROM suffixes, ms),
-up2 AS (SELECT suffix, domain, (bad + s * m1) / (n + s) AS m2 FROM domains JOIN up1 USING (suffix), md),
-post AS (SELECT host, n, (bad + s * m2) / (n + s) AS p, n + s AS w FROM hosts JOIN up2 USING (suffix, domain), mh),
-judged AS (SELECT host, n, p - 1.645 * sqrt(p * (1 - p) / (w + 1)) > 0.2 AS bad FROM post)
+up1 AS (SELECT suffix, (bad + s * m) / (n + s) AS m1, (n + s) / (n + s + 1) AS k1 FROM suffixes, ms),
+up2 AS (SELECT suffix, domain, (bad + s * m1) / (n + s) AS m2, CASE WHEN n > 0 THEN (n + s) / (n + s + 1) ELSE k1 * s / (s + 1) END AS k2 FROM domains JOIN up1 USING (suffix), md),
+post AS (SELECT host, n, (bad + s * m2) / (n + s) AS p, CASE WHEN n > 0 THEN (n + s) / (n + s + 1) ELSE k2 * s / (s + 1) END AS k FROM hosts JOIN up2 USING (suffix, domain), mh),
+judged AS (SELECT host, n, p - 1.645 * sqrt(p * (1 - p) * (1 - k)) > 0.2 AS bad FROM post)
 SELECT page_id, host, path,
   CASE WHEN {_fit("example.com", "/en/7")} THEN 'example.com/en/7' WHEN {_fit("example.net", "/de/8")} THEN 'example.net/de/8'
        WHEN {_fit("com", "/en/")} THEN 'com/en/' WHEN {_fit("net", "/de/")} THEN 'net/de/' WHEN {_fit("org", "/es/")} THEN 'org/es/' END AS rule,
   CASE WHEN {_fit("example.com", "/en/7")} THEN 'allow' WHEN {_fit("example.net", "/de/8")} THEN 'block'
        WHEN {_fit("com", "/en/")} THEN 'block' WHEN {_fit("net", "/de/")} THEN 'allow' WHEN {_fit("org", "/es/")} THEN 'block'
-       WHEN coalesce(bad, false) THEN 'block' ELSE 'allow' END AS verdict,
-  coalesce(n, 0)::BIGINT AS n_labelled
-FROM seen LEFT JOIN judged USING (host)
+       WHEN bad THEN 'block' ELSE 'allow' END AS verdict,
+  n AS n_labelled
+FROM seen JOIN judged USING (host)
 """
 
 _W4 = _LOWER.format("text")
