@@ -30,7 +30,7 @@ WITH seen AS (
   FROM pages),
 outcomes AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 sites AS (
-  SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS site, n, bad
+  SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS site, n, bad
   FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM seen LEFT JOIN outcomes USING (page_id) GROUP BY host)),
 hosts AS (
   SELECT host, n, bad,
