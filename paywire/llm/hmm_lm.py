@@ -2,24 +2,30 @@
 
 Documents are packed once into blocks: a block's distinct words, their counts in
 its training documents, and its texts as numbers of those words.  Word counts over
-the whole corpus come from one shuffle of (block, word) rows, each word already
-summed within its block.  The latent states emit one of `CLASSES` word classes (a
-hash of the word); within its class a word is drawn by its corpus count, so the
-counts grow with the corpus while the states' tables stay of one size:
+the whole corpus are sums of (word, count) rows, each word already summed within its
+block and then within its task, so a word that every block holds costs no more than
+another; the counts come back to the blocks by joins that adaptive execution can split.
+The texts themselves never shuffle: blocks are bucketed, and their counts come to them.
+
+The latent states emit one of `CLASSES` word classes (a hash of the word); within its
+class a word is drawn by its corpus count, so the counts grow with the corpus while
+the states' tables stay of one size:
 
     P(word | state) = P(class | state) * (c - D) / (C_class + D)
 
 A word without a count takes the class's one unseen share, D * (V_class + 1) /
 (C_class + D), so a class's shares sum to one; D is the usual absolute discount,
-n1 / (n1 + 2 * n2) over the corpus.  Baum-Welch warms up on
-the driver on `warm_rows` training rows, then makes `passes` over all training
-documents: each task sums its expected counts, the sums meet by segment, and only
-the new parameters reach the driver.  Scores come from the scaled forward recursion.
+n1 / (n1 + 2 * n2) over the corpus.  Baum-Welch starts from states drawn around the
+corpus's class shares and makes up to `passes` passes over all training documents, until
+a pass raises the likelihood by less than `settled` of itself.  In a pass each task sums its
+expected counts, the sums meet by segment, and only the new parameters reach the
+driver.  Scores come from the scaled forward recursion.
 
 Defined results: NULL counts as the empty text, whose only token is the end;
 repeated documents are learned from and scored each; with no training documents
 all words are unseen; a training text of over `TRAIN_CUT` tokens is learned from in
-pieces of that length (its score is exact); an empty table gives an empty result.
+pieces of that length, none left out (its score is exact); ids keep their type; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +37,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from paywire.llm.common import LOWER_TABLE, saved
+from paywire.llm.common import LOWER_TABLE, bucketed, saved
 
 CLASSES, STATES, SEGMENTS = 1 << 15, 8, 16
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 TRAIN_CUT = 100_000
 BATCH_TOKENS = 500_000
 END = b""  # no word is empty
@@ -57,23 +64,24 @@ class _Numbers(dict):
         return n
 
 
-BLOCKS = "block long, words array<binary>, counts array<long>, classes binary, doc_ids array<long>, held array<boolean>, lengths array<long>, ids binary"
-
-
 def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """block, words, counts (in training documents), classes, doc_ids, held, lengths, ids; bucketed by block."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), held_out.alias("held"), F.col(f"`{text_col}`").alias("t"))
+    kinds = {"block": LongType(), "words": ArrayType(BinaryType()), "counts": ArrayType(LongType()), "classes": BinaryType(), "doc_ids": ArrayType(rows.schema["k"].dataType), "held": ArrayType(BooleanType()), "lengths": ArrayType(LongType()), "ids": BinaryType()}
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("classes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
         block = TaskContext.get().partitionId() << 32
         number, keys, held, ids, n = _Numbers(), [], [], [], 0
 
-        def done() -> pa.RecordBatch:
+        def done(key_type: pa.DataType) -> pa.RecordBatch:
             counts = np.zeros(len(number), np.int64)
             for h, x in zip(held, ids, strict=True):
                 if not h:
                     np.add.at(counts, x, 1)
             classes = np.fromiter(map(word_class, number), "<u2", len(number)).tobytes()
             row = [block, list(number), counts, classes, keys, held, [len(x) for x in ids], np.concatenate(ids).astype("<u4").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], list(kinds))
 
         for batch in batches:
             for key, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -83,43 +91,48 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
                 ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 n += len(words)
                 if n >= BLOCK_TOKENS:
-                    yield done()
+                    yield done(batch.schema.field(0).type)
                     block, number, keys, held, ids, n = block + 1, _Numbers(), [], [], [], 0
         if keys:
-            yield done()
+            yield done(batch.schema.field(0).type)
+
+    schema = StructType([StructField(x, t) for x, t in kinds.items()])
+    return bucketed(rows.mapInArrow(packed, schema), "hmm-blocks", "block", max(1, rows.rdd.getNumPartitions()))
 
-    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).mapInArrow(packed, BLOCKS)
 
+def corpus_counts(packed: DataFrame) -> DataFrame:
+    """word, c: each word's tokens in all training documents, where there are any."""
+    each = packed.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
+    return saved(each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "hmm-words")
 
-def word_counts(packed: DataFrame) -> DataFrame:
-    """block, counts (corpus count of each of its words), classes, first (whether the block is the word's first; so each word counts once)."""
-    each = packed.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    known = each.select("block", "pos", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("first"))
+
+def block_counts(packed: DataFrame, corpus: DataFrame) -> DataFrame:
+    """block, corpus: the corpus count of each of its words, in their order, as little-endian integers."""
+    each = packed.select("block", F.posexplode("words").alias("pos", "word"))
+    known = each.join(corpus, "word", "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
     dealt = known.repartition("block").sortWithinPartitions("block", "pos")
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, c, first = None, [], []
+        now, c = None, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary()), pa.array([np.packbits(np.concatenate(first), bitorder="little").tobytes()], pa.binary())], ["block", "corpus", "first"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary())], ["block", "corpus"])
 
         for batch in batches:
-            block, count, flag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            block, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if c and block[a] != now:
                     yield done()
-                    c, first = [], []
+                    c = []
                 now = int(block[a])
-                c.append(count[a:b])
-                first.append(flag[a:b].astype(bool))
+                c.append(count[a:b].copy())
         if c:
             yield done()
 
-    return dealt.mapInArrow(gathered, "block long, corpus binary, first binary")
+    return saved(dealt.mapInArrow(gathered, "block long, corpus binary"), "hmm-counts")
 
 
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
@@ -144,21 +157,20 @@ def _emit(tables: list[np.ndarray], rest: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([*range(SEGMENTS), -1], pa.int32()), pa.array(values, pa.binary())], ["segment", "values"])
 
 
-def class_totals(packed: DataFrame, counted: DataFrame) -> tuple[np.ndarray, float]:
+def class_totals(corpus: DataFrame) -> tuple[np.ndarray, float]:
     """[CLASSES, 2], the training tokens and distinct training words of each class; and the discount."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, few = np.zeros((CLASSES, 2)), np.zeros(2)
         for batch in batches:
-            for classes, corpus, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g, c = np.frombuffer(classes, "<u2"), np.frombuffer(corpus, "<i8")
-                own = np.unpackbits(np.frombuffer(first, np.uint8), count=len(c), bitorder="little").astype(bool) & (c > 0)
-                out[:, 0] += np.bincount(g[own], c[own], CLASSES)
-                out[:, 1] += np.bincount(g[own], minlength=CLASSES)
-                few += [(c[own] == 1).sum(), (c[own] == 2).sum()]
+            c = batch.column(1).to_numpy()
+            g = np.fromiter(map(word_class, batch.column(0).to_pylist()), np.int64, len(c))
+            out[:, 0] += np.bincount(g, c, CLASSES)
+            out[:, 1] += np.bincount(g, minlength=CLASSES)
+            few += [(c == 1).sum(), (c == 2).sum()]
         yield _emit([out], few)
 
-    found = _summed(packed.select("block", "classes").join(counted, "block").select("classes", "corpus", "first").mapInArrow(totals, "segment int, values binary"))
+    found = _summed(corpus.select("word", "c").mapInArrow(totals, "segment int, values binary"))
     ones, twos = found.get(-1, np.zeros(2))
     discount = min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
     return np.concatenate([found.get(k, np.zeros(2 * CLASSES // SEGMENTS)) for k in range(SEGMENTS)]).reshape(CLASSES, 2), discount
@@ -207,11 +219,11 @@ def _live(lengths: np.ndarray) -> list[int]:
     return (len(lengths) - np.concatenate([[0], np.cumsum(ends)[:-1]])).tolist()
 
 
-def expected_counts(model: Hmm, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch expectations: of starts [STATES], moves [STATES, STATES] and emissions [CLASSES, STATES]."""
-    begun, moved, made = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+def expected_counts(model: Hmm, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch expectations: of starts [STATES], moves [STATES, STATES] and emissions [CLASSES, STATES]; and the log-likelihood."""
+    begun, moved, made, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), 0.0
     if not len(lengths):
-        return begun, moved, made
+        return begun, moved, made, likelihood
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     cut = [(s + k, min(TRAIN_CUT, n - k)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) for k in range(0, n, TRAIN_CUT)]
     starts, lengths = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
@@ -241,9 +253,10 @@ def expected_counts(model: Hmm, classes: np.ndarray, lengths: np.ndarray) -> tup
             beta[:m] = ahead @ back
         gamma[: live[0]] *= beta
         begun += gamma[: live[0]].sum(0)
+        likelihood += float(np.log(scale, dtype=np.float64).sum())
         for k in range(STATES):
             made[:, k] += np.bincount(shown, gamma[:, k], CLASSES)
-    return begun, moved, made
+    return begun, moved, made, likelihood
 
 
 def reestimated(begun: np.ndarray, moved: np.ndarray, made: np.ndarray, prior: np.ndarray) -> Hmm:
@@ -252,67 +265,67 @@ def reestimated(begun: np.ndarray, moved: np.ndarray, made: np.ndarray, prior: n
     return Hmm((begun + 1) / (begun + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), (made + weight * prior[:, None]) / (made.sum(0) + weight))
 
 
-def warm_start(prior: np.ndarray, classes: np.ndarray, lengths: np.ndarray, rounds: int = 15, seed: int = 3) -> Hmm:
-    rnd = np.random.default_rng(seed)
-    emit = prior[:, None] * rnd.gamma(1.0, 1.0, (CLASSES, STATES)) + 0.1 * prior[:, None]
-    model = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES), emit / emit.sum(0))
-    for _ in range(rounds if len(lengths) else 0):
-        model = reestimated(*expected_counts(model, classes, lengths), prior)
-    return model
+def first_model(prior: np.ndarray, seed: int = 3) -> Hmm:
+    """States that like to stay, each drawn around the corpus's class shares."""
+    emit = prior[:, None] * (np.random.default_rng(seed).gamma(1.0, 1.0, (CLASSES, STATES)) + 0.1)
+    return Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES), emit / emit.sum(0))
 
 
-def score_documents(docs: DataFrame, held_out: Column, passes: int = 2, warm_rows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, passes: int = 10, settled: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     held_out: true where a document must not be learned from.
     """
     spark = docs.sparkSession
-    packed = saved(blocks(docs, held_out, id_col, text_col), "hmm-blocks")
-    counted = saved(word_counts(packed), "hmm-counts")
-    totals, discount = class_totals(packed, counted)
+    packed = blocks(docs, held_out, id_col, text_col)
+    corpus = corpus_counts(packed)
+    totals, discount = class_totals(corpus)
     n_train, n_words = int(totals[:, 0].sum()), int(totals[:, 1].sum())
     seat, unseen = totals[:, 0] + discount, discount * (totals[:, 1] + 1)
     prior = seat / seat.sum()
 
-    sample = docs.where(~held_out).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
-    chosen = sample.select("h").distinct().orderBy("h").limit(warm_rows)
-    texts = sample.join(F.broadcast(chosen), "h").orderBy("h").limit(warm_rows).collect()
-    some = [np.array([word_class(w) for w in tokens(r["t"])][:TRAIN_CUT], np.int64) for r in texts]
-    model = warm_start(prior, np.concatenate(some) if some else np.zeros(0, np.int64), np.array([len(x) for x in some], np.int64))
-
     def gather(shared) -> DataFrame:
         def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, sums = shared.value, None
             for batch in batches:
-                for classes, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in range(batch.num_rows):  # one block at a time
+                    classes, held, lengths, ids = (c[row].as_py() for c in batch.columns)
                     sequence, lengths = np.frombuffer(classes, "<u2")[np.frombuffer(ids, "<u4")], np.array(lengths)
                     learned = ~np.array(held, bool)
                     found = expected_counts(model, sequence[np.repeat(learned, lengths)], lengths[learned])
                     sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
             if sums is not None:
-                yield _emit([sums[2]], np.concatenate([sums[0], sums[1].ravel()]))
+                yield _emit([sums[2]], np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]))
 
         return packed.select("classes", "held", "lengths", "ids").mapInArrow(expectations, "segment int, values binary")
 
+    model, before = first_model(prior), -np.inf
     for _ in range(passes if n_train else 0):
         found = _summed(gather(spark.sparkContext.broadcast(model)))
         made = np.concatenate([found[k] for k in range(SEGMENTS)]).reshape(CLASSES, STATES)
-        model = reestimated(found[-1][:STATES], found[-1][STATES:].reshape(STATES, STATES), made, prior)
+        model = reestimated(found[-1][:STATES], found[-1][STATES:-1].reshape(STATES, STATES), made, prior)
+        likelihood = found[-1][-1]
+        if likelihood - before < settled * abs(likelihood):
+            break
+        before = likelihood
     shared = spark.sparkContext.broadcast((model, seat, unseen))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seat, unseen = shared.value
         floor = np.log10(n_train + 0.5 * (n_words + 1))
         for batch in batches:
-            for corpus, classes, keys, held, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):  # one block at a time
+                corpus, classes, _, held, lengths, ids = (None if k == 2 else c[row].as_py() for k, c in enumerate(batch.columns))
+                keys = batch.column(2)[row].values
                 c, g, at, lengths = np.frombuffer(corpus, "<i8"), np.frombuffer(classes, "<u2"), np.frombuffer(ids, "<u4"), np.array(lengths)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 base = np.add.reduceat((np.log10(c + 0.5) - floor)[at], starts)
                 within = np.add.reduceat(np.log10(np.where(c > 0, c - discount, unseen[g]) / seat[g])[at], starts)
                 known = np.add.reduceat((c > 0).astype(np.int64)[at], starts)
                 latent = log_likelihoods(model, g[at], lengths) / np.log(10)
-                columns = [pa.array(keys, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(latent + within)]
+                columns = [keys, pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(latent + within)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    whole = packed.drop("words", "counts").join(counted.drop("first"), "block").select("corpus", "classes", "doc_ids", "held", "lengths", "ids")
-    return whole.mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    whole = packed.drop("words", "counts").join(block_counts(packed, corpus), "block").select("corpus", "classes", "doc_ids", "held", "lengths", "ids")
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+    return whole.mapInArrow(scores, schema)
