@@ -11,8 +11,9 @@ met or no bin has a step left; bins that run empty go.
 
 Defined results: a NULL or empty text is one piece that holds the end id; only a
 document of more than `capacity` ids is cut, its first piece taking the
-remainder; NULL or repeated ids are packed row by row; an empty table gives an
-empty result.
+remainder; NULL or repeated ids are packed row by row; ids keep their type; an empty
+table gives an empty result.  Rows are dealt to groups by their place in docs, so equal
+rows don't meet in one; give a table, whose rows a repeated task reads in the same order.
 """
 
 from __future__ import annotations
@@ -24,22 +25,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PIECES = "piece int, start long, length long, ids binary"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of each document with their ids as little-endian unsigned 32-bit integers."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """doc_id and PIECES of each document, the ids as little-endian unsigned 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from paywire.llm.tokens import encoder
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special_as_text)
         end = end_id.to_bytes(enc.width, "little")
         names = ["doc_id", "piece", "start", "length", "ids"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out, held = [], 0
+            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(enc.encode(text.as_py()) + end, f"<u{enc.width}").astype("<u4")
                 at, n = 0, len(ids) % capacity or capacity
@@ -53,7 +55,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL(PIECES).fields])
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)
 
 
 def sums(lengths: Iterable[int]) -> list[int]:
@@ -240,8 +243,8 @@ def assign(parts: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
     Full pieces need no partner, but go through their group as well, which keeps one path.
     """
     columns = parts.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    key = F.pmod(F.xxhash64(*columns), F.lit(n_groups))
+    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group, so one group is held at a time."""
@@ -268,19 +271,19 @@ def assign(parts: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = parts.withColumn("_group", key).repartition("_group").sortWithinPartitions("_group", *columns)
+    dealt = parts.withColumn("_group", key).repartition("_group").sortWithinPartitions("_group", *(f"`{c}`" for c in columns))
     return dealt.mapInArrow(packed, schema)
 
 
 def group_count(docs: DataFrame, text_col: str = "text", group_tokens: int = 8_000_000) -> int:
     """Groups for about `group_tokens` tokens each, taken from the bytes of all texts at 3 bytes a token."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     return max(1, round(total / 3 / group_tokens))
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = 8_000_000, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    cut = pieces(docs, vocabulary, end_id, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, vocabulary, end_id, capacity, id_col, text_col, special_as_text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return assign(cut, group_count(docs, text_col, group_tokens), capacity)
 
 

@@ -1,16 +1,17 @@
 """Token-id files: concatenated ids with Elias-Fano coded document boundaries.
 
 A file is a set of shards in ascending document order.  Each shard is one
-self-contained binary value: header, document ids, NULL marks, boundaries in
-Elias-Fano form with a rank directory, then the ids.  Shards are written by
+self-contained binary value: header, then boundaries and document ids, both rising
+and both in Elias-Fano form with a rank directory, then the ids.  Shards are written by
 Spark as a Parquet table with one row a shard, so that commits, retries and any
-store that Spark knows work as for other tables; only the boundary code and the
-id array are ours.
+store that Spark knows work as for other tables; only the codes and the id array are
+ours.  A shard's row says how many ids its part holds before it, so a reader adds
+up one total a part and no shard moves.
 
 Defined results: a NULL or empty text has no ids but the end id; an empty table
 gives an empty file; rows of one document id stand next to each other, ordered by
 their text's hash; NULL document ids come first and come back as NULL; further
-columns are ignored.
+columns are ignored.  Ids must be of an integer type, as the code stores their order.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-MAGIC = b"PWTOKEN1"
-_HEADER = struct.Struct("<8sIIQQB3xI")  # magic, id width, low bits, documents, ids, flags, high words
+MAGIC = b"PWTOKEN2"
+_HEADER = struct.Struct("<8sIIQQQqIII4x")  # magic, id width, low bits, documents, ids, NULL document ids, least document id, high words, low bits and high words of the document ids
 _BLOCK = 16  # 64-bit words for each entry of the rank directory
 
 
@@ -101,10 +103,11 @@ class EliasFano:
 def pack_shard(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64)
     code = EliasFano.encode(ends)
-    nulls = np.packbits(np.array([d is None for d in doc_ids], np.uint8), bitorder="little").tobytes()
-    head = _HEADER.pack(MAGIC, width, code.low_bits, len(ids), int(ends[-1]) if len(ends) else 0, 0, len(code.high))
-    keys = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    return b"".join([head, code.to_bytes(), keys, nulls, *ids])
+    known = np.array([d for d in doc_ids if d is not None], np.int64)
+    least = int(known[0]) if len(known) else 0
+    keys = EliasFano.encode(known.view(np.uint64) - np.int64(least).view(np.uint64))  # a difference of any two 64-bit ids fits without a sign
+    head = _HEADER.pack(MAGIC, width, code.low_bits, len(ids), int(ends[-1]) if len(ends) else 0, len(ids) - len(known), least, len(code.high), keys.low_bits, len(keys.high))
+    return b"".join([head, code.to_bytes(), keys.to_bytes(), *ids])
 
 
 class Shard:
@@ -112,17 +115,18 @@ class Shard:
 
     def __init__(self, blob: bytes):
         data = memoryview(blob)
-        magic, self.width, low_bits, self.n, self.n_ids, _, words = _HEADER.unpack_from(data)
+        magic, self.width, low_bits, self.n, self.n_ids, self.n_null, least, words, key_bits, key_words = _HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = _HEADER.size
         self.ends, used = EliasFano.from_bytes(data[at:], self.n, low_bits, words)
         at += used
-        self.doc_ids = np.frombuffer(data, "<i8", self.n, at)
-        at += 8 * self.n
-        n_marks = -(-self.n // 8)
-        self.nulls = np.unpackbits(np.frombuffer(data, np.uint8, n_marks, at), count=self.n, bitorder="little").astype(bool)
-        self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at + n_marks)
+        known = self.n - self.n_null
+        keys, used = EliasFano.from_bytes(data[at:], known, key_bits, key_words)
+        # NULL ids come first
+        self.doc_ids = np.concatenate([np.zeros(self.n_null, np.int64), keys.select(np.arange(known)) + np.int64(least)])
+        self.nulls = np.arange(self.n) < self.n_null
+        self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at + used)
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         ends = self.ends.select(np.arange(self.n))
@@ -133,10 +137,10 @@ class Shard:
         return self.ids[lo : int(self.ends.select(np.array([i]))[0])]
 
 
-SHARDS = "part int, seq int, n_docs long, n_tokens long, blob binary"
+SHARDS = "part int, seq int, before long, n_docs long, n_tokens long, blob binary"
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> None:
+def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, special_as_text: bool = False) -> None:
     """Encode `text_col` and write shards of about `shard_bytes` in ascending `id_col` order to `path`.
 
     The rows are dealt by range of (id, text hash), so that a repeated id does not
@@ -146,13 +150,14 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from paywire.llm.tokens import encoder
 
-        enc = encoder(vocabulary)
-        end, part, seq = end_id.to_bytes(enc.width, "little"), TaskContext.get().partitionId(), 0
+        enc = encoder(vocabulary, special_as_text)
+        end, part, seq, before = end_id.to_bytes(enc.width, "little"), TaskContext.get().partitionId(), 0, 0
         keys, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             blob = pack_shard(keys, ids, enc.width)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held // enc.width], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "blob"])
+            counts = [pa.array([x], pa.int64()) for x in (before, len(keys), held // enc.width)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *counts, pa.array([blob], pa.binary())], ["part", "seq", "before", "n_docs", "n_tokens", "blob"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -161,25 +166,22 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 held += len(ids[-1])
                 if held >= shard_bytes:
                     yield flush()
-                    keys, ids, held, seq = [], [], 0, seq + 1
+                    keys, ids, held, seq, before = [], [], 0, seq + 1, before + held // enc.width
         if keys:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, not {docs.schema[id_col].dataType.simpleString()}")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"))
     dealt = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")
     dealt.mapInArrow(shards, SHARDS).write.parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """part, seq and `base`, the ids in all shards before this one.
-
-    Running sums in two levels: within a part, and over the few totals of parts.
-    """
-    sizes = shards.select("part", "seq", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return sizes.withColumn("inside", inside).join(before, "part").select("part", "seq", (F.col("inside") + F.col("before")).alias("base"))
+    """part and `start`, the ids in all parts before it: a row for each task that wrote."""
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    return parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
 
 
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -200,4 +202,5 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> D
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return shards.join(shard_starts(shards), ["part", "seq"]).select("blob", "base").mapInArrow(documents, schema)
+    starts = F.broadcast(shard_starts(shards))  # 12 bytes for each task that wrote
+    return shards.join(starts, "part").select("blob", (F.col("start") + F.col("before")).alias("base")).mapInArrow(documents, schema)

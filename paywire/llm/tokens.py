@@ -4,6 +4,10 @@ A text is cut at ASCII white space in the way the file's own pre-tokeniser cuts
 it, and each distinct chunk is encoded by the library once per worker.  The cut
 changes no id: no merge crosses such a boundary.  Where that could fail (white
 space outside ASCII, other normalisers) the library gets the whole text.
+
+A text that holds the string of one of the file's own control tokens goes to the
+library whole as well, which gives that token's id.  With `special_as_text` such a string
+is ordinary text, so no document can put a control token among its ids.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ class Encoder:
     max_chunks bounds the memory of the memo; a full memo is emptied, which costs time only.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000):
+    def __init__(self, path: str, max_chunks: int = 400_000, special_as_text: bool = False):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(added), re.IGNORECASE).search if added and not special_as_text else None
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.max_chunks = max_chunks
         self.memo = _Memo(self._chunk)
@@ -91,6 +97,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.special and self.special(text):
+            return self.whole(text)
         if self.pieces is None or not text.isascii() and _OTHER_SPACE(text) or text.isascii() and _CONTROL(text):
             return self.whole(text)
         if len(self.memo) > self.max_chunks:
@@ -101,11 +109,12 @@ class Encoder:
 
 
 _CONTROL = re.compile("[\x1c-\x1f]").search
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One per worker process, as its memo is worth keeping between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, special_as_text=special_as_text)
+    return _ENCODERS[key]

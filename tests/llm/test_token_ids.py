@@ -11,14 +11,25 @@ from paywire.llm import token_ids
 from paywire.llm.tokens import Encoder
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-ENCODERS = {p: Encoder(p, max_chunks=50) for p in (WORDS, BYTES)}
+ENCODERS = {(p, special): Encoder(p, max_chunks=50, special_as_text=special) for p in (WORDS, BYTES) for special in (False, True)}
+LIBRARY = {key: Tokenizer.from_file(key[0]) for key in ENCODERS}  # unaltered, but for the option
+for key, own in LIBRARY.items():
+    if key[1]:
+        own.encode_special_tokens = True
+LETTERS = st.sampled_from("ab Z'\n\t\r  \x0b\xa0é,.1９Σς 　<|>́İß\x1c\x85!日本\U0001f600")
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab Z'\n\t\r  \x0b\xa0é,.1９Σς 　<|endoftext|>́İß\x1c\x85!日本\U0001f600", max_size=60))
+@given(st.lists(LETTERS | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "endoftext|>"]), max_size=60).map("".join))
 def test_memo_equals_library(text):
-    for e in ENCODERS.values():
-        assert np.frombuffer(e.encode(text), "<u2").tolist() == e.library.encode(text, add_special_tokens=False).ids
+    for key, e in ENCODERS.items():
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == LIBRARY[key].encode(text, add_special_tokens=False).ids
+
+
+def test_control_strings():
+    ids = lambda p, special: np.frombuffer(ENCODERS[p, special].encode("a<|endoftext|>b"), "<u2").tolist()
+    assert ids(BYTES, False) == [64, 50256, 65] and 50256 not in ids(BYTES, True)
+    assert 49407 in ids(WORDS, False) and 49407 not in ids(WORDS, True)
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,3 +68,27 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_ids.write_token_file(docs, str(tmp_path / "f"), WORDS)
     assert token_ids.read_token_file(spark, str(tmp_path / "f")).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.integers(-(2**63), 2**63 - 1), max_size=40))
+def test_document_ids_of_a_shard(ids):
+    ids = sorted(ids, key=lambda k: (k is not None, k or 0))
+    shard = token_ids.Shard(token_ids.pack_shard(ids, [bytes(2 * (i % 5)) for i in range(len(ids))], 2))
+    assert [None if n else int(k) for k, n in zip(shard.doc_ids, shard.nulls, strict=True)] == ids
+    assert [len(shard.document(i)) for i in range(len(ids))] == [i % 5 for i in range(len(ids))]
+
+
+def test_document_ids_take_little_space():
+    ids = list(range(10**12, 10**12 + 70_000, 7))
+    assert len(token_ids.pack_shard(ids, [b""] * len(ids), 2)) < len(ids) * 1.2
+
+
+def test_long_text_and_ids_of_other_types(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "word " * 100_000), (1, "x" * 200_000)], "doc_id int, text string")
+    token_ids.write_token_file(docs, str(tmp_path / "f"), WORDS)
+    library = Tokenizer.from_file(WORDS)
+    want = [(k, len(library.encode(t, add_special_tokens=False).ids) + 1) for k, t in ((1, "x" * 200_000), (2, "word " * 100_000))]
+    assert [(r["doc_id"], r["n_tokens"]) for r in token_ids.read_token_file(spark, str(tmp_path / "f")).orderBy("start").collect()] == want
+    with pytest.raises(TypeError, match="integer type"):
+        token_ids.write_token_file(docs.selectExpr("cast(doc_id as string) as doc_id", "text"), str(tmp_path / "g"), WORDS)
