@@ -16,7 +16,7 @@ as a list of rows; its formatted text, an output, is.
 
 Defined results: NULL text or content is an empty body; a NULL role is the empty
 role; rows of the same turn are ordered by role, then text; repeated rows are turns
-of their own; NULL conversation ids form one conversation; unknown kinds of part
+of their own; NULL conversation ids form one conversation, ids keep their type; unknown kinds of part
 become placeholders with no tokens.
 """
 
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 OPEN, CLOSE = "[INST:", "[/INST]</s>\n"
 ESCAPE = "\\"
@@ -141,7 +142,7 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), null("string").alias("ref"), null("int").alias("width"), null("int").alias("height"), null("double").alias("seconds"), null("int").alias("pages"))).cast(f"array<{PART}>")
 
 
-FORMATTED = "conv_id long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>, attached_tokens long"
+FORMATTED = "formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>, attached_tokens long"
 
 
 def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), costs: Costs = Costs()) -> DataFrame:
@@ -151,13 +152,14 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
     """
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("attachments", pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("attached_tokens", pa.int64())])
+        fields = [("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("attachments", pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("attached_tokens", pa.int64())]
         now, turns, loss, length, visitor, started, ready = None, [], [], 0, Visitor(costs), False, []
 
         def done() -> dict:
             return {"conv_id": now, "formatted": "".join(turns), "loss": loss, "attachments": visitor.attachments, "attached_tokens": sum(a["tokens"] for a in visitor.attachments)}
 
         for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field(0).type), *fields])
             for conv, role, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if started and conv != now:
                     ready.append(done())
@@ -176,8 +178,9 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
             yield pa.RecordBatch.from_pylist([*ready, done()], schema)
 
     order = ["conv_id", "turn", "role", F.to_json("content")]
-    dealt = messages.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "content").repartition("conv_id").sortWithinPartitions(*order)
-    return dealt.select("conv_id", "role", "content").mapInArrow(formatted, FORMATTED)
+    dealt = messages.select("conv_id", "turn", "role", "content").repartition("conv_id").sortWithinPartitions(*order)
+    schema = StructType([StructField("conv_id", messages.schema["conv_id"].dataType), *StructType.fromDDL(FORMATTED).fields])
+    return dealt.select("conv_id", "role", "content").mapInArrow(formatted, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -198,7 +201,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                     chars += len(under)
                 rows.append((conv, n, turns.hexdigest(), chars, masked.hexdigest(), len(text)))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    schema = StructType([StructField("conv_id", formatted.schema["conv_id"].dataType), *StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields])
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(read, schema)

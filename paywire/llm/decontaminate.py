@@ -1,6 +1,7 @@
 """Benchmark decontamination: an FM-index per shard of the training documents.
 
-A task cuts its documents into shards of about `shard_words` words.  A shard's
+A task cuts each batch of documents that it is handed into shards of at most about
+`shard_words` words, so an index is never larger than that or one document.  A shard's
 text is its word ids; words that no benchmark phrase holds become separators, and
 runs of benchmark words shorter than the shortest phrase are left out, as no
 phrase fits there.  Over that text it builds a suffix array, the Burrows-Wheeler
@@ -21,12 +22,13 @@ documents are judged each; empty tables give no hits or an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paywire.llm.common import saved
 
@@ -184,8 +186,8 @@ HITS = "n_words long, starts array<int>, ends array<int>, items array<string>"
 def _pass(docs: DataFrame, phrases: Phrases, key_cols: list[str], text_col: str, shard_words: int) -> DataFrame:
     """key_cols and HITS of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    rows = docs.select(*key_cols, F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + HITS
+    rows = docs.select(*key_cols, F.col(f"`{text_col}`"))
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(HITS).fields])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -227,11 +229,12 @@ def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int,
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, key_cols: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, block_phrases: int = 500_000) -> DataFrame:
     """key_cols (none may be named like the others), n_words, starts, ends (merged spans of word positions, end exclusive) and items (distinct, sorted as strings)."""
-    blocks = list(phrase_blocks(benchmark, item_id, item_text, window, block_phrases)) or [Phrases([], window)]
-    if len(blocks) == 1:
-        return _pass(docs, blocks[0], key_cols, text_col, shard_words)
+    blocks = phrase_blocks(benchmark, item_id, item_text, window, block_phrases)  # one at a time on the driver
+    first, second = next(blocks, None) or Phrases([], window), next(blocks, None)
+    if second is None:
+        return _pass(docs, first, key_cols, text_col, shard_words)
     tagged = saved(docs.select(*key_cols, text_col, F.monotonically_increasing_id().alias("_row")), "decontaminate")
-    passes = [_pass(tagged, b, [*key_cols, "_row"], text_col, shard_words) for b in blocks]
+    passes = [_pass(tagged, b, [*key_cols, "_row"], text_col, shard_words) for b in chain([first, second], blocks)]
     every = passes[0]
     for x in passes[1:]:
         every = every.unionByName(x)

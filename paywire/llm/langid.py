@@ -278,8 +278,13 @@ def _calibrate(model: Model, held: dict[str, list[str]]) -> None:
     model.limit = np.array([1.1 * np.quantile(h[y == k, k], 0.995) if (y == k).any() else np.inf for k in range(len(model.languages))])
 
 
-def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on the `max_rows` rows of each language with the smallest id hash; only these reach the driver."""
+def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_text_bytes: int = 1 << 20) -> Model:
+    """Train on the `max_rows` rows of each language with the smallest id hash; only these reach the driver.
+
+    Rows with longer texts than `max_text_bytes` are not learned from, and rows of one
+    repeated id don't add up to more than `max_rows`; so the driver's share is bounded.
+    """
+    docs = docs.where(F.octet_length(text_col) <= max_text_bytes)
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"))
     # thinned by hash first, so that no language's rows meet in one task
     sizes = {r["l"]: r["n"] for r in ids.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -292,13 +297,15 @@ def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col:
     chosen = thin.withColumn("rank", rank).where(F.col("rank") <= max_rows).select("k", "l").distinct()
     rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), ["k", "l"])
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.select("l", F.xxhash64("k").alias("h"), "t").collect(), key=lambda r: (r["l"], r["h"], r["t"] or "")):
+    rows = rows.select("l", F.xxhash64("k").alias("h"), "t").orderBy("h", "l", "t").limit(max_rows * len(sizes))
+    for r in sorted(rows.collect(), key=lambda r: (r["l"], r["h"], r["t"] or "")):
         texts.setdefault(r["l"], []).append(r["t"])
+    texts = {x: t[:max_rows] for x, t in texts.items()}
     return train(texts)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `language`: lang, score, accepted."""
+    """docs with a struct column `language` (in place of one of that name): lang, score, accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 

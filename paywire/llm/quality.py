@@ -147,8 +147,12 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Train on the `max_rows` rows of `labels` with the smallest id hash; only these reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_text_bytes: int = 1 << 20) -> Network:
+    """Train on the `max_rows` rows of `labels` with the smallest id hash; only these reach the driver.
+
+    Rows with longer texts than `max_text_bytes` are not learned from, which bounds the driver's share.
+    """
+    docs = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= max_text_bytes)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(known), id_col).orderBy(F.xxhash64(id_col), "_t").limit(max_rows).select("_t", "_y").collect()
@@ -156,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
 
 
 def with_scores(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with the score in `score_col` (in place of a column of that name)."""
     shared = docs.sparkSession.sparkContext.broadcast((net, net.pairs()))
 
     @F.arrow_udf("double")
