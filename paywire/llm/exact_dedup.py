@@ -1,18 +1,23 @@
-"""Exact dedup by two passes over a Bloom filter.
+"""Exact dedup by two passes over a Bloom filter that is dealt over the cluster.
 
-Pass 1 sets the bits of every row's digest in a filter `once`; a bit that a
-second row sets goes to `twice`.  Tasks emit their bits by segment, the segments
-are merged, and only `twice` comes back.  Pass 2: a row that misses a bit of
-`twice` is surely alone and passes straight through; the others, true repeats and
-a few false positives, shuffle by digest and are grouped exactly.
+Rows are written once in blocks, with a digest each.  The filter is cut into ranges
+of at most `max_filter_bytes` at `bits_per_row`; a digest's first word picks its range,
+the next two its four bits there.  Pass 1: each block sends a range the bits that its
+rows set, and apart from them those that two of its rows set; the task that owns a range
+finds the bits set twice and sends each block those of its own.  Pass 2: a row that misses
+such a bit is surely alone and passes straight through; the others, true repeats and a
+few false positives, shuffle by digest and are grouped exactly.
 
-The filter has `bits_per_row` bits a row and at most `max_filter_bytes`; that
-bound is what reaches the driver and is broadcast.  Where a table needs more, no
-filter is built and all digests (never the texts) shuffle, with the same result.
+Only bits, and digests and ids of rows that may repeat, ever shuffle; texts never do, as
+blocks are bucketed and what comes back meets them where they are.  No part of the
+filter reaches the driver, so any number of rows takes this one path.  A repeated text
+counts once a block, so one text in a third of all rows loads no range.
 
 Defined results: NULL counts as the empty text; texts are equal when they are
 after each run of ASCII white space is replaced by one space; of equal texts the
-smallest id stays (NULL ids last), of rows with the same id and text exactly one.
+smallest id in the id's own order stays (NULL ids last), of rows with the same id and
+text the one written first; an empty table gives an empty result; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from paywire.llm.common import saved
+from paywire.llm.common import bucketed, saved
 
-SEGMENT = 1 << 16  # bits
 PROBES = 4
+BLOCK_BYTES = 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -38,96 +45,162 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
-def _probes(digests: pa.Array, bits: int) -> np.ndarray:
-    """Four bit positions a row: the digest's own 64-bit words."""
-    if not len(digests):
-        return np.zeros((0, PROBES), np.int64)
-    raw = np.frombuffer(b"".join(digests.to_pylist()), "<u8").reshape(-1, 4)
-    return (raw & np.uint64(bits - 1)).astype(np.int64)
+class Filter:
+    """How the filter is cut: `ranges` of `bits` bits each."""
 
+    def __init__(self, n_rows: int, bits_per_row: int, max_filter_bytes: int):
+        total = max(1, n_rows) * bits_per_row
+        self.ranges = max(8, -(-total // (8 * max_filter_bytes)))
+        self.bits = max(64, -(-total // self.ranges))
 
-def repeated_filter(digests: DataFrame, n_rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> np.ndarray | None:
-    """`twice` as bytes, or None where it would be over the bound.  digests: one column `digest` of 32 bytes."""
-    bits = max(SEGMENT, 1 << (max(1, n_rows) * bits_per_row - 1).bit_length())
-    if bits > 8 * max_filter_bytes:
-        return None
+    def probes(self, digests: pa.Array) -> np.ndarray:
+        """Four positions a row, range by range: [rows, PROBES]."""
+        if not len(digests):
+            return np.zeros((0, PROBES), np.int64)
+        words = np.frombuffer(b"".join(digests.to_pylist()), "<u8").reshape(-1, 4)
+        halves = words[:, 1:3].copy().view("<u4").astype(np.int64)
+        return (words[:, :1] % np.uint64(self.ranges)).astype(np.int64) * self.bits + halves % self.bits
 
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > BLOCK_BYTES:
+        half = batch.num_rows // 2
+        yield from _halves(batch.slice(0, half))
+        yield from _halves(batch.slice(half))
+    else:
+        yield batch
+
+
+def _blocks(rows: DataFrame, max_rows: int) -> DataFrame:
+    """block, n, and each column of rows as an array, in a bucketed table; a block is one task's run of rows."""
+
+    names = ["block", "n", *rows.columns]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n, size = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            lists = [pa.ListArray.from_arrays(np.array([0, n], np.int32), c) for c in whole.columns]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int64()), *lists], names)
+
+        for batch in batches:
+            for part in _halves(batch):
+                held.append(part)
+                n, size = n + part.num_rows, size + part.nbytes
+                if n >= max_rows or size >= BLOCK_BYTES:
+                    if n:
+                        yield done()
+                    block, held, n, size = block + 1, [], 0, 0
+        if n:
+            yield done()
+
+    schema = StructType([StructField("block", LongType()), StructField("n", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
+    return bucketed(rows.mapInArrow(packed, schema), "exact", "block", max(1, rows.rdd.getNumPartitions()))
+
+
+def _bits_set_twice(blocks: DataFrame, how: Filter) -> DataFrame:
+    """block, found: the positions among those of its rows that several rows of the table set, as (range, bits)."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, times = np.unique(_probes(batch.column(0), bits), return_counts=True)
-            segment, at = where // SEGMENT, (where % SEGMENT).astype("<u2")
-            cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-            ends = np.append(cuts[1:], len(where))
-            once = [at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            twice = [at[a:b][times[a:b] > 1].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(segment[cuts], pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+            for block, digests in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                where, times = np.unique(how.probes(digests.values), return_counts=True)
+                owner, at = where // how.bits, (where % how.bits).astype("<u4")
+                cuts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(where)]
+                once = [at[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                twice = [at[a:b][times[a:b] > 1].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]], pa.int64()), pa.array(np.full(len(once), block), pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["range", "block", "once", "twice"])
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, twice = None, [], []
+
+        def done() -> pa.RecordBatch:
+            each = [np.frombuffer(x, "<u4") for _, x in held]
+            at, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            order = np.sort(at)
+            again = np.zeros(how.bits, bool)
+            again[order[1:][order[1:] == order[:-1]]] = True
+            again[np.frombuffer(b"".join(twice), "<u4")] = True
+            out = [(block, x[again[x]].tobytes()) for (block, _), x in zip(held, np.split(at, ends[:-1]), strict=True)]
+            out = [x for x in out if x[1]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([now] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "range", "bits"])
+
         for batch in batches:
-            for segment, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                have = once.setdefault(segment, np.zeros(SEGMENT, bool))
-                again = twice.setdefault(segment, np.zeros(SEGMENT, bool))
-                new = np.frombuffer(one, "<u2")
-                again[new[have[new]]] = True
-                again[np.frombuffer(two, "<u2")] = True
-                have[new] = True
-        packed = [np.packbits(x, bitorder="little").tobytes() for x in twice.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int64()), pa.array(packed, pa.binary())], ["segment", "bits"])
-
-    parts = digests.select("digest").mapInArrow(mine, "segment long, once binary, twice binary")
-    found = np.zeros(bits // 8, np.uint8)
-    for row in parts.repartition("segment").mapInArrow(merged, "segment long, bits binary").toLocalIterator():
-        found[row["segment"] * SEGMENT // 8 : (row["segment"] + 1) * SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
-    return found
-
-
-def possibly_repeated(df: DataFrame, twice: np.ndarray | None) -> DataFrame:
-    """df (with a column `digest`) and a boolean column `maybe`."""
-    if twice is None:
-        return df.withColumn("maybe", F.lit(True))
-    shared = df.sparkSession.sparkContext.broadcast(twice)
-
-    @F.arrow_udf("boolean")
-    def probe(digests: pa.Array) -> pa.Array:
-        bits = shared.value
-        at = _probes(digests, 8 * len(bits))
-        return pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1))
-
-    return df.withColumn("maybe", probe("digest"))
+            for owner, block, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and owner != now:
+                    yield done()
+                    held, twice = [], []
+                now = owner
+                held.append((block, one))
+                twice.append(two)
+        if held:
+            yield done()
+
+    parts = blocks.select("block", "digest").mapInArrow(sent, "range long, block long, once binary, twice binary")
+    owned = parts.repartition(min(how.ranges, 100_000), "range").sortWithinPartitions("range")
+    back = owned.mapInArrow(returned, "block long, range long, bits binary")
+    return saved(back.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("found")), "twice")
+
+
+def possibly_repeated(blocks: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 1 << 20) -> DataFrame:
+    """block, pos, id, digest and a boolean `maybe` of each row of the blocks."""
+    how = Filter(blocks.agg(F.sum("n")).first()[0] or 0, bits_per_row, max_filter_bytes)
+
+    @F.arrow_udf("array<boolean>")
+    def probe(digests: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for d, f in zip(digests, found, strict=True):
+            at = how.probes(d.values)
+            have = np.concatenate([np.zeros(0, np.int64), *(x["range"] * how.bits + np.frombuffer(x["bits"], "<u4").astype(np.int64) for x in f.as_py() or [])])
+            have.sort()
+            place = np.searchsorted(have, at)
+            hit = have[np.minimum(place, len(have) - 1)] == at if len(have) else np.zeros(at.shape, bool)
+            out.append(hit.all(1).tolist())
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    rows = blocks.select("block", "id", "digest").join(_bits_set_twice(blocks, how), "block", "left")
+    each = rows.select("block", F.posexplode(F.arrays_zip("id", "digest", probe("digest", "found").alias("maybe"))).alias("pos", "x"))
+    return each.select("block", "pos", F.col("x.id").alias("id"), F.col("x.digest").alias("digest"), F.col("x.maybe").alias("maybe"))
+
+
+def _repeated(marked: DataFrame) -> DataFrame:
+    """digest, first (none, id, block, pos) and group_size of each digest that several rows have.
+
+    Written, so that a join with it stands alone and adaptive execution can split a hot digest.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "pos")).alias("first")
+    return saved(marked.where("maybe").groupBy("digest").agg(first, F.count("*").alias("group_size")).where("group_size > 1"), "digest-groups")
 
 
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = saved(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("tag")), "digests")
-    marked = possibly_repeated(digests, repeated_filter(digests, digests.count(), **bounds))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    groups = marked.where("maybe").groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = saved(groups, "digest-groups")  # the join below then stands alone, so that adaptive execution can split a hot digest
+    blocks = _blocks(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest")), 250_000)
+    marked = possibly_repeated(blocks, **bounds)
+    groups = _repeated(marked)
     sha = F.lower(F.hex("digest")).alias("text_sha256")
-    straight = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    one = F.lit(1).cast("long")
+    straight = marked.where("not maybe").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), sha)
     grouped = (
         marked.where("maybe")
         .join(groups, "digest", "left")
-        .select("doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("tag") == F.col("first.tag"), F.lit(True)).alias("kept"), sha)
+        .select(
+            F.col("id").alias("doc_id"),
+            F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
+            F.coalesce("group_size", one).alias("group_size"),
+            F.coalesce((F.col("block") == F.col("first.block")) & (F.col("pos") == F.col("first.pos")), F.lit(True)).alias("kept"),
+            sha,
+        )
     )
     return straight.unionByName(grouped)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows that stay, with all columns of docs.  docs is read three times: give a table, not a costly plan.
-
-    Beyond the bound of the filter the digests alone shuffle first, and the filter is
-    built from the repeated ones; so rows without a copy still pass straight through.
-    """
-    columns = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), text_digest(F.col(text_col)).alias("digest"))
-    twice = repeated_filter(keyed, docs.count(), **bounds)
-    if twice is None:
-        repeated = saved(keyed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
-        twice = repeated_filter(repeated.union(repeated), repeated.count(), **bounds)  # each stands for two rows
-    marked = possibly_repeated(keyed, twice)
-    key = F.struct(F.col(f"row.`{id_col}`").isNull(), F.col(f"row.`{id_col}`"))
-    firsts = marked.where("maybe").groupBy("digest").agg(F.min_by("row", key).alias("row"))
-    return marked.where("not maybe").select("row").unionByName(firsts.select("row")).select("row.*")
+    """The rows that stay, with all columns of docs.  Only the places of rows to drop go back to the blocks."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    blocks = _blocks(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), whole), 20_000)
+    marked = possibly_repeated(blocks, **bounds)
+    repeats = marked.where("maybe").join(_repeated(marked), "digest").where("block != first.block or pos != first.pos")
+    dropped = saved(repeats.groupBy("block").agg(F.collect_list("pos").alias("dropped")), "dropped")
+    each = blocks.select("block", "row").join(dropped, "block", "left").select("dropped", F.posexplode("row").alias("pos", "row"))
+    return each.where(F.col("dropped").isNull() | ~F.array_contains("dropped", F.col("pos"))).select("row.*")

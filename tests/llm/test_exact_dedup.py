@@ -48,8 +48,22 @@ def test_many_copies_and_empty_table(spark):
 
 
 def test_filter_of_repeated_digests_only(spark):
-    """6,000 rows are over the bound of 8,192 bytes; the 40 repeated texts are not."""
+    """A filter far over 1,024 bytes, in ranges of at most that: texts without a copy still pass straight through."""
     docs = spark.range(6000).selectExpr("id as doc_id", "concat('t', if(id < 80, id % 40, id)) as text")
-    assert exact_dedup.repeated_filter(docs.select(exact_dedup.text_digest(docs.text).alias("digest")), 6000, max_filter_bytes=8192) is None
-    found = exact_dedup.deduplicate(docs, max_filter_bytes=8192)
+    found = exact_dedup.deduplicate(docs, max_filter_bytes=1024)
     assert sorted(r["doc_id"] for r in found.collect()) == [*range(40), *range(80, 6000)]
+    blocks = exact_dedup._blocks(docs.select(docs.doc_id.alias("id"), exact_dedup.text_digest(docs.text).alias("digest")), 1000)
+    assert exact_dedup.Filter(6000, 16, 1024).ranges == 12 and blocks.count() > 1
+    marked = exact_dedup.possibly_repeated(blocks, max_filter_bytes=1024)
+    maybe = {r["id"] for r in marked.where("maybe").collect()}
+    assert marked.count() == 6000 and set(range(80)) <= maybe and len(maybe) < 80 + 200
+
+
+def test_text_ids_ties_and_odd_names(spark):
+    rows = [("b", "x  y", 1), ("b", "x y", 2), ("a", "z", 3), (None, "x\ty", 4), ("c", None, 5), ("d", "", 6)]
+    docs = spark.createDataFrame(rows, "`my id` string, `my text` string, `a.b c` int")
+    found = exact_dedup.deduplicate(docs, "my id", "my text")
+    assert found.columns == docs.columns
+    assert sorted(r["my id"] for r in found.collect()) == ["a", "b", "c"]
+    report = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.duplicate_report(docs, "my id", "my text").collect()}
+    assert report == {("b", "b", 3), (None, "b", 3), ("a", "a", 1), ("c", "c", 2), ("d", "c", 2)}
