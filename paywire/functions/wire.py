@@ -88,15 +88,19 @@ def sniff(data: bytes, table: list[tuple[int, int, bool] | None]) -> tuple[str,
     raise first
 
 
-def build(mti: str | None, fields: dict[int, bytes], dialect: str, table: list[tuple[int, int, bool] | None]) -> bytes:
-    """All is checked before a byte is made."""
+def build(mti: str | None, fields: dict[int | None, bytes | None], dialect: str, table: list[tuple[int, int, bool] | None]) -> bytes:
+    """All is checked before a byte is made; a NULL number or value, such as from text that is no number or no hex, is an error like others."""
+    if None in fields:
+        raise Bad("InvalidFieldNumber")
     binary, numbers = dialect == "binary", sorted(fields)
     if mti is None or len(mti) != 4 or not (mti.isascii() and mti.isdigit()):
         raise Bad("InvalidMti")
     for number in numbers:
-        n = len(fields[number])
         if not 2 <= number <= 128:
             raise Bad("InvalidFieldNumber", number)
+        if fields[number] is None:
+            raise Bad("InvalidValue", number)
+        n = len(fields[number])
         if table[number] is None:
             raise Bad("UnknownField", number)
         prefix, size, numeric = table[number]

@@ -79,9 +79,9 @@ def diff(df: DataFrame, keys: list[str], mt: str, xml: str) -> DataFrame:
         error = F.coalesce(mx.parse_error(d), F.when(d["Document"]["FIToFICstmrCdtTrf"].isNull(), F.lit("UnsupportedDocument")))
         return F.struct(error.alias("error"), *(v.alias(k) for k, v in mx_roles(d).items()))
 
-    parsed = df.select(*keys, swift.parse(F.col(mt)).alias("_m"), mx.once(mx.parse(F.col(xml)), read).alias("_x"))
+    parsed = df.select(*keys, swift.parse(F.col(mt)).alias("_m"), F.col(xml).isNull().alias("_none"), mx.once(mx.parse(F.col(xml)), read).alias("_x"))
     m, x = F.col("_m"), F.col("_x")
-    error = F.coalesce(m["error"], F.when(m.isNull(), F.lit("MissingMt")), x["error"])
+    error = F.coalesce(m["error"], F.when(m.isNull(), F.lit("MissingMt")), F.when(F.col("_none"), F.lit("MissingMx")), x["error"])
     left = mt_roles(m["b4"])
     pair = lambda r: F.struct(F.lit(r).alias("role"), left[r].alias("mt"), x[r].alias("mx"))
     none = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("mt"), F.lit(None).cast("string").alias("mx")))
@@ -97,5 +97,29 @@ def diff(df: DataFrame, keys: list[str], mt: str, xml: str) -> DataFrame:
     return rows.withColumn("lost_suffix", F.when(F.col("verdict") == "truncated", F.col("_lost"))).drop("_lost")
 
 
+def pair(mts: DataFrame, mxs: DataFrame, keys: list[str], mt: str, xml: str) -> DataFrame:
+    """keys, mt, xml of two tables by a full outer join; diff() tells which side of a pair is missing.
+
+    Repeated keys pair each with each; of NULL keys none has a partner.
+    """
+    left = mts.select(*keys, F.col(mt).alias("mt"))
+    return left.join(mxs.select(*keys, F.col(xml).alias("xml")), keys, "full_outer")
+
+
+def payloads(rows: DataFrame) -> DataFrame:
+    """rows with `payload`, JSON of role, verdict and only what the verdict needs: the lost suffix and its length, or the values that differ."""
+    verdict = F.col("verdict")
+    show = lambda c, *verdicts: F.when(verdict.isin(*verdicts), c)
+    told = F.struct(
+        "role",
+        "verdict",
+        show(F.col("mt_value"), "added", "mismatch", "reformatted").alias("mt"),
+        show(F.col("mx_value"), "dropped", "mismatch", "reformatted").alias("mx"),
+        show(F.col("lost_suffix"), "truncated").alias("lost_suffix"),
+        show(F.length("lost_suffix"), "truncated").alias("lost_chars"),
+    )
+    return rows.withColumn("payload", F.when(F.col("role").isNotNull(), F.to_json(told)))
+
+
 def lossy(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("verdict").isin("truncated", "dropped"))

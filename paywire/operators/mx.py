@@ -25,6 +25,22 @@ def parse(xml: Column) -> Column:
     return F.from_xml(xml, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"})
 
 
+def message_type(doc: Column) -> Column:
+    """The type as the header names it."""
+    return doc["AppHdr"]["MsgDefIdr"]
+
+
+def to_json(doc: Column) -> Column:
+    """The paths that are read, as JSON; what is absent is left out."""
+    return F.to_json(F.struct(doc["AppHdr"].alias("AppHdr"), doc["Document"].alias("Document")))
+
+
+def to_xml(doc: Column) -> Column:
+    """The paths that are read, as an envelope that parse() reads back to the same value."""
+    whole = F.struct(doc["AppHdr"].alias("AppHdr"), doc["Document"].alias("Document"))
+    return F.when(parse_error(doc).isNull(), F.to_xml(whole, {"rowTag": "Envelope", "attributePrefix": "_", "valueTag": "_VALUE"}))
+
+
 def once(value: Column, use) -> Column:
     """use(value) with value worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -94,6 +110,18 @@ def address_gate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("gate", F.when(F.col("errors") > 0, 2).when(F.col("non_compliant") > 0, 1).otherwise(0))
 
 
+def address_reports(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, all_compliant, failing (parties in order), report (JSON with its nulls kept), error: one row a message."""
+    line = F.struct("party", "verdict", "town_name", "country", "unstructured_lines", "remediation")
+    each = rows.groupBy(*keys).agg(F.first("message_type").alias("message_type"), F.first("error").alias("error"), F.array_sort(F.collect_list(F.struct((F.col("party") != "debtor").alias("second"), line.alias("line")))).alias("lines"))
+    found = each.withColumn("lines", F.when(F.col("error").isNull(), F.transform("lines", lambda x: x["line"])))
+    bad = F.filter("lines", lambda x: x["verdict"] != "compliant")
+    good = F.size(bad) == 0
+    report = F.to_json(F.struct("message_type", good.alias("compliant"), F.col("lines").alias("rows")), {"ignoreNullFields": "false"})
+    ok = F.col("error").isNull()
+    return found.select(*keys, F.when(ok, good).alias("all_compliant"), F.transform(bad, lambda x: x["party"]).alias("failing"), F.when(ok, report).alias("report"), "error")
+
+
 def csv_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Columns in the order of the CSV report; write with header, quote and escape as a double quote and CRLF."""
     return rows.select(*keys, "message_type", "party", "verdict", F.col("town_name").isNotNull().alias("has_town"), F.col("country").isNotNull().alias("has_country"), "unstructured_lines", "remediation", "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywire.functions.bytesx import to_hex
 from paywire.operators import iso8583
 
 #: Our own values for the card acceptor's fields; cut or padded with blanks to the field's length.
@@ -59,3 +60,33 @@ def sanitize(df: DataFrame, keys: list[str], wire: str, acceptor: dict[int, str]
     size = F.when(F.array_contains("touched", 2), anonymity(F.col("_pan"))).otherwise(F.lit(0).cast("long"))
     only = lambda c: F.when(ok, c)
     return out.select(*keys, only(F.col("wire")).alias("wire"), only(F.col("dialect")).alias("dialect"), only(F.col("touched")).alias("touched"), only(size).alias("anonymity"), only((F.size("touched") > 0) & (size < LOW_ANONYMITY)).alias("low_anonymity"), "error")
+
+
+SANITIZE_VERSION = 1
+NOTE_48 = "field 48 auto-masked as all-X, review by hand for personal data that is left"
+
+
+def with_meta(sanitized: DataFrame) -> DataFrame:
+    """sanitize()'s rows with wire_hex, sha256 (of the redacted bytes), byte_length, round_trip_verified, sanitize_version and notes; NULL where refused."""
+    ok = F.col("error").isNull()
+    only = lambda c: F.when(ok, c)
+    notes = F.when(F.array_contains("touched", 48), F.lit(NOTE_48)).otherwise(F.lit(""))
+    return sanitized.select(
+        "*",
+        only(to_hex(F.col("wire"))).alias("wire_hex"),
+        only(F.sha2("wire", 256)).alias("sha256"),
+        only(F.octet_length("wire")).alias("byte_length"),
+        ok.alias("round_trip_verified"),
+        F.lit(SANITIZE_VERSION).alias("sanitize_version"),
+        only(notes).alias("notes"),
+    )
+
+
+def meta_toml(*also: tuple[str, Column]) -> Column:
+    """The meta columns of a with_meta() row as TOML text, after pairs of a name and a text column of the caller's own."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    line = lambda name, c: F.concat(F.lit(f"{name} = "), c.cast("string"), F.lit("\n"))
+    numbers = F.concat(F.lit("["), F.array_join(F.transform("touched", lambda x: x.cast("string")), ", "), F.lit("]"))
+    own = [line(name, quoted(c)) for name, c in also]
+    plain = [line(n, F.col(n)) for n in ("sanitize_version", "round_trip_verified", "byte_length")]
+    return F.concat(*own, *plain, line("sha256_redacted", quoted(F.col("sha256"))), line("fields_redacted", numbers), line("anonymity_set_size", F.col("anonymity")), line("dialect", quoted(F.col("dialect"))), line("notes", quoted(F.col("notes"))))

@@ -10,11 +10,16 @@ from paywire.operators import iso8583
 from paywire.operators.fieldspec import FieldSpec
 
 
+#: What a valid message has not been tested for.
+LIMITATIONS = ("the account number's check digit", "the characters of numeric and alphabetic fields", "whether a currency is in ISO 4217", "the integrity of codes and PIN blocks")
+
+
 def validate(wire: Column, spec: FieldSpec = FieldSpec()) -> Column:
-    """struct<valid, dialect, error>; NULL bytes (such as from bad hex) are a result, not a failure."""
+    """struct<valid, dialect, error, checks, limitations>; NULL bytes (such as from bad hex) are a result, not a failure."""
+    told = [F.array(F.lit("wire_structure")).alias("checks"), F.array(*(F.lit(x) for x in LIMITATIONS)).alias("limitations")]
     m = iso8583.sniff(wire, spec)
     return F.element_at(
-        F.transform(F.array(m), lambda x: F.struct((x.isNotNull() & x["error"].isNull()).alias("valid"), x["dialect"].alias("dialect"), F.when(x.isNull(), F.lit("InvalidHex")).otherwise(x["error"]["code"]).alias("error"))), 1
+        F.transform(F.array(m), lambda x: F.struct((x.isNotNull() & x["error"].isNull()).alias("valid"), x["dialect"].alias("dialect"), F.when(x.isNull(), F.lit("InvalidHex")).otherwise(x["error"]["code"]).alias("error"), *told)), 1
     )
 
 
@@ -38,6 +43,17 @@ def message_json(message: Column, pretty: bool = False) -> Column:
     return F.to_json(view, {"pretty": "true"} if pretty else {})
 
 
+def message_tree(message: Column, spec: FieldSpec = FieldSpec()) -> Column:
+    """A message as an indented text: type, bitmap, numbers of its fields, then a line a field with name, length and value."""
+    names = _names(spec)
+    numbers = F.transform(message["fields"], lambda f: f["number"])
+    shown = lambda v: F.coalesce(F.concat(F.lit('"'), printable(v), F.lit('"')), F.concat(F.lit("hex:"), to_hex(v)))
+    line = lambda f: F.format_string("  [%3d] %s (%d bytes): %s", f["number"], F.coalesce(F.element_at(names, f["number"]), F.lit("Unknown")), F.octet_length(f["value"]), shown(f["value"]))
+    held = F.when(F.size(numbers) > 0, F.array_join(F.transform(numbers, lambda n: n.cast("string")), ", ")).otherwise(F.lit("(no fields)"))
+    head = F.concat(F.lit("ISO 8583 Message\nMTI: "), message["mti"], F.lit("\nBitmap: "), iso8583.bitmap_hex(numbers), F.lit("\nFields set: "), held)
+    return F.when(message["error"].isNull(), F.array_join(F.concat(F.array(head), F.transform(message["fields"], line)), "\n"))
+
+
 def preview(text: Column, width: int = 60) -> Column:
     """One line: line ends shown as escapes, cut with three dots."""
     line = F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))

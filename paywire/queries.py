@@ -36,12 +36,13 @@ SPEC = conf.MaskSpec("orders", (conf.Mask(7, "volatile"), conf.Mask(11, "volatil
 
 
 @query(f"""
-SELECT o_orderkey, unnest([0, 2, 4, 39, 48]) AS number,
-  unnest(['0210', {_PAN}, lpad({_CENTS}::VARCHAR, 12, '0'), {_CODE}, o_orderpriority]) AS value FROM orders""")
+SELECT * FROM (
+  SELECT o_orderkey, unnest([0, 2, 3, 4, 7, 11, 39, 41, 48, 49, 70]) AS number,
+    unnest(['0210', {_PAN}, left(o_orderpriority, 1) || '00000', lpad({_CENTS}::VARCHAR, 12, '0'), strftime(o_orderdate, '%m%d%H%M%S'), lpad((o_orderkey % 1000000)::VARCHAR, 6, '0'),
+      {_CODE}, 'T' || lpad((o_custkey % 10000000)::VARCHAR, 7, '0'), o_orderpriority, '840', CASE WHEN o_orderkey % 5 = 0 THEN '301' END]) AS value FROM orders) WHERE value IS NOT NULL""")
 def iso8583_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = synth.iso_wires(spark, sf_dir).select("o_orderkey", iso.parse(F.col("wire"), "hybrid").alias("m"))
-    rows = iso.long_view(parsed, "m", ["o_orderkey"])
-    return rows.where(F.col("number").isin(0, 2, 4, 39, 48)).select("o_orderkey", "number", F.decode("value", "US-ASCII").alias("value"))
+    return iso.long_view(parsed, "m", ["o_orderkey"]).select("o_orderkey", "number", F.decode("value", "US-ASCII").alias("value"))
 
 
 @query(f"SELECT {_CODE} AS code, count(*) AS n, sum({_CENTS})::BIGINT AS cents FROM orders GROUP BY ALL")
@@ -160,25 +161,23 @@ def conformance_lost_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(False).join(view(True), ["o_orderkey", "number"], "left_anti")
 
 
-@query("""
-SELECT number AS field, verdict, count(*) AS n FROM (
-  SELECT unnest([0, 2, 3, 4, 39, 41, 48, 49]) AS number, o_orderkey AS k FROM orders),
-  LATERAL (SELECT CASE WHEN number = 39 AND k % 11 = 0 OR number = 41 AND k % 17 = 0 OR number = 48 AND k % 13 = 0 THEN 'UNEXPLAINED' ELSE 'equal' END AS verdict) GROUP BY ALL""")
+@query(_DIFF + "SELECT field, mask, verdict, reason, count(*) AS n FROM d GROUP BY ALL")
 def conformance_long_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same diff from two separate tables of fields, by a full outer join."""
-    keep = F.col("number").isin(0, 2, 3, 4, 39, 41, 48, 49)
-    view = lambda migrated: iso.long_view(synth.iso_wires(spark, sf_dir, migrated).select("o_orderkey", iso.parse(F.col("wire"), "hybrid").alias("m")), "m", ["o_orderkey"]).where(keep).withColumn("occurrence", F.lit(0))
-    rows = conf.diff_views(view(False), view(True), ["o_orderkey"], conf.MaskSpec())
-    return rows.groupBy("field", "verdict").agg(F.count("*").alias("n"))
+    view = lambda migrated: iso.long_view(synth.iso_wires(spark, sf_dir, migrated).select("o_orderkey", iso.parse(F.col("wire"), "hybrid").alias("m")), "m", ["o_orderkey"]).withColumn("occurrence", F.lit(0))
+    rows = conf.diff_views(view(False), view(True), ["o_orderkey"], SPEC)
+    return rows.groupBy("field", "mask", "verdict", "reason").agg(F.count("*").alias("n"))
 
 
 @query("""
-SELECT o_orderkey, unnest(['20', '32A', '59']) AS tag,
-  unnest([o_orderkey::VARCHAR, strftime(o_orderdate, '%y%m%d') || 'USD' || (c // 100)::VARCHAR || ',' || lpad((c % 100)::VARCHAR, 2, '0'), '/67890' || chr(13) || chr(10) || 'SOME CREDITOR']) AS value
-FROM (SELECT *, floor(o_totalprice * 100 + 0.5)::BIGINT AS c FROM orders JOIN customer ON o_custkey = c_custkey)""")
+SELECT * FROM (
+  SELECT o_orderkey, unnest(['20', '32A', '50K', '59', '70']) AS tag,
+    unnest([o_orderkey::VARCHAR, strftime(o_orderdate, '%y%m%d') || 'USD' || (c // 100)::VARCHAR || ',' || lpad((c % 100)::VARCHAR, 2, '0'),
+      '/12345' || chr(13) || chr(10) || left(rtrim(repeat(c_name || ' ', (1 + o_orderkey % 9)::INT)), 140), '/67890' || chr(13) || chr(10) || 'SOME CREDITOR', CASE WHEN o_orderkey % 4 <> 0 THEN 'ORDER ' || o_orderkey || ' PAID' END]) AS value
+  FROM (SELECT *, floor(o_totalprice * 100 + 0.5)::BIGINT AS c FROM orders JOIN customer ON o_custkey = c_custkey)) WHERE value IS NOT NULL""")
 def swift_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = synth.mt_mx(spark, sf_dir).select("o_orderkey", F.explode(swift.parse(F.col("mt"))["b4"]).alias("f"))
-    return parsed.where(F.col("f.tag").isin("20", "32A", "59")).select("o_orderkey", "f.tag", "f.value")
+    return parsed.select("o_orderkey", "f.tag", "f.value")
 
 
 @query("""
@@ -192,12 +191,14 @@ def swift_32a_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind", F.col("d.error").alias("error")).agg(F.count("*").alias("n"), F.count("d.currency").alias("currencies"))
 
 
-@query("SELECT o_orderkey, '12345' AS account, (1 + o_orderkey % 9) * (length(c_name) + 1) - 1 <= 35 AS accepted FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("""
+SELECT o_orderkey, CASE WHEN ok THEN '12345' END AS account, CASE WHEN ok THEN replace(upper(name), '#', '-') END AS name, CASE WHEN NOT ok THEN 'InvalidLength' END AS error
+FROM (SELECT *, length(name) <= 35 AS ok FROM (SELECT o_orderkey, left(rtrim(repeat(c_name || ' ', (1 + o_orderkey % 9)::INT)), 140) AS name FROM orders JOIN customer ON o_custkey = c_custkey))""")
 def swift_50k_party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are in mixed case with a `#`, so they are judged in capitals without it."""
+    """Names are in mixed case with a `#`, so they are judged in capitals without it; a refused field has no account."""
     raw = F.upper(F.replace(swift.first(swift.parse(F.col("mt"))["b4"], "50K"), F.lit("#"), F.lit("-")))
     rows = synth.mt_mx(spark, sf_dir).select("o_orderkey", swift.decode_50k(raw).alias("d"))
-    return rows.select("o_orderkey", F.coalesce("d.account", F.lit("12345")).alias("account"), F.col("d.error").isNull().alias("accepted"))
+    return rows.select("o_orderkey", "d.account", F.array_join("d.lines", "|").alias("name"), "d.error")
 
 
 @query("""
@@ -392,3 +393,271 @@ def hexdump_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, dumped to the last byte, and squeezed; hexdump_lines holds the first line's form against SQL."""
     data = F.encode("text", "UTF-8")
     return synth.table(spark, sf_dir, "documents").select("doc_id", hexdump(data, 2**31 - 1).alias("dump"), squeeze(F.col("text")).alias("squeezed"))
+
+
+@query("""
+SELECT c_custkey, '00000000  ' || h1 || '  ' || h2 || '  |' || c_name[:16] || '|' || chr(10) || '00000010  ' || rpad(h3, 23, ' ') || '  ' || repeat(' ', 23) || '  |' || c_name[17:] || '|' AS dump
+FROM (SELECT c_custkey, c_name, array_to_string(p[1:8], ' ') AS h1, array_to_string(p[9:16], ' ') AS h2, array_to_string(p[17:], ' ') AS h3
+  FROM (SELECT *, regexp_extract_all(lower(hex(c_name)), '..') AS p FROM customer))""")
+def hexdump_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole names, which take two lines."""
+    return synth.table(spark, sf_dir, "customer").select("c_custkey", hexdump(F.encode("c_name", "US-ASCII")).alias("dump"))
+
+
+def _replaced(start: int, text: str) -> F.Column:
+    """The hybrid wire with `text` from byte `start` (from 1) on."""
+    return F.expr(f"concat(substring(wire, 1, {start - 1}), encode('{text}', 'US-ASCII'), substring(wire, {start + len(text)}))")
+
+
+@query("""
+SELECT o_orderkey % 7 AS kind, CASE o_orderkey % 7 WHEN 0 THEN 'InvalidLengthPrefix' WHEN 1 THEN 'LengthExceedsMax' WHEN 2 THEN 'InvalidBitmapHex' WHEN 3 THEN 'InvalidBcdNibble' WHEN 4 THEN 'UnknownField' WHEN 5 THEN 'InsufficientBytes' END AS code,
+  CASE WHEN o_orderkey % 7 IN (0, 1, 4) THEN 2 END::INT AS field, CASE WHEN o_orderkey % 7 IN (0, 3) THEN CASE o_orderkey % 7 WHEN 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE 12 END ELSE 0 END END::INT AS place, count(*) AS n
+FROM orders GROUP BY ALL""")
+def iso8583_more_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error kinds that iso8583_parse_errors does not make; places are those of a prefix and of the type."""
+    from paywire.operators.fieldspec import FieldSpec
+
+    closed = FieldSpec.closed("no 2", [d for n, d in FieldSpec().fields.items() if n != 2])
+    kind, prefix = F.col("o_orderkey") % 7, F.when(F.col("o_orderkey") % 5 == 0, 21).otherwise(13)
+    at_prefix = lambda text: F.when(prefix == 21, _replaced(21, text)).otherwise(_replaced(13, text))
+    ways = [(at_prefix("x6"), "hybrid", None), (at_prefix("99"), "hybrid", None), (_replaced(5, "zz"), "ascii", None), (F.concat(F.lit(bytearray(b"\x0a\x10")), F.expr("substring(wire, 5)")), "binary", None), (F.col("wire"), "hybrid", closed), (F.expr("substring(wire, 1, 3)"), "hybrid", None)]
+    error = F.lit(None).cast("struct<code:string,field:int,offset:int>")
+    for k, (wire, dialect, spec) in enumerate(ways):
+        found = iso.parse(wire, dialect, spec) if spec else iso.parse(wire, dialect)
+        error = F.when(kind == k, found["error"].cast("struct<code:string,field:int,offset:int>")).otherwise(error)
+    rows = synth.iso_wires(spark, sf_dir).select(kind.alias("kind"), error.alias("e"))
+    return rows.groupBy("kind", F.col("e.code").alias("code"), F.when(F.col("kind").isin(0, 1, 4), F.col("e.field")).alias("field"), F.when(F.col("kind").isin(0, 3), F.col("e.offset")).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey % 9 AS kind, CASE o_orderkey % 9 WHEN 0 THEN 'InvalidMti' WHEN 1 THEN 'InvalidFieldNumber' WHEN 2 THEN 'InvalidFieldNumber' WHEN 3 THEN 'InvalidValue' WHEN 4 THEN 'FixedLengthMismatch' WHEN 5 THEN 'LengthExceedsMax' WHEN 6 THEN 'InvalidBcdDigit' WHEN 7 THEN 'InvalidMti' END AS code,
+  CASE o_orderkey % 9 WHEN 1 THEN 129 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 3 END::INT AS field, o_orderkey % 9 = 8 AS built, count(*) AS n
+FROM orders GROUP BY ALL""")
+def iso8583_build_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL numbers and values are errors like others, and fail no job."""
+    kind = F.col("o_orderkey") % 9
+    text = lambda c: F.encode(c, "US-ASCII")
+    number = F.when(kind == 1, 129).when(kind == 2, F.lit(None)).when(kind == 5, 2).otherwise(3).cast("int")
+    value = F.when(kind == 3, F.lit(None)).when(kind == 4, text(F.lit("1"))).when(kind == 5, text(F.repeat(F.lit("4"), F.lit(20)))).when(kind == 6, text(F.lit("12345x"))).otherwise(text(F.lit("000000")))
+    mti = F.when(kind == 0, F.lit("02x0")).when(kind == 7, F.lit(None)).otherwise(F.lit("0210"))
+    made = iso.build(mti, F.array(F.struct(number.alias("number"), value.alias("value"))), F.when(kind == 6, F.lit("binary")).otherwise(F.lit("hybrid")))
+    rows = synth.table(spark, sf_dir, "orders").select(kind.alias("kind"), made.alias("b"))
+    return rows.groupBy("kind", F.col("b.error.code").alias("code"), F.col("b.error.field").alias("field"), F.col("b.wire").isNotNull().alias("built")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'InvalidFieldNumber' WHEN 2 THEN 'InvalidValue' END AS error,
+  CASE WHEN o_orderkey % 4 IN (0, 3) THEN {_PAN} END AS pan, CASE o_orderkey % 4 WHEN 0 THEN 'abc' WHEN 3 THEN o_orderpriority END AS note
+FROM orders""")
+def iso8583_json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages written as JSON, with hex values, a key that is no number and hex that is none, built and parsed again."""
+    kind = F.col("o_orderkey") % 4
+    pan = F.concat(F.lit("4"), F.lpad(F.col("o_custkey").cast("string"), 15, "0"))
+    note = F.when(kind == 0, F.lit('"48": "hex:61 62 63"')).when(kind == 1, F.lit('"x48": "abc"')).when(kind == 2, F.lit('"48": {"hex": "6"}')).otherwise(F.concat(F.lit('"48": {"hex": "'), F.hex(F.encode("o_orderpriority", "US-ASCII")), F.lit('"}')))
+    text = F.concat(F.lit('{"mti": "0210", "fields": {"2": "'), pan, F.lit('", '), note, F.lit("}}"))
+    rows = synth.table(spark, sf_dir, "orders").select("o_orderkey", files.json_message(text).alias("j"))
+    made = rows.select("o_orderkey", iso.build(F.col("j.mti"), F.col("j.fields")).alias("b")).select("o_orderkey", "b", iso.parse(F.col("b.wire"), "hybrid").alias("m"))
+    value = lambda n: F.decode(iso.field(F.col("m"), n), "US-ASCII")
+    return made.select("o_orderkey", F.col("b.error.code").alias("error"), value(2).alias("pan"), value(48).alias("note"))
+
+
+@query("""
+SELECT o_orderkey, unnest([3, 4, 39, 48]) AS number, unnest(['n', 'n', 'an', 'ans']) AS type, unnest([6, 12, 2, length(o_orderpriority)])::INT AS length,
+  unnest([left(o_orderpriority, 1) || '00000', lpad(floor(o_totalprice * 100 + 0.5)::BIGINT::VARCHAR, 12, '0'), CASE o_orderstatus WHEN 'F' THEN '00' WHEN 'O' THEN '05' ELSE '12' END, o_orderpriority]) AS value_text,
+  unnest([NULL, NULL, NULL, 'Order note']) AS own_name FROM orders""")
+def iso8583_message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views under a spec from TOML that gives field 48 a name of its own; four of the fields, each checked against its hex."""
+    from paywire.operators.fieldspec import FieldSpec
+
+    spec = FieldSpec.from_toml('name = "own"\n[[field]]\nnumber = 48\ntype = "ans"\nlength = {lllvar = 999}\nname = "Order note"\n')
+    parsed = synth.iso_wires(spark, sf_dir).select("o_orderkey", iso.parse(F.col("wire"), "hybrid", spec).alias("m"))
+    rows = iso.message_view(parsed, "m", ["o_orderkey"], spec).where(F.col("number").isin(3, 4, 39, 48) & (F.unhex("value_hex") == F.encode("value_text", "US-ASCII")))
+    return rows.select("o_orderkey", "number", "type", "length", "value_text", F.when(F.col("number") == 48, F.col("name")).alias("own_name"))
+
+
+@query("""
+SELECT o_orderkey, '{3:{108:' || o_orderkey || '}{119:STP}}' AS block3, '{5:{CHK:123456789ABC}{TNG:}}' AS block5, o_orderkey::VARCHAR AS user_reference, 'STP' AS flag, '' AS training FROM orders""")
+def swift_tagged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks 3 and 5, read and built again."""
+    mt = F.concat(F.lit("{1:F01X}{3:{108:"), F.col("o_orderkey").cast("string"), F.lit("}{119:STP}}{4:\r\n:20:A\r\n-}{5:{CHK:123456789ABC}{TNG:}}"))
+    rows = synth.table(spark, sf_dir, "orders").select("o_orderkey", swift.parse(mt).alias("b"))
+    wire = swift.build(F.col("b"))["wire"]
+    part = lambda k, end: F.regexp_extract(wire, rf"(\{{{k}:.*\}}){end}", 1)
+    return rows.select("o_orderkey", part(3, r"\{4").alias("block3"), part(5, "$").alias("block5"), swift.first(F.col("b.b3"), "108").alias("user_reference"), swift.first(F.col("b.b3"), "119").alias("flag"), swift.first(F.col("b.b5"), "TNG").alias("training"))
+
+
+@query("""
+SELECT o_orderkey % 5 AS kind, CASE o_orderkey % 5 WHEN 0 THEN 'MissingBlockSeparator' WHEN 1 THEN 'InvalidBlockId' WHEN 2 THEN 'MalformedField' WHEN 3 THEN 'MalformedTag' END AS error, count(*) AS n FROM orders GROUP BY ALL""")
+def swift_more_block_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 5
+    mt = F.when(kind == 0, F.lit("{1F01X}")).when(kind == 1, F.lit("{7:X}")).when(kind == 2, F.lit("{4:\r\n:20:A\r\n:-x\r\n-}")).when(kind == 3, F.lit("{3:{108}}")).otherwise(F.lit("{1:F01X}"))
+    return synth.table(spark, sf_dir, "orders").select(kind.alias("kind"), swift.parse(mt)["error"].alias("error")).groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey % 6 AS kind, CASE o_orderkey % 6 WHEN 0 THEN 'InvalidTag' WHEN 1 THEN 'InvalidSubTag' WHEN 2 THEN 'ValueSplitsField' WHEN 3 THEN 'ValueEndsBlock' WHEN 4 THEN 'BraceInValue' END AS error, o_orderkey % 6 = 5 AS built, count(*) AS n FROM orders GROUP BY ALL""")
+def swift_build_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 6
+    pair = lambda tag, value: F.array(F.struct(tag.alias("tag"), value.alias("value")))
+    value = F.when(kind == 2, F.lit("A\n:B")).when(kind == 3, F.lit("A\r\n-\r\nB")).when(kind == 4, F.lit("A}B")).otherwise(F.lit("A"))
+    blocks = F.struct(F.lit("F01X").alias("b1"), F.lit(None).cast("string").alias("b2"), F.when(kind == 1, pair(F.lit("1{8"), F.lit("x"))).alias("b3"), pair(F.when(kind == 0, F.lit("2 0")).otherwise(F.lit("20")), value).alias("b4"), F.lit(None).alias("b5"), F.lit(None).cast("string").alias("error")).cast(swift.BLOCKS)
+    made = synth.table(spark, sf_dir, "orders").select(kind.alias("kind"), swift.build(blocks).alias("b"))
+    return made.groupBy("kind", F.col("b.error").alias("error"), F.col("b.wire").isNotNull().alias("built")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey % 4 AS kind, CASE o_orderkey % 4 WHEN 1 THEN 'InvalidLength' WHEN 2 THEN 'InvalidCharset' END AS error, CASE o_orderkey % 4 WHEN 3 THEN 'raw' ELSE 'reference' END AS semantic,
+  count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0) AS references_, count(*) FILTER (o_orderkey % 4 = 3) AS raws FROM orders GROUP BY ALL""")
+def swift_20_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoder by tag: 20 in three states, and a tag that no decoder knows."""
+    kind = F.col("o_orderkey") % 4
+    raw = F.when(kind == 1, F.lit("ABCDEFGHIJKLMNOPQ")).when(kind == 2, F.lit("a#")).otherwise(F.col("o_orderkey").cast("string"))
+    found = synth.table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), swift.decode(F.when(kind == 3, F.lit("77B")).otherwise(F.lit("20")), raw).alias("d"))
+    good = lambda c: F.count_if(F.col(c) == F.col("o_orderkey").cast("string"))
+    return found.groupBy("kind", F.col("d.error").alias("error"), F.col("d.kind").alias("semantic")).agg(F.count("*").alias("n"), good("d.reference").alias("references_"), good("d.raw").alias("raws"))
+
+
+_CELLS = conf.MaskSpec.from_toml('interface = "cells"\n' + "".join(f'[[mask]]\nfield = {n}\nmask = "{m}"\n{x}\n' for n, m, x in ((2, "volatile", ""), (3, "crypto", ""), (4, "intended-delta", 'expect_hex = "62"'))))
+
+
+@query("""
+WITH c AS (SELECT unnest([1, 2, 3, 4]) AS field, o_orderkey % 4 AS cell FROM orders),
+v AS (
+  SELECT field, cell, CASE field WHEN 1 THEN 'stable' WHEN 2 THEN 'volatile' WHEN 3 THEN 'crypto' ELSE 'intended-delta' END AS mask,
+    CASE WHEN field = 2 THEN 'volatile-normalized' WHEN field = 3 THEN 'crypto-excluded' WHEN field = 1 THEN CASE WHEN cell = 3 THEN 'equal' ELSE 'UNEXPLAINED' END
+         WHEN cell IN (1, 3) THEN 'intended-delta' ELSE 'UNEXPLAINED' END AS verdict,
+    CASE WHEN field = 1 AND cell IN (1, 2) THEN 'presence_mismatch' WHEN field = 1 AND cell = 0 THEN 'occurrence_count_diff' WHEN field = 4 AND cell = 2 THEN 'intended_delta_unmet' WHEN field = 4 AND cell = 0 THEN 'occurrence_count_diff' END AS reason
+  FROM c)
+SELECT field, cell, mask, verdict, reason, count(*) AS n FROM v GROUP BY ALL""")
+def conformance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mask with a field on the migrated side only (1), the legacy side only (2), both (3), and twice against once (0)."""
+    lines = synth.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("cell"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number"))
+    keys = ["o_orderkey", "cell"]
+    b, side = F.lit(bytearray(b"b")), lambda *cells: F.col("cell").isin(*cells)
+    legacy = lines.where(side(0, 2, 3)).select(*keys, "number", F.explode(F.when(F.col("cell") == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("occurrence"), b.alias("value"))
+    migrated = lines.where(side(0, 1, 3)).select(*keys, "number", F.lit(0).alias("occurrence"), b.alias("value"))
+    rows = conf.diff_views(legacy, migrated, keys, _CELLS)
+    return rows.groupBy("field", "cell", "mask", "verdict", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey % 3 AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'equal' ELSE 'UNEXPLAINED' END AS verdict, CASE o_orderkey % 3 WHEN 1 THEN 'value_diff' WHEN 2 THEN 'length_diff' END AS reason, count(*) AS n FROM orders GROUP BY ALL""")
+def conformance_worst_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that occurs three times on either side: the first drift among the pairs counts."""
+    kind = F.col("o_orderkey") % 3
+    orders = synth.table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+    text = lambda s: F.lit(bytearray(s.encode()))
+    view = lambda third, second: orders.select("o_orderkey", "kind", F.lit(9).alias("number"), F.posexplode(F.array(text("a"), second, third)).alias("occurrence", "value"))
+    other = F.when(F.col("kind") == 2, text("xyz")).otherwise(text("b"))
+    rows = conf.diff_views(view(text("c"), text("b")), view(F.when(F.col("kind") == 0, text("c")).otherwise(text("d")), other), ["o_orderkey", "kind"], conf.MaskSpec())
+    return rows.groupBy("kind", "verdict", "reason").agg(F.count("*").alias("n"))
+
+
+@query(_ADDRESS + """, g AS (SELECT c_custkey, s, cc, bad, message_type AS t FROM a)
+SELECT c_custkey, CASE WHEN NOT bad THEN s = 0 END AS all_compliant, CASE WHEN bad THEN NULL WHEN s = 0 THEN '' ELSE 'creditor' END AS failing, CASE WHEN bad THEN 'MalformedXml' END AS error,
+  CASE WHEN NOT bad THEN '{"message_type":"' || t || '","compliant":' || (s = 0)::VARCHAR || ',"rows":[{"party":"debtor","verdict":"compliant","town_name":"Town ' || c_custkey || '","country":"' || cc || '","unstructured_lines":0,"remediation":null},{"party":"creditor","verdict":"'
+    || CASE s WHEN 0 THEN 'compliant","town_name":"Town ' || c_custkey || '","country":"' || cc || '","unstructured_lines":0,"remediation":null'
+              WHEN 1 THEN 'missing_structured","town_name":null,"country":null,"unstructured_lines":2,"remediation":"add TwnNm and Ctry; 2 unstructured line(s) present"'
+              WHEN 2 THEN 'missing_structured","town_name":"Town ' || c_custkey || '","country":null,"unstructured_lines":0,"remediation":"add Ctry"'
+              ELSE 'no_address","town_name":null,"country":null,"unstructured_lines":null,"remediation":"add a postal address with TwnNm and Ctry"' END || '}]}' END AS report
+FROM g""")
+def mx_address_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mx.check_addresses(synth.address_envelopes(spark, sf_dir), ["c_custkey"], "xml")
+    return mx.address_reports(rows, ["c_custkey"]).select("c_custkey", "all_compliant", F.array_join("failing", ",").alias("failing"), "error", "report")
+
+
+@query("""
+SELECT c_custkey % 2 = 1 AS with_gaps, count(*) FILTER (c_custkey % 4 = 0) AS compliant, count(*) FILTER (c_custkey % 4 <> 0) AS non_compliant, 0::BIGINT AS errors, max((c_custkey % 4 <> 0)::INT)::INT AS gate
+FROM customer WHERE c_custkey % 5 <> 4 AND (c_custkey % 4 = 0 OR c_custkey % 2 = 1) GROUP BY 1""")
+def mx_address_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate 0 of a batch without gaps and gate 1 of one with them."""
+    rows = mx.check_addresses(synth.address_envelopes(spark, sf_dir).where("c_custkey % 5 <> 4"), ["c_custkey"], "xml")
+    gates = [mx.address_gate(rows.where(of), ["c_custkey"]).withColumn("with_gaps", F.lit(gaps)) for of, gaps in (("c_custkey % 4 = 0", False), ("c_custkey % 2 = 1", True))]
+    return gates[0].unionByName(gates[1])
+
+
+@query(_ADDRESS + "SELECT DISTINCT c_custkey, message_type, true AS same FROM a WHERE NOT bad")
+def mx_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type as the header names it, and XML and JSON of what was read, which are read back to the same value."""
+    docs = synth.address_envelopes(spark, sf_dir).select("c_custkey", mx.parse(F.col("xml")).alias("d")).select("c_custkey", "d", mx.to_xml(F.col("d")).alias("x")).where("x is not null")
+    again = mx.to_json(mx.parse(F.col("x"))) == mx.to_json(F.col("d"))
+    return docs.select("c_custkey", mx.message_type(F.col("d")).alias("message_type"), again.alias("same"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS k, rtrim(repeat(c_name || ' ', (1 + o_orderkey % 9)::INT)) AS name FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (
+  SELECT k, 'debtor_name' AS role, CASE WHEN length(name) > 140 THEN '{"role":"debtor_name","verdict":"truncated","lost_suffix":"' || name[141:] || '","lost_chars":' || (length(name) - 140) || '}' ELSE '{"role":"debtor_name","verdict":"equal"}' END AS payload FROM p
+  UNION ALL SELECT k, 'creditor_name', CASE WHEN k % 7 = 0 THEN '{"role":"creditor_name","verdict":"mismatch","mt":"SOME CREDITOR","mx":"OTHER CREDITOR"}' ELSE '{"role":"creditor_name","verdict":"equal"}' END FROM p
+  UNION ALL SELECT k, 'remittance_info', '{"role":"remittance_info","verdict":"' || CASE WHEN k % 12 = 0 THEN 'absent_both"}' WHEN k % 6 = 0 THEN 'added","mt":"ORDER ' || k || ' PAID"}'
+    WHEN k % 4 = 0 THEN 'dropped","mx":"ORDER ' || k || CASE WHEN k % 5 = 0 THEN '  PAID"}' ELSE ' PAID"}' END WHEN k % 5 = 0 THEN 'reformatted","mt":"ORDER ' || k || ' PAID","mx":"ORDER ' || k || '  PAID"}' ELSE 'equal"}' END FROM p
+  UNION ALL SELECT k, 'settlement_amount', '{"role":"settlement_amount","verdict":"equal"}' FROM p
+  UNION ALL SELECT k, 'settlement_currency', '{"role":"settlement_currency","verdict":"equal"}' FROM p)
+SELECT k AS o_orderkey, role, payload, NULL AS error FROM r WHERE k % 10 NOT IN (1, 2)
+UNION ALL SELECT k, NULL, NULL, CASE k % 10 WHEN 1 THEN 'MissingMt' ELSE 'MissingMx' END FROM p WHERE k % 10 IN (1, 2)""")
+def mtmx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides from two tables, each of which lacks some; payloads as JSON."""
+    both = synth.mt_mx(spark, sf_dir)
+    pairs = mtmx.pair(both.where("o_orderkey % 10 <> 1"), both.where("o_orderkey % 10 <> 2"), ["o_orderkey"], "mt", "mx")
+    return mtmx.payloads(mtmx.diff(pairs, ["o_orderkey"], "mt", "xml")).select("o_orderkey", "role", "payload", "error")
+
+
+@query(f"""
+WITH w AS (SELECT *, (o_orderkey % 4 = 0) AS short FROM orders)
+SELECT o_orderkey, CASE WHEN short THEN '4XXXXX' ELSE left({_PAN}, 6) || 'XXXXXX' || right({_PAN}, 4) END AS pan, CASE WHEN short THEN 10000 ELSE 100000 END::BIGINT AS anonymity, false AS low,
+  CASE WHEN short THEN 'sanitize_version = 1' || chr(10) || 'round_trip_verified = true' || chr(10) || 'byte_length = 20' || chr(10) ELSE 'sanitize_version = 1' || chr(10) || 'round_trip_verified = true' || chr(10) || 'byte_length = 30' || chr(10) END AS head,
+  sha256(chr(48) || '210' || '@' || repeat(chr(0), 7) || CASE WHEN short THEN '064XXXXX' ELSE '16' || left({_PAN}, 6) || 'XXXXXX' || right({_PAN}, 4) END) AS sha256
+FROM w""")
+def redact_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a card number alone, long or of six digits, whose redacted bytes are plain text; the digest and the first lines of the meta text."""
+    pan = F.when(F.col("o_orderkey") % 4 == 0, F.lit("412345")).otherwise(F.concat(F.lit("4"), F.lpad(F.col("o_custkey").cast("string"), 15, "0")))
+    wires = synth.table(spark, sf_dir, "orders").select("o_orderkey", iso.build(F.lit("0210"), F.array(F.struct(F.lit(2).alias("number"), F.encode(pan, "US-ASCII").alias("value"))))["wire"].alias("wire"))
+    done = redact.with_meta(redact.sanitize(wires, ["o_orderkey"], "wire")).withColumn("toml", redact.meta_toml())
+    shown = F.decode(iso.field(iso.parse(F.col("wire"), "hybrid"), 2), "US-ASCII")
+    return done.select("o_orderkey", shown.alias("pan"), "anonymity", F.col("low_anonymity").alias("low"), F.regexp_extract("toml", "(?s)^(.*)sha256_redacted", 1).alias("head"), "sha256")
+
+
+@query("SELECT l_linenumber = 7 AS other, count(*) AS frames, count(*) FILTER (l_linenumber <> 7) AS matched, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS gate FROM lineitem GROUP BY ALL UNION ALL SELECT NULL, 0, 0, 2")
+def layout_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates 0 and 1, and 2 of no frames, under the layout as TOML has it."""
+    text = 'name = "reply"\n' + "".join(f'[[field]]\nname = "{n}"\nlen = {size}\n' for n, size in LAYOUT.fields)
+    same, frames = fixed.Layout.from_toml(text), _frames(spark, sf_dir)
+    gates = [fixed.layout_gate(frames.where(of), "frame", same).withColumn("other", F.lit(other).cast("boolean")) for of, other in (("l_linenumber <> 7", False), ("l_linenumber = 7", True), ("false", None))]
+    return gates[0].unionByName(gates[1]).unionByName(gates[2])
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'UNEXPLAINED' ELSE 'equal' END AS amount, 'equal' AS account, (CASE WHEN o_orderkey % 3 = 0 THEN 75 ELSE 100 END)::INT AS percent FROM orders""")
+def layout_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sides' fixed frames, diffed by field and rolled up; every third order has another amount."""
+    text = F.concat(F.lit("0210OK"), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"), F.lpad(F.floor("o_totalprice").cast("string"), 12, "0"))
+    frames = synth.table(spark, sf_dir, "orders").select("o_orderkey", F.encode(text, "US-ASCII").alias("frame"))
+    other = frames.withColumn("frame", F.when(F.col("o_orderkey") % 3 == 0, F.expr("concat(substring(frame, 1, 26), encode('999999999999', 'US-ASCII'))")).otherwise(F.col("frame")))
+    keys = ["o_orderkey"]
+    rows = conf.diff_views(fixed.long_view(frames, "frame", keys, LAYOUT), fixed.long_view(other, "frame", keys, LAYOUT), keys, conf.MaskSpec())
+    of = lambda n, name: F.max(F.when(F.col("field") == n, F.col("verdict"))).alias(name)
+    return rows.groupBy(*keys).agg(of(3, "amount"), of(2, "account")).join(conf.coverage(rows, keys).select(*keys, "percent"), keys)
+
+
+@query("""
+WITH d AS (SELECT source AS path, doc_id, strlen(text) + 8 AS size FROM documents),
+s AS (SELECT path, sum(size)::BIGINT AS size FROM d GROUP BY 1)
+SELECT path, 8::BIGINT AS offset_, size + 8 + 13 AS bytes, count_ + 1 AS records, size + 8 AS last_offset FROM s JOIN (SELECT path, count(*) AS count_ FROM d GROUP BY 1) USING (path)""")
+def log_append_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of every source's texts, each with one record more; then cut back to the mark, and the texts appended again.
+
+    A source's logs are added up, so offsets are those of its first log where it has one only.
+    """
+    docs = synth.table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("o"), F.encode("text", "UTF-8").alias("payload"))
+    files_ = log.log_files(docs, "path", "o", "payload").select(F.concat_ws("/", "path", "segment").alias("path"), "content")
+    cut = log.truncated(files_, F.lit(0))
+    dealt = docs.join(docs.groupBy("path").agg(F.ceil(F.sum(F.octet_length("payload") + 8) / (4 << 20)).alias("k")), "path").withColumn("path", F.concat_ws("/", "path", F.pmod(F.xxhash64("o", "payload"), F.col("k"))))
+    first = log.appended(cut, dealt)
+    ends = first.select("path", F.lit(2**40).alias("o"), F.lit(bytearray(b"close")).alias("payload"))
+    last = ends.where(F.substring_index("path", "/", -1) == "0")
+    second = log.appended(first.drop("offset"), last).withColumnRenamed("offset", "closed")
+    read = log.explode_logs(second).groupBy("path").agg(F.count("payload").alias("records"))
+    whole = second.join(first.select("path", "offset"), "path").join(read, "path").withColumn("path", F.substring_index("path", "/", 1))
+    n = F.octet_length("content").cast("long")
+    many = F.count("*") - 1  # a mark for each further log
+    return whole.groupBy("path").agg(F.min("offset").alias("offset_"), (F.sum(n) - 8 * many).alias("bytes"), F.sum("records").alias("records"), (F.sum(n) - 8 * many - 13).alias("last_offset"))

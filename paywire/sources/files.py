@@ -20,19 +20,21 @@ def xml_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def listed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, content; a file that isn't there has NULL content and fails nothing."""
-    wanted = spark.createDataFrame([(p,) for p in paths], "wanted string")
-    found = None
-    for p in paths:
-        try:
-            one = spark.read.format("binaryFile").load(p).select(F.lit(p).alias("path"), "content")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "path string, content binary")
-    return wanted.join(found, F.col("wanted") == F.col("path"), "left").select(F.col("wanted").alias("path"), "content")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    full, there = {}, []
+    for p in dict.fromkeys(paths):
+        place = hadoop.Path(p)
+        store = place.getFileSystem(conf)
+        full[p] = store.makeQualified(place).toString()
+        if store.exists(place):
+            there.append(p)
+    wanted = spark.createDataFrame([(p, full[p]) for p in paths], "path string, place string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    if not there:
+        return wanted.select("path", F.lit(None).cast("binary").alias("content"))
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(there).select(plain(F.col("path")).alias("place"), "content")
+    return wanted.withColumn("place", plain(F.col("place"))).join(found, "place", "left").select("path", "content")
 
 
 def labelled_batch(spark: SparkSession, entries: list[tuple[str | None, str]]) -> DataFrame:

@@ -79,6 +79,28 @@ def framed(payload: F.Column) -> F.Column:
     return F.concat(little(F.octet_length(payload).cast("long")), little(F.crc32(payload)), payload)
 
 
+def appended(logs: DataFrame, more: DataFrame, key: str = "path", content: str = "content", order: str = "o", payload: str = "payload") -> DataFrame:
+    """key, content, offset of logs with the records of `more` (key, order, payload) at their ends; offset: where the first new record stands.
+
+    A key without a log gets a new one.  A log that does not begin with the format's mark, and one
+    that would take a NULL or over-long payload, stays as it is, with offset NULL.
+    """
+    p = F.col(payload)
+    fits = F.coalesce(F.octet_length(p) <= MAX_PAYLOAD, F.lit(False))
+    new = more.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.when(fits, framed(p)).alias("r")))).alias("_rs"), F.min(fits).alias("_fits"))
+    both = logs.select(key, F.col(content).alias("_old")).join(new, key, "full_outer")
+    old = F.coalesce("_old", F.lit(bytearray(MAGIC)))
+    sound = F.col("_rs").isNotNull() & F.col("_fits") & (F.substring(old, 1, 8) == F.lit(bytearray(MAGIC)))
+    body = F.unhex(F.array_join(F.transform("_rs", lambda x: F.hex(x["r"])), ""))
+    return both.select(key, F.when(sound, F.concat(old, body)).otherwise(F.col("_old")).alias(content), F.when(sound, F.octet_length(old).cast("long")).alias("offset"))
+
+
+def truncated(logs: DataFrame, at: F.Column, content: str = "content") -> DataFrame:
+    """logs cut to `at` bytes, such as the offset of a damaged tail; never inside the mark, and a place past the end changes nothing."""
+    keep = F.greatest(at, F.lit(len(MAGIC)))
+    return logs.withColumn(content, F.when(keep < F.octet_length(content), F.substring(F.col(content), F.lit(1), keep.cast("int"))).otherwise(F.col(content)))
+
+
 def log_files(df: DataFrame, file_key: str, order: str, payload: str, segment_bytes: int = 4 << 20) -> DataFrame:
     """path, segment, latest, content: logs of about `segment_bytes` a key, records in order in each; a payload over the limit makes its log's content NULL.
 
