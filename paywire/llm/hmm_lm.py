@@ -45,7 +45,7 @@ from paywire.llm.common import LOWER_TABLE, bucketed, saved
 
 CLASSES, STATES, SEGMENTS = 1 << 15, 8, 16
 BLOCK_TOKENS = 2_000_000
-TRAIN_CUT = 100_000
+TRAIN_CUT = 1_000
 BATCH_TOKENS = 500_000
 END = b""  # no word is empty
 
@@ -271,7 +271,7 @@ def first_model(prior: np.ndarray, seed: int = 3) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES), emit / emit.sum(0))
 
 
-def score_documents(docs: DataFrame, held_out: Column, passes: int = 10, settled: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, passes: int = 12, settled: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     held_out: true where a document must not be learned from.
