@@ -26,15 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from paywire.llm.common import bucketed, saved
+from paywire.llm.blocks import blocks_of, rows_but
+from paywire.llm.common import saved
 
 PROBES = 4
-BLOCK_BYTES = 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -62,43 +60,6 @@ class Filter:
         return (words[:, :1] % np.uint64(self.ranges)).astype(np.int64) * self.bits + halves % self.bits
 
 
-def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows > 1 and batch.nbytes > BLOCK_BYTES:
-        half = batch.num_rows // 2
-        yield from _halves(batch.slice(0, half))
-        yield from _halves(batch.slice(half))
-    else:
-        yield batch
-
-
-def _blocks(rows: DataFrame, max_rows: int) -> DataFrame:
-    """block, n, and each column of rows as an array, in a bucketed table; a block is one task's run of rows."""
-
-    names = ["block", "n", *rows.columns]
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, n, size = TaskContext.get().partitionId() << 32, [], 0, 0
-
-        def done() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            lists = [pa.ListArray.from_arrays(np.array([0, n], np.int32), c) for c in whole.columns]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int64()), *lists], names)
-
-        for batch in batches:
-            for part in _halves(batch):
-                held.append(part)
-                n, size = n + part.num_rows, size + part.nbytes
-                if n >= max_rows or size >= BLOCK_BYTES:
-                    if n:
-                        yield done()
-                    block, held, n, size = block + 1, [], 0, 0
-        if n:
-            yield done()
-
-    schema = StructType([StructField("block", LongType()), StructField("n", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
-    return bucketed(rows.mapInArrow(packed, schema), "exact", "block", max(1, rows.rdd.getNumPartitions()))
-
-
 def _bits_set_twice(blocks: DataFrame, how: Filter) -> DataFrame:
     """block, found: the positions among those of its rows that several rows of the table set, as (range, bits)."""
 
@@ -175,7 +136,7 @@ def _repeated(marked: DataFrame) -> DataFrame:
 
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    blocks = _blocks(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest")), 250_000)
+    blocks = blocks_of(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest")), 250_000)
     marked = possibly_repeated(blocks, **bounds)
     groups = _repeated(marked)
     sha = F.lower(F.hex("digest")).alias("text_sha256")
@@ -198,9 +159,7 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows that stay, with all columns of docs.  Only the places of rows to drop go back to the blocks."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    blocks = _blocks(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), whole), 20_000)
+    blocks = blocks_of(docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), whole))
     marked = possibly_repeated(blocks, **bounds)
     repeats = marked.where("maybe").join(_repeated(marked), "digest").where("block != first.block or pos != first.pos")
-    dropped = saved(repeats.groupBy("block").agg(F.collect_list("pos").alias("dropped")), "dropped")
-    each = blocks.select("block", "row").join(dropped, "block", "left").select("dropped", F.posexplode("row").alias("pos", "row"))
-    return each.where(F.col("dropped").isNull() | ~F.array_contains("dropped", F.col("pos"))).select("row.*")
+    return rows_but(blocks, repeats.select("block", "pos"))

@@ -33,7 +33,7 @@ their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from paywire.llm.blocks import blocks_of, places, rows_but
 from paywire.llm.common import LOWER_TABLE, saved, scratch
 from paywire.llm.graph import connected_components
 
@@ -193,9 +194,28 @@ def _batched(texts: Iterator[str | None], size: int, limit: int = 200_000) -> It
         yield held
 
 
+_PLACE_BITS = 20  # a block has fewer rows than that many bits can number
+
+
 def tagged(docs: DataFrame) -> DataFrame:
-    """docs in a written table: `row`, the row as one struct, and `_tag`, a number of its own."""
-    return saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_tag")), "near")
+    """docs in blocks, each row as one struct `row`; a row's tag is its block's number, then its place in `_PLACE_BITS` bits."""
+    return blocks_of(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+
+
+def _place_of(tag: str) -> list[Column]:
+    return [F.shiftright(tag, _PLACE_BITS).alias("block"), F.col(tag).bitwiseAND((1 << _PLACE_BITS) - 1).cast("int").alias("pos")]
+
+
+def _tag_of(block: str, pos: Column) -> Column:
+    return F.shiftleft(block, _PLACE_BITS) + pos
+
+
+def _texts(rows: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """node, text of the rows whose tags are these nodes; only their places move."""
+    wanted = places(nodes.select(*_place_of("node")))
+    both = rows.select("block", F.col(f"row.`{text_col}`").alias("text")).join(wanted, "block")
+    each = both.select("block", F.explode(F.transform("places", lambda pos: F.struct(pos.alias("pos"), F.get("text", pos).alias("text")))).alias("x"))
+    return each.select(_tag_of("block", F.col("x.pos")).alias("node"), "x.text")
 
 
 def _solve(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -263,17 +283,18 @@ def _pairs_of_blocks(members: DataFrame, n_blocks: Column) -> DataFrame:
 def _least_of_bands(in_band: DataFrame) -> DataFrame:
     """band, a: the smallest name of each band that holds several.  in_band: name, band.
 
-    Written, so that the join it is for stands alone and adaptive execution can split a hot band.
+    Written, so that the join it is for stands alone and adaptive execution can split a hot
+    band; it grows with the corpus, so it is never broadcast.
     """
     least = in_band.groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("last"))
-    return saved(least.where("a != last").select("band", "a"), "bands")
+    return saved(least.where("a != last").select("band", "a"), "bands").hint("merge")
 
 
 def _loose_clusters(nodes: DataFrame) -> DataFrame:
     """node, label of the nodes that share a band with another, directly or through others."""
     in_band = nodes.select(F.col("node").alias("name"), F.explode(F.slice("bands", 1, FIRST)).alias("band"))
     least = in_band.join(_least_of_bands(in_band), "band").groupBy("name").agg(F.min("a").alias("a"))
-    named = saved(nodes.join(least.withColumnRenamed("name", "node"), "node", "left").select("node", F.coalesce("a", "node").alias("name"), "bands"), "named")
+    named = saved(nodes.join(least.withColumnRenamed("name", "node").hint("merge"), "node", "left").select("node", F.coalesce("a", "node").alias("name"), "bands"), "named")
     in_band = named.select("name", F.explode("bands").alias("band"))
     edges = in_band.join(_least_of_bands(in_band), "band").where("name != a").select("a", F.col("name").alias("b"))
     joined = connected_components(edges, "loose").withColumnRenamed("node", "name")
@@ -285,7 +306,8 @@ def _loose_clusters(nodes: DataFrame) -> DataFrame:
 def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, block: int = 400, block_shingles: int = 400_000) -> DataFrame:
     """_tag, doc_id, n_shingles, component_id, kept of each row of a `tagged` table."""
     width = band_width(percent)
-    source = rows.select(F.col("_tag").alias("tag"), F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    each = rows.select("block", F.posexplode(F.arrays_zip(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))).alias("pos", "x"))
+    source = each.select(_tag_of("block", F.col("pos")).alias("tag"), F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"))
     schema = StructType([*source.schema.fields[:2], StructField("n", LongType()), StructField("set_id", BinaryType()), StructField("bands", ArrayType(LongType()))])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +325,7 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     with scratch(rows.sparkSession) as tables:
         sketched = saved(source.mapInArrow(sketches, schema), "sketches")
         tables.keep_last()
-        classes = _classes(source, sketched, size, percent, block, block_shingles)
+        classes = _classes(partial(_texts, rows, text_col), sketched, size, percent, block, block_shingles)
         tables.keep_last()
     return (
         sketched.select("tag", "doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
@@ -318,13 +340,13 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def _classes(source: DataFrame, sketched: DataFrame, size: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+def _classes(texts_of: Callable[[DataFrame], DataFrame], sketched: DataFrame, size: int, percent: int, block: int, block_shingles: int) -> DataFrame:
     """set_id, smallest (none, doc_id, tag) of each set that isn't empty."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
     level = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-9) / LEVELS)).alias("level")
     clusters = saved(_loose_clusters(nodes).join(nodes.select("node", "n", level), "node"), "clusters")
-    texts = saved(source.select(F.col("tag").alias("node"), "text").join(clusters.select("node"), "node"), "cluster-texts")
+    texts = saved(texts_of(clusters), "cluster-texts")
     n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles))
 
     def solved(members: DataFrame) -> DataFrame:
@@ -355,4 +377,4 @@ def near_deduplicate(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, with all columns of docs: the one with the smallest id."""
     rows = tagged(docs)
     dropped = near_duplicate_report(rows, **how).where("not kept").select("_tag")
-    return rows.join(dropped, "_tag", "left_anti").select("row.*")
+    return rows_but(rows, dropped.select(*_place_of("_tag")))

@@ -52,7 +52,7 @@ def test_filter_of_repeated_digests_only(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "concat('t', if(id < 80, id % 40, id)) as text")
     found = exact_dedup.deduplicate(docs, max_filter_bytes=1024)
     assert sorted(r["doc_id"] for r in found.collect()) == [*range(40), *range(80, 6000)]
-    blocks = exact_dedup._blocks(docs.select(docs.doc_id.alias("id"), exact_dedup.text_digest(docs.text).alias("digest")), 1000)
+    blocks = exact_dedup.blocks_of(docs.select(docs.doc_id.alias("id"), exact_dedup.text_digest(docs.text).alias("digest")), 1000)
     assert exact_dedup.Filter(6000, 16, 1024).ranges == 12 and blocks.count() > 1
     marked = exact_dedup.possibly_repeated(blocks, max_filter_bytes=1024)
     maybe = {r["id"] for r in marked.where("maybe").collect()}
