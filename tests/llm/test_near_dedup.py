@@ -109,3 +109,56 @@ def test_bands_follow_the_threshold():
     assert (nd.band_width(80), nd.band_width(85)) == (5, 6)
     registers = np.arange(2 * nd.M, dtype=np.uint16).reshape(2, nd.M)
     assert nd.bands(registers, 5).shape == (2, 50) and nd.bands(registers, 6).shape == (2, 42)
+
+
+def test_edges_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Names by the first bands leave few edges between nodes, however large the group."""
+    seen = {}
+
+    def counted(edges, label):
+        seen.setdefault(label, edges.distinct().count())
+        return connected_components(edges, label)
+
+    monkeypatch.setattr(nd, "connected_components", counted)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(2000):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 1, 2, 3])):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    nodes = nd.tagged(spark.createDataFrame(docs, "doc_id long, text string"))
+    report = nd.near_duplicate_report(nodes, percent=80)
+    assert seen["loose"] < 0.5 * len(docs)
+    assert report.where("kept").count() < 0.05 * len(docs)
+
+
+def test_templates_of_one_boilerplate(spark, monkeypatch):
+    """Texts that share a part but hardly any of them a link: only blocks of like set sizes meet."""
+    compared, all_blocks = [], nd._pairs_of_blocks
+
+    def counted(members, n_blocks):
+        made = all_blocks(members, n_blocks)
+        groups = {}
+        for r in made.collect():
+            groups.setdefault((r["label"], r["i"], r["j"]), set()).add(r["node"])
+        compared.append((len({(a, b) for g in groups.values() for a in g for b in g if a < b}), members.count()))
+        return made
+
+    monkeypatch.setattr(nd, "_pairs_of_blocks", counted)
+    rnd = random.Random(13)
+    part = [f"b{i}" for i in range(150)]
+    docs = [(i, " ".join(part + [f"d{rnd.randrange(10**6)}" for _ in range(10 + 2 * i)])) for i in range(160)]
+    docs += [(1000 + i, docs[40 + i][1] + " tail") for i in range(10)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicate_report(nd.tagged(spark.createDataFrame(docs, "doc_id long, text string")), block=10).collect()}
+    assert got == brute(docs)
+    pairs, n = compared[0]
+    assert n > 100 and pairs < 0.6 * n * (n - 1) / 2
+
+
+def test_ids_of_other_types(spark):
+    docs = [("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six"), ("c", None), ("c", "other words")]
+    table = spark.createDataFrame([(*d, 1.5) for d in docs], "`doc id` string, text string, `a.b c` double")
+    kept = nd.near_deduplicate(table, id_col="doc id")
+    assert kept.columns == table.columns and sorted((r[0], r[1]) for r in kept.collect() if r[1]) == [("a", docs[1][1]), ("c", "other words")]

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -67,3 +68,20 @@ def test_near_stage_joins_from_four_fifths(spark):
     got = {r["doc_id"] for r in kept.collect()}
     assert got == {v[1] for v in brute(docs, percent=80).values()} and len(got) == 36
     assert len({v[1] for v in brute(docs).values()}) == 54, "none of the pairs reaches 0.85"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Extra columns with names of the stages' own and with blanks, repeated rows, NULL ids, a very long text; then an empty table."""
+    rows = [(1, "a plain text of some words that nobody else has", 0, "x"), (1, "a plain text of some words that nobody else has", 0, "x"), (None, "text without an id but with words", 1, "y"), (2, None, 2, "z"), (3, "word " * 60_000, 3, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, `my col` string").withColumn("score", F.lit("own score"))
+    for name, df in (("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for table, n in ((docs, 4), (docs.limit(0), 0)):
+        kept = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, kept, str(tmp_path)).write.parquet(str(tmp_path / f"{n}-{k}"))
+            kept = spark.read.schema(docs.schema).parquet(str(tmp_path / f"{n}-{k}"))
+            assert kept.columns == docs.columns
+        assert kept.count() == n
+        packed = corpus_pipeline.packing_stage(spark, kept, str(tmp_path)).collect()
+        assert len({(r["doc_id"], r["piece"]) for r in packed}) == len(packed) and len({r["doc_id"] for r in packed}) == n
