@@ -87,39 +87,70 @@ def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
+class Bits:
+    """A bit array with ranks: a count before each 64 bits, and popcounts within."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        each = np.bitwise_count(self.words)
+        self.before = (np.cumsum(each, dtype=np.int64) - each).astype(np.int32)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones among the first i."""
+        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[i >> 6] + np.bitwise_count(self.words[i >> 6] & mask).astype(np.int64)
+
+
 class WaveletMatrix:
-    """rank(c, i): the occurrences of symbol c among the first i, for arrays of c and i."""
+    """Ranks of symbols and access to them in about 1.5 bits for each bit of a symbol, for arrays of symbols and places."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.levels = max(1, int(n_symbols).bit_length())
-        self.ones, self.zeros, row = [], [], symbols
-        for level in reversed(range(self.levels)):
+        self.levels = range(max(1, int(n_symbols).bit_length()))[::-1]
+        self.bits, self.zeros, row = [], [], symbols
+        for level in self.levels:
             bit = (row >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(row) - bit.sum()))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
+        every = np.arange(n_symbols + 1)
+        self.start = self._descend(every, np.zeros_like(every))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for k, level in enumerate(reversed(range(self.levels))):
-            ones = self.ones[k][i]
-            i = np.where((c >> level) & 1 == 1, self.zeros[k] + ones, i - ones)
+        for bits, zeros, level in zip(self.bits, self.zeros, self.levels, strict=True):
+            ones = bits.rank(i)
+            i = np.where((c >> level) & 1 == 1, zeros + ones, i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self._descend(c, i) - self._descend(c, np.zeros_like(i))
+        """Occurrences of symbol c among the first i."""
+        return self._descend(c, i) - self.start[c]
+
+    def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at i, and its occurrences before."""
+        c = np.zeros(len(i), np.int64)
+        for bits, zeros in zip(self.bits, self.zeros, strict=True):
+            one, ones = bits[i], bits.rank(i)
+            c = c << 1 | one
+            i = np.where(one, zeros + ones, i - ones)
+        return c, i - self.start[c]
 
 
 class FMIndex:
-    """Over word ids with 0 as separator; the text must end with 0."""
+    """Over word ids with 0 as separator; the text must end with 0.  Of the transformed text only the wavelet matrix is kept."""
 
     def __init__(self, text: np.ndarray, n_symbols: int):
         order = suffix_array(text)
-        self.bwt = text[order - 1]
+        bwt = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols + 1))])
-        self.wavelet = WaveletMatrix(self.bwt, n_symbols)
-        self.sampled = (order % SAMPLE == 0) | (self.bwt == 0)
-        self.position = order[self.sampled]
-        self.sample_rank = np.cumsum(self.sampled) - 1
+        self.wavelet = WaveletMatrix(bwt, n_symbols)
+        sampled = (order % SAMPLE == 0) | (bwt == 0)
+        self.sampled = Bits(sampled)
+        self.position = order[sampled]
         self.n = len(text)
 
     def search(self, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +169,11 @@ class FMIndex:
         rows, steps = rows.copy(), np.zeros(len(rows), np.int64)
         walking = np.flatnonzero(~self.sampled[rows])
         while len(walking):
-            c = self.bwt[rows[walking]]
-            rows[walking] = self.first[c] + self.wavelet.rank(c, rows[walking])
+            c, before = self.wavelet.access(rows[walking])
+            rows[walking] = self.first[c] + before
             steps[walking] += 1
             walking = walking[~self.sampled[rows[walking]]]
-        return self.position[self.sample_rank[rows]] + steps
+        return self.position[self.sampled.rank(rows)] + steps
 
 
 def shard_hits(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[int], list[int], list[int]]]:

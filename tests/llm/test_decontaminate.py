@@ -63,3 +63,24 @@ def test_filters_and_cut(spark):
     assert texts == {1: "clean words, ! more", 2: "nothing here", 3: " z" * 300, 4: None}
     assert d.find_hits(docs.limit(0), bench, ["doc_id"]).count() == 0
     assert d.remove_contaminated(docs, bench.limit(0)).count() == 4
+
+
+def test_wavelet_matrix_against_counts():
+    rnd = np.random.default_rng(3)
+    for n, k in ((1, 1), (63, 5), (64, 2), (65, 300), (1000, 17)):
+        text = rnd.integers(0, k + 1, n)
+        w = d.WaveletMatrix(text, k)
+        i = np.arange(n + 1)
+        for c in rnd.integers(0, k + 1, 4):
+            assert w.rank(np.full(n + 1, c), i).tolist() == [int((text[:j] == c).sum()) for j in i]
+        symbol, before = w.access(np.arange(n))
+        assert symbol.tolist() == text.tolist() and before.tolist() == [int((text[:j] == text[j]).sum()) for j in range(n)]
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rows = [(1, "aa ba " * 60_000, "x", 5), (2, "ba aa c", "y", 6), (3, None, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` string, n_words int")
+    items = spark.createDataFrame([("i", "ba aa c")], "item_id string, text string")
+    kept = d.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert {r["doc_id"]: r["text"] for r in d.cut_spans(docs, items).collect()}[2] == ""
