@@ -135,14 +135,14 @@ def block_counts(packed: DataFrame, corpus: DataFrame) -> DataFrame:
     return saved(dealt.mapInArrow(gathered, "block long, corpus binary"), "hmm-counts")
 
 
-def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of (segment, float64 array) rows: each segment is added up where it lands, and the sums come to the driver."""
+def _summed(parts: DataFrame, kind: str = "<f8") -> dict[int, np.ndarray]:
+    """Sums of (segment, array of `kind`) rows: each segment is added up in double precision where it lands, and the sums come to the driver."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_py(), "<f8")
+                x = np.frombuffer(raw.as_py(), kind).astype(np.float64)
                 total[segment] = total[segment] + x if segment in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["segment", "values"])
 
@@ -150,10 +150,10 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r["segment"]: np.frombuffer(r["values"], "<f8") for r in rows}
 
 
-def _emit(tables: list[np.ndarray], rest: np.ndarray) -> pa.RecordBatch:
+def _emit(tables: list[np.ndarray], rest: np.ndarray, kind: str = "<f8") -> pa.RecordBatch:
     """[CLASSES, k] tables cut into segments; `rest` as segment -1."""
     both = np.concatenate(tables, 1).reshape(SEGMENTS, -1)
-    values = [x.astype("<f8").tobytes() for x in both] + [np.asarray(rest, "<f8").tobytes()]
+    values = [x.astype(kind).tobytes() for x in both] + [np.asarray(rest, kind).tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([*range(SEGMENTS), -1], pa.int32()), pa.array(values, pa.binary())], ["segment", "values"])
 
 
@@ -295,13 +295,13 @@ def score_documents(docs: DataFrame, held_out: Column, passes: int = 12, settled
                     found = expected_counts(model, sequence[np.repeat(learned, lengths)], lengths[learned])
                     sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
             if sums is not None:
-                yield _emit([sums[2]], np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]))
+                yield _emit([sums[2]], np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]), "<f4")
 
         return packed.select("classes", "held", "lengths", "ids").mapInArrow(expectations, "segment int, values binary")
 
     model, before = first_model(prior), -np.inf
     for _ in range(passes if n_train else 0):
-        found = _summed(gather(spark.sparkContext.broadcast(model)))
+        found = _summed(gather(spark.sparkContext.broadcast(model)), "<f4")
         made = np.concatenate([found[k] for k in range(SEGMENTS)]).reshape(CLASSES, STATES)
         model = reestimated(found[-1][:STATES], found[-1][STATES:-1].reshape(STATES, STATES), made, prior)
         likelihood = found[-1][-1]

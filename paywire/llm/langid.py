@@ -287,20 +287,19 @@ def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col:
     docs = docs.where(F.octet_length(text_col) <= max_text_bytes)
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"))
     # thinned by hash first, so that no language's rows meet in one task
-    sizes = {r["l"]: r["n"] for r in ids.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in ids.groupBy("l").agg(F.approx_count_distinct("k").alias("n")).collect()}
     if not sizes:
         return train({})
-    share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, 3 * max_rows / n)))])
+    share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, 3 * max_rows / max(1, n))))])
     unit = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / (1 << 20)
     thin = ids.where(unit < share[F.col("l")])
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
     chosen = thin.withColumn("rank", rank).where(F.col("rank") <= max_rows).select("k", "l").distinct()
     rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), ["k", "l"])
     texts: dict[str, list[str]] = {}
-    rows = rows.select("l", F.xxhash64("k").alias("h"), "t").orderBy("h", "l", "t").limit(max_rows * len(sizes))
+    rows = rows.select("l", F.xxhash64("k").alias("h"), "t").withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("rank") <= max_rows)
     for r in sorted(rows.collect(), key=lambda r: (r["l"], r["h"], r["t"] or "")):
         texts.setdefault(r["l"], []).append(r["t"])
-    texts = {x: t[:max_rows] for x, t in texts.items()}
     return train(texts)
 
 

@@ -46,3 +46,12 @@ def test_parts(spark):
     span = got[1]["loss"][0]
     assert got[1]["formatted"][span["start"] : span["end"]] == "[image:4]"
     assert chat.unescape(chat.read_back(got[1]["formatted"])[0][1].replace("[audio:1]", "")).startswith("see [image:0]") and got[2]["attachments"] == []
+
+
+def test_ids_of_other_types_and_other_columns(spark):
+    rows = [("b", 1, "user", "x", 9), ("b", 2, "assistant", "y", 9), ("a", 1, "assistant", "z", 9)]
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, formatted int")
+    made = chat.format_conversations(table.withColumn("content", chat.text_parts(table.text)))
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(made).collect()}
+    assert got == {"b": (2, 1), "a": (1, 1)}
+    assert chat.digests(chat.format_conversations(table.limit(0).withColumn("content", chat.text_parts(table.text)))).count() == 0

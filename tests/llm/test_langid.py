@@ -75,3 +75,16 @@ def test_defined_results(spark, texts, monkeypatch):
     whole = model.entropies(["bake milu" * 500])
     monkeypatch.setattr(langid, "PIECE", 50)
     assert model.entropies(["bake milu" * 500, "x"])[0] == pytest.approx(whole[0], rel=1e-5)
+
+
+def test_training_rows_are_bounded(spark):
+    """Copies of one id and over-long texts don't add to what the driver gets."""
+    docs = [(1, f"der hund und die katze {i}", "de") for i in range(50)] + [(i, "the dog and the cat " + str(i), "en") for i in range(2, 9)] + [(99, "x " * 600_000, "en")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    seen = {}
+    real, langid.train = langid.train, lambda texts: seen.update(texts)
+    try:
+        langid.fit(table, max_rows=5)
+    finally:
+        langid.train = real
+    assert {k: len(v) for k, v in seen.items()} == {"de": 5, "en": 5} and max(len(t) for v in seen.values() for t in v) < 100
