@@ -344,7 +344,7 @@ def _classes(texts_of: Callable[[DataFrame], DataFrame], sketched: DataFrame, si
     """set_id, smallest (none, doc_id, tag) of each set that isn't empty."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     nodes = saved(sketched.where("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.col("first.tag")), "nodes")
-    level = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-9) / LEVELS)).alias("level")
+    level = F.floor(F.log("n") / (max(math.log(100 / percent), 0.005) / LEVELS)).alias("level")
     clusters = saved(_loose_clusters(nodes).join(nodes.select("node", "n", level), "node"), "clusters")
     texts = saved(texts_of(clusters), "cluster-texts")
     n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles))

@@ -15,7 +15,6 @@ NULL is left out, of several labels of one id the largest counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
