@@ -197,7 +197,7 @@ FROM (SELECT *, length(name) <= 35 AS ok FROM (SELECT o_orderkey, left(rtrim(rep
 def swift_50k_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are in mixed case with a `#`, so they are judged in capitals without it; a refused field has no account."""
     raw = F.upper(F.replace(swift.first(swift.parse(F.col("mt"))["b4"], "50K"), F.lit("#"), F.lit("-")))
-    rows = synth.mt_mx(spark, sf_dir).select("o_orderkey", swift.decode_50k(raw).alias("d"))
+    rows = synth.mt_mx(spark, sf_dir).select("o_orderkey", raw.alias("raw")).select("o_orderkey", swift.decode_50k(F.col("raw")).alias("d"))
     return rows.select("o_orderkey", "d.account", F.array_join("d.lines", "|").alias("name"), "d.error")
 
 
