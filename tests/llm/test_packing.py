@@ -105,3 +105,19 @@ def test_no_step_is_left(lengths):
         for x, y in itertools.product(parts[a], parts[b]):
             more, less = bins.fill[b] + x - y, bins.fill[a] - x + y
             assert max(more, less) > 100 or more**2 + less**2 <= bins.fill[a] ** 2 + bins.fill[b] ** 2
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    docs = spark.range(3000).selectExpr("cast(null as string) as `doc id`", "'the same text' as text", "1 as length")
+    rows = packing.pack(docs, BYTES, capacity=16, id_col="doc id", group_tokens=2000).collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 3000 and len(groups) > 3 and max(groups.values()) < 1500 and {r["doc_id"] for r in rows} == {None}
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word and word " * 40_000), (2, "x")], "doc_id long, text string")
+    n = len(Tokenizer.from_file(BYTES).encode("word and word " * 40_000, add_special_tokens=False).ids) + 1
+    rows = [r for r in packing.pack(docs, BYTES).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in rows) == n and len(rows) == -(-n // 2048)
