@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from paywire.llm.common import bucketed, saved
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # a task holds a few copies of a block
 MAX_ROWS = 20_000  # of whole rows; a batch more at most
 
 
