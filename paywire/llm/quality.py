@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Every `STEP` bytes a window of `WIDTH` bytes is seen by learned filters (an
-embedding of each byte at each place, summed).  A document is covered by chunks
+embedding of each byte at each place, summed); behind a text there are only
+zeros, so its score is the same alone and in any batch.  A document is covered by chunks
 of 256 bytes that overlap by half; in a chunk each filter keeps its maximum.  The
 mean, the maximum and the minimum of the chunks' values go through one logistic
 unit: a chunk of repeats has few windows, so its maxima are low.
@@ -56,6 +57,11 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat + bytes(WIDTH), np.uint8), blocks
 
 
+def last_windows(blocks: np.ndarray) -> np.ndarray:
+    """The last window of each document: its bytes from STEP on would be the next document's."""
+    return np.cumsum(blocks) * BLOCK - 1
+
+
 def _chunks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last block of each chunk, and where each document's chunks begin."""
     n = np.maximum(1, blocks - 1)
@@ -65,28 +71,35 @@ def _chunks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, last, starts
 
 
-def pooled(net: Network, pairs: np.ndarray, data: np.ndarray, n_blocks: int) -> np.ndarray:
+def pooled(net: Network, pairs: np.ndarray, data: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Largest rectified response of each filter in each block: [blocks, FILTERS]."""
     two = data[:-1].astype(np.int32) | data[1:].astype(np.int32) << 8
+    n_blocks, last = int(blocks.sum()), last_windows(blocks)
     out = np.empty((n_blocks, FILTERS), np.float32)
     at = 128  # blocks at a time, so that the responses stay in the cache
     for k in range(0, n_blocks, at):
         m = min(at, n_blocks - k)
         lo = k * BLOCK * STEP
+        ends = last[np.searchsorted(last, k * BLOCK) : np.searchsorted(last, (k + m) * BLOCK)] - k * BLOCK
         r = pairs[0][two[lo : lo + m * BLOCK * STEP : STEP]]
         for w in range(1, WIDTH // 2):
-            r = r + pairs[w][two[lo + 2 * w : lo + 2 * w + m * BLOCK * STEP : STEP]]
+            seen = two[lo + 2 * w : lo + 2 * w + m * BLOCK * STEP : STEP]
+            if 2 * w >= STEP:
+                seen = seen.copy()
+                seen[ends] = 0
+            r = r + pairs[w][seen]
         out[k : k + m] = r.reshape(m, BLOCK, FILTERS).max(1)
     return np.maximum(out + net.bias, 0)
 
 
 def score(net: Network, pairs: np.ndarray, texts: list[bytes]) -> np.ndarray:
     data, blocks = laid_out(texts)
-    best = pooled(net, pairs, data, int(blocks.sum()))
+    best = pooled(net, pairs, data, blocks)
     first, last, starts = _chunks(blocks)
     chunk = np.maximum(best[first], best[last])
     mean = np.add.reduceat(chunk, starts) / np.maximum(1, blocks - 1)[:, None]
-    logit = np.concatenate([mean, np.maximum.reduceat(chunk, starts), np.minimum.reduceat(chunk, starts)], 1).astype(np.float64) @ net.head + net.offset
+    features = np.concatenate([mean, np.maximum.reduceat(chunk, starts), np.minimum.reduceat(chunk, starts)], 1).astype(np.float64)
+    logit = (features * net.head).sum(1) + net.offset  # row by row, so that a row's sum doesn't depend on the number of rows
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
@@ -94,8 +107,10 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
     data, blocks = laid_out(texts)
     n, total = len(texts), int(blocks.sum())
     r = np.zeros((total * BLOCK, FILTERS), np.float32)
+    seen = np.stack([data[w : w + total * BLOCK * STEP : STEP] for w in range(WIDTH)])
+    seen[STEP:, last_windows(blocks)] = 0
     for w in range(WIDTH):
-        r += net.table[w][data[w : w + total * BLOCK * STEP : STEP]]
+        r += net.table[w][seen[w]]
     r = r.reshape(total, BLOCK, FILTERS)
     where = r.argmax(1)
     raw = np.take_along_axis(r, where[:, None], 1)[:, 0] + net.bias
@@ -118,10 +133,10 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
     d_best = np.zeros_like(best)
     np.add.at(d_best, (winner, np.broadcast_to(columns, winner.shape)), d_chunk)
     d_best *= raw > 0
-    place = (np.arange(total)[:, None] * BLOCK + where) * STEP
+    place = np.arange(total)[:, None] * BLOCK + where
     g = np.zeros(WIDTH * 256 * FILTERS)
     for w in range(WIDTH):
-        g += np.bincount((w * 256 + data[place + w].astype(np.int64)).ravel() * FILTERS + np.tile(columns, total), d_best.ravel(), len(g))
+        g += np.bincount((w * 256 + seen[w][place].astype(np.int64)).ravel() * FILTERS + np.tile(columns, total), d_best.ravel(), len(g))
     return [g.reshape(net.table.shape).astype(np.float32), d_best.sum(0), features.T @ error, np.array([error.sum()])]
 
 
@@ -151,10 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
 
     Rows with longer texts than `max_text_bytes` are not learned from, which bounds the driver's share.
     """
-    docs = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= max_text_bytes)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(known), id_col).orderBy(F.xxhash64(id_col), "_t").limit(max_rows).select("_t", "_y").collect()
+    key, label = F.col(f"`{id_col}`").alias("_k"), F.col(f"`{label_col}`").alias("_y")
+    docs = docs.select(key, F.col(f"`{text_col}`").alias("_t")).where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= max_text_bytes)
+    known = labels.select(key, label).where("_y is not null and _k is not null").groupBy("_k").agg(F.max("_y").alias("_y"))
+    known = known.orderBy(F.xxhash64("_k"), "_k").limit(max_rows)
+    rows = docs.join(F.broadcast(known), "_k").orderBy(F.xxhash64("_k"), "_t").limit(max_rows).select("_t", "_y").collect()
     return train([(r["_t"] or "").encode("utf-8", "surrogatepass") for r in rows], [int(r["_y"]) for r in rows])
 
 

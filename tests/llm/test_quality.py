@@ -33,9 +33,7 @@ def test_score_against_plain_loops(net):
     for t, s in zip(texts, got, strict=True):
         span = quality.BLOCK * quality.STEP
         n_blocks = max(1, -(-len(t) // span))
-        i = texts.index(t)
-        after = texts[i + 1] if i + 1 < len(texts) else b""
-        data = t.ljust(n_blocks * span, b"\0") + after.ljust(quality.WIDTH, b"\0")[: quality.WIDTH]
+        data = t.ljust(n_blocks * span, b"\0") + bytes(quality.WIDTH)
         response = [np.sum([net.table[w, data[p + w]] for w in range(quality.WIDTH)], 0) + net.bias for p in range(0, n_blocks * span, quality.STEP)]
         blocks = [np.max(response[k : k + quality.BLOCK], 0) for k in range(0, len(response), quality.BLOCK)]
         chunks = np.maximum([np.maximum(a, b) for a, b in zip(blocks, blocks[1:], strict=False)] or blocks, 0)
@@ -43,6 +41,38 @@ def test_score_against_plain_loops(net):
         assert s == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
 
 
+def test_a_score_does_not_depend_on_the_batch(net):
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choices(range(256), k=n)) for n in (0, 1, 124, 128, 129, 256, 256, 384, 700, 40_000)] + [b"", b"BUY!! $$$"]
+    texts = texts * 5
+    fresh = quality.Network.fresh(9)
+    for network in (net, fresh):
+        alone = {t: quality.score(network, network.pairs(), [t])[0] for t in set(texts)}
+        for _ in range(4):
+            rnd.shuffle(texts)
+            assert quality.score(network, network.pairs(), texts).tolist() == [alone[t] for t in texts]
+
+
+def test_gradients_do_not_depend_on_the_order(net):
+    rnd = random.Random(6)
+    texts = [(bytes(rnd.choices(range(256), k=n)), n % 2) for n in (0, 128, 256, 384, 77)]
+    sums = []
+    for _ in range(2):
+        sums.append(quality._gradients(net, [t for t, _ in texts], np.array([y for _, y in texts], np.float32)))
+        rnd.shuffle(texts)
+    for a, b in zip(*sums, strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_equal_texts_in_different_partitions(spark, net):
+    rows = [(i, ["", "the rain", "$$$ BUY!!", None, "on hills " * 300][i % 5]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "`my.id` long, `my.text` string").repartition(5)
+    scores = quality.with_scores(docs, net, text_col="my.text", score_col="s").collect()
+    assert len({(r["my.text"] or "", r["s"]) for r in scores}) == 4
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "`my.id` long, `a.label` int")
+    assert quality.fit(docs, labels, id_col="my.id", text_col="my.text", label_col="a.label").head.any()
+
+
 def test_gradients(net):
     texts, labels = corpus(6, 4)
     raw, y = [t.encode() for t in texts], np.array(labels, np.float32)
