@@ -1,4 +1,9 @@
-"""Rows in blocks, in a bucketed table: what is found out about single rows comes to them, so whole rows never shuffle."""
+"""Rows in blocks, in a bucketed table: what is found out about single rows comes to them, so whole rows never shuffle.
+
+A block belongs to the place (the task) that packed it, and the table is bucketed by place, so that a task writes
+all its blocks to one file.  Messages to blocks are joined by place, and within it by block: the number of buckets
+is bounded, whatever the number of tasks and blocks.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from paywire.llm.common import bucketed, saved
+from paywire.llm.common import bucket_count, bucketed, saved
 
 BLOCK_BYTES = 4 << 20  # a task holds a few copies of a block
 MAX_ROWS = 20_000  # of whole rows; a batch more at most
+PLACE_SHIFT = 20  # a place has fewer blocks than that many bits can number
 
 
 def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -27,16 +33,16 @@ def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """block, n, and each column of rows as an array; a block is a run of one task's rows, of about `BLOCK_BYTES` at most."""
-    names = ["block", "n", *rows.columns]
+    """place, block, n, and each column of rows as an array; a block is a run of one task's rows, of about `BLOCK_BYTES` at most."""
+    names = ["place", "block", "n", *rows.columns]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, n, size = TaskContext.get().partitionId() << 16, [], 0, 0
+        block, held, n, size = TaskContext.get().partitionId() << PLACE_SHIFT, [], 0, 0
 
         def done() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             lists = [pa.ListArray.from_arrays(np.array([0, n], np.int32), c) for c in whole.columns]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int64()), *lists], names)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (block >> PLACE_SHIFT, block, n)] + lists, names)
 
         for batch in batches:
             for part in _halves(batch):
@@ -49,8 +55,19 @@ def blocks_of(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         if n:
             yield done()
 
-    schema = StructType([StructField("block", LongType()), StructField("n", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
-    return bucketed(rows.mapInArrow(packed, schema), "blocks", "block", max(1, rows.rdd.getNumPartitions()))
+    schema = StructType([*(StructField(x, LongType()) for x in names[:3]), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
+    return bucketed(rows.mapInArrow(packed, schema), "blocks", "place", bucket_count(rows))
+
+
+def with_messages(blocks: DataFrame, messages: DataFrame, how: str = "inner") -> DataFrame:
+    """The blocks (place, block, ..) with the columns of their messages (block, ..).
+
+    Only the messages move.  The two ends of `block` are one equality, in a form that leaves `place` the only
+    key of the join, which is what the table is bucketed by; blocks stream past the messages unsorted.
+    """
+    sent = messages.withColumnRenamed("block", "_to").withColumn("_place", F.shiftright("_to", PLACE_SHIFT))
+    meet = (F.col("place") == F.col("_place")) & (F.col("block") <= F.col("_to")) & (F.col("block") >= F.col("_to"))
+    return blocks.join(sent.hint("shuffle_hash"), meet, how).drop("_place", "_to")
 
 
 def places(which: DataFrame) -> DataFrame:
@@ -60,6 +77,7 @@ def places(which: DataFrame) -> DataFrame:
 
 def rows_but(blocks: DataFrame, which: DataFrame) -> DataFrame:
     """The columns of the blocks' `row` structs, without the rows `which` (block, pos)."""
-    none = F.array().cast("array<int>")
-    both = blocks.select("block", "row").join(places(which), "block", "left").select("row", F.coalesce("places", none).alias("places"))
-    return both.select(F.explode(F.filter("row", lambda _, pos: ~F.array_contains("places", pos))).alias("row")).select("row.*")
+    both = with_messages(blocks.select("place", "block", "row"), places(which), "left")
+    every = F.sequence(F.lit(0), F.size("row") - 1)
+    left = F.when(F.col("places").isNull(), every).otherwise(F.array_except(every, "places"))  # by hash, so in proportion to the block
+    return both.select(F.explode(F.transform(left, lambda pos: F.get("row", pos))).alias("row")).select("row.*")

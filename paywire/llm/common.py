@@ -84,14 +84,33 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables below df, as Spark knows them without running anything; None where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 60 else None
+
+
+def bucket_count(df: DataFrame) -> int:
+    """One bucket for as many bytes as a scan's task reads, or for 2 MB where that would leave cores idle, and never more than Spark allows."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    size = input_bytes(df)
+    if size is None:
+        return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    a_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(1, min(most, max(-(-size // a_task), min(spark.sparkContext.defaultParallelism, -(-size // (2 << 20))))))
+
+
 def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """As `saved`, in n buckets of `key`: a join on it then moves the other side only.
 
-    Rows do not shuffle on the way; a task writes a file for each bucket that its own keys fall in.
+    Rows do not shuffle on the way.  A task writes a file for each bucket that its own keys fall in; each row,
+    which is a block of rows, is a row group of its own, so a reader holds one at a time.
     """
     spark = df.sparkSession
     path, name = _new_path(spark, label), f"paywire_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", path).option("parquet.block.size", 32 << 20).bucketBy(n, key).saveAsTable(name)
+    df.write.format("parquet").option("path", path).option("parquet.block.row.count.limit", 1).bucketBy(n, key).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: files at a path of their own stay
     return found

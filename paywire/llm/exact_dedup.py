@@ -2,9 +2,9 @@
 
 Rows are written once in blocks, with a digest each.  The filter is cut into ranges
 of at most `max_filter_bytes` at `bits_per_row`; a digest's first word picks its range,
-the next two its four bits there.  Pass 1: each block sends a range the bits that its
-rows set, and apart from them those that two of its rows set; the task that owns a range
-finds the bits set twice and sends each block those of its own.  Pass 2: a row that misses
+the next two its four bits there.  Pass 1: blocks send a range the bits that their
+rows set, marking those that two rows of one block set; the task that owns a range
+finds the bits set twice and answers with one bit for each that was sent.  Pass 2: a row that misses
 such a bit is surely alone and passes straight through; the others, true repeats and a
 few false positives, shuffle by digest and are grouped exactly.
 
@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywire.llm.blocks import blocks_of, rows_but
+from paywire.llm.blocks import blocks_of, rows_but, with_messages
 from paywire.llm.common import saved
 
 PROBES = 4
+GROUP_ROWS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -60,68 +61,123 @@ class Filter:
         return (words[:, :1] % np.uint64(self.ranges)).astype(np.int64) * self.bits + halves % self.bits
 
 
-def _bits_set_twice(blocks: DataFrame, how: Filter) -> DataFrame:
-    """block, found: the positions among those of its rows that several rows of the table set, as (range, bits)."""
+def messages_to_ranges(blocks: DataFrame, how: Filter, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """range, group, blocks, lens, bits, twice: the bits that a group of blocks sets in a range.
+
+    A group is a run of one task's blocks of at least `group_rows` rows, if it has so many, so that messages
+    stay few however many ranges there are.  bits: block after block, in order within each; lens: how many
+    each block has; twice: a bit for each, set where two rows of the block set it; blocks: their numbers, in
+    the group's first message only.
+    """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0  # block, bits set, how often
+
+        def done() -> pa.RecordBatch:
+            where = np.concatenate([x[1] for x in held])
+            often = np.concatenate([x[2] for x in held])
+            block = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+            order = np.argsort(where // how.bits, kind="stable")
+            where, often, block = where[order], often[order] > 1, block[order]
+            owner, at = where // how.bits, (where % how.bits).astype("<u4")
+            cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+            parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+            numbers = np.array([x[0] for x in held], "<i8").tobytes()
+            columns = [
+                pa.array(owner[cuts], pa.int64()),
+                pa.array([held[0][0]] * len(parts), pa.int64()),
+                pa.array([b"" if k else numbers for k in range(len(parts))], pa.binary()),
+                pa.array([np.bincount(block[p], minlength=len(held)).astype("<u4").tobytes() for p in parts], pa.binary()),
+                pa.array([at[p].tobytes() for p in parts], pa.binary()),
+                pa.array([np.packbits(often[p]).tobytes() for p in parts], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["range", "group", "blocks", "lens", "bits", "twice"])
+
         for batch in batches:
             for block, digests in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                where, times = np.unique(how.probes(digests.values), return_counts=True)
-                owner, at = where // how.bits, (where % how.bits).astype("<u4")
-                cuts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(where)]
-                once = [at[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                twice = [at[a:b][times[a:b] > 1].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]], pa.int64()), pa.array(np.full(len(once), block), pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["range", "block", "once", "twice"])
+                held.append((block, *np.unique(how.probes(digests.values), return_counts=True)))
+                rows += len(digests)
+                if rows >= group_rows:
+                    yield done()
+                    held, rows = [], 0
+        if held:
+            yield done()
 
-    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, twice = None, [], []
+    return blocks.select("block", "digest").mapInArrow(sent, "range long, group long, blocks binary, lens binary, bits binary, twice binary")
 
-        def done() -> pa.RecordBatch:
-            each = [np.frombuffer(x, "<u4") for _, x in held]
-            at, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            order = np.sort(at)
+
+def _bits_set_twice(blocks: DataFrame, how: Filter) -> DataFrame:
+    """block, mask: a bit for each of the positions that its rows set, in order, set where several rows of the table set it."""
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # group, blocks, lens, bits, twice
+
+        def done() -> Iterator[pa.RecordBatch]:
+            each = [np.frombuffer(x[3], "<u4") for x in held]
+            order = np.sort(np.concatenate(each))
             again = np.zeros(how.bits, bool)
             again[order[1:][order[1:] == order[:-1]]] = True
-            again[np.frombuffer(b"".join(twice), "<u4")] = True
-            out = [(block, x[again[x]].tobytes()) for (block, _), x in zip(held, np.split(at, ends[:-1]), strict=True)]
-            out = [x for x in out if x[1]]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([now] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "range", "bits"])
+            for x, at in zip(held, each, strict=True):
+                again[at[np.unpackbits(np.frombuffer(x[4], np.uint8), count=len(at)).view(bool)]] = True
+            for k in range(0, len(held), 1000):
+                some = range(k, min(k + 1000, len(held)))
+                masks = [np.packbits(again[each[i]]).tobytes() for i in some]
+                columns = [pa.array([held[i][0] for i in some], pa.int64()), pa.array([now] * len(some), pa.int64()), *(pa.array([held[i][c] for i in some], pa.binary()) for c in (1, 2)), pa.array(masks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "range", "blocks", "lens", "mask"])
 
         for batch in batches:
-            for owner, block, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for owner, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and owner != now:
-                    yield done()
-                    held, twice = [], []
+                    yield from done()
+                    held = []
                 now = owner
-                held.append((block, one))
-                twice.append(two)
+                held.append(message)
+        if held:
+            yield from done()
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # blocks, lens, mask
+
+        def done() -> pa.RecordBatch:
+            numbers = np.frombuffer(b"".join(x[0] for x in held), "<i8")
+            lens = [np.frombuffer(x[1], "<u4") for x in held]
+            bits = np.concatenate([np.unpackbits(np.frombuffer(x[2], np.uint8), count=int(n.sum())) for x, n in zip(held, lens, strict=True)])
+            block = np.concatenate([np.repeat(np.arange(len(numbers)), n) for n in lens])
+            bits = bits[np.argsort(block, kind="stable")]
+            ends = np.cumsum(sum(lens))
+            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([np.packbits(x).tobytes() for x in np.split(bits, ends[:-1])], pa.binary())], ["block", "mask"])
+
+        for batch in batches:
+            for group, _, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and group != now:
+                    yield done()
+                    held = []
+                now = group
+                held.append(message)
         if held:
             yield done()
 
-    parts = blocks.select("block", "digest").mapInArrow(sent, "range long, block long, once binary, twice binary")
-    owned = parts.repartition(min(how.ranges, 100_000), "range").sortWithinPartitions("range")
-    back = owned.mapInArrow(returned, "block long, range long, bits binary")
-    return saved(back.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("found")), "twice")
+    owned = messages_to_ranges(blocks, how).repartition(how.ranges, "range").sortWithinPartitions("range")
+    answers = owned.mapInArrow(answered, "group long, range long, blocks binary, lens binary, mask binary")
+    return saved(answers.repartition("group").sortWithinPartitions("group", "range").mapInArrow(by_block, "block long, mask binary"), "twice")
 
 
-def possibly_repeated(blocks: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 1 << 20) -> DataFrame:
+def possibly_repeated(blocks: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 8 << 20) -> DataFrame:
     """block, pos, id, digest and a boolean `maybe` of each row of the blocks."""
     how = Filter(blocks.agg(F.sum("n")).first()[0] or 0, bits_per_row, max_filter_bytes)
 
     @F.arrow_udf("array<boolean>")
-    def probe(digests: pa.Array, found: pa.Array) -> pa.Array:
+    def probe(digests: pa.Array, masks: pa.Array) -> pa.Array:
         out = []
-        for d, f in zip(digests, found, strict=True):
+        for d, mask in zip(digests, masks, strict=True):
             at = how.probes(d.values)
-            have = np.concatenate([np.zeros(0, np.int64), *(x["range"] * how.bits + np.frombuffer(x["bits"], "<u4").astype(np.int64) for x in f.as_py() or [])])
-            have.sort()
-            place = np.searchsorted(have, at)
-            hit = have[np.minimum(place, len(have) - 1)] == at if len(have) else np.zeros(at.shape, bool)
+            places, inverse = np.unique(at, return_inverse=True)
+            hit = np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=len(places))[inverse.reshape(at.shape)]
             out.append(hit.all(1).tolist())
         return pa.array(out, pa.list_(pa.bool_()))
 
-    rows = blocks.select("block", "id", "digest").join(_bits_set_twice(blocks, how), "block", "left")
-    each = rows.select("block", F.posexplode(F.arrays_zip("id", "digest", probe("digest", "found").alias("maybe"))).alias("pos", "x"))
+    rows = with_messages(blocks.select("place", "block", "id", "digest"), _bits_set_twice(blocks, how))
+    each = rows.select("block", F.posexplode(F.arrays_zip("id", "digest", probe("digest", "mask").alias("maybe"))).alias("pos", "x"))
     return each.select("block", "pos", F.col("x.id").alias("id"), F.col("x.digest").alias("digest"), F.col("x.maybe").alias("maybe"))
 
 

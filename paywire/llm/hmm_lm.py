@@ -18,8 +18,9 @@ A word without a count takes the class's one unseen share, D * (V_class + 1) /
 n1 / (n1 + 2 * n2) over the corpus.  Baum-Welch starts from states drawn around the
 corpus's class shares and makes up to `passes` passes over all training documents, until
 a pass raises the likelihood by less than `settled` of itself.  In a pass each task sums its
-expected counts, the sums meet by segment, and only the new parameters reach the
-driver.  Scores come from the scaled forward recursion.
+expected counts and sends those of the classes it met, cut into segments; they are added up in two
+steps, first by segment and a share of the tasks, so that no task gets more than about the square root of
+the number of tasks, then by segment.  Only the new parameters reach the driver.  Scores come from the scaled forward recursion.
 
 Defined results: NULL counts as the empty text, whose only token is the end;
 repeated documents are learned from and scored each; with no training documents
@@ -30,8 +31,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from paywire.llm.common import LOWER_TABLE, bucketed, saved
+from paywire.llm.blocks import PLACE_SHIFT, with_messages
+from paywire.llm.common import LOWER_TABLE, bucket_count, bucketed, saved
 
-CLASSES, STATES, SEGMENTS = 1 << 15, 8, 16
-BLOCK_TOKENS = 2_000_000
+CLASSES, STATES, SEGMENTS = 1 << 15, 8, 64
+SEGMENT = CLASSES // SEGMENTS
+BLOCK_TOKENS, BLOCK_BYTES = 2_000_000, 24 << 20
 TRAIN_CUT = 1_000
 BATCH_TOKENS = 500_000
 END = b""  # no word is empty
@@ -65,13 +70,13 @@ class _Numbers(dict):
 
 
 def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """block, words, counts (in training documents), classes, doc_ids, held, lengths, ids; bucketed by block."""
+    """place, block, words, counts (in training documents), classes, doc_ids, held, lengths, ids; bucketed by place."""
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), held_out.alias("held"), F.col(f"`{text_col}`").alias("t"))
-    kinds = {"block": LongType(), "words": ArrayType(BinaryType()), "counts": ArrayType(LongType()), "classes": BinaryType(), "doc_ids": ArrayType(rows.schema["k"].dataType), "held": ArrayType(BooleanType()), "lengths": ArrayType(LongType()), "ids": BinaryType()}
+    kinds = {"place": LongType(), "block": LongType(), "words": ArrayType(BinaryType()), "counts": ArrayType(LongType()), "classes": BinaryType(), "doc_ids": ArrayType(rows.schema["k"].dataType), "held": ArrayType(BooleanType()), "lengths": ArrayType(LongType()), "ids": BinaryType()}
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        number, keys, held, ids, n = _Numbers(), [], [], [], 0
+        block = TaskContext.get().partitionId() << PLACE_SHIFT
+        number, keys, held, ids, n, size = _Numbers(), [], [], [], 0, 0
 
         def done(key_type: pa.DataType) -> pa.RecordBatch:
             counts = np.zeros(len(number), np.int64)
@@ -79,25 +84,26 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
                 if not h:
                     np.add.at(counts, x, 1)
             classes = np.fromiter(map(word_class, number), "<u2", len(number)).tobytes()
-            row = [block, list(number), counts, classes, keys, held, [len(x) for x in ids], np.concatenate(ids).astype("<u4").tobytes()]
-            types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            row = [block >> PLACE_SHIFT, block, list(number), counts, classes, keys, held, [len(x) for x in ids], np.concatenate(ids).astype("<u4").tobytes()]
+            types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], list(kinds))
 
         for batch in batches:
             for key, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = tokens(text.as_py())
+                text = text.as_py()
+                words = tokens(text)
                 keys.append(key)
                 held.append(bool(out))
                 ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                n += len(words)
-                if n >= BLOCK_TOKENS:
+                n, size = n + len(words), size + len(text or "")
+                if n >= BLOCK_TOKENS or size >= BLOCK_BYTES:
                     yield done(batch.schema.field(0).type)
-                    block, number, keys, held, ids, n = block + 1, _Numbers(), [], [], [], 0
+                    block, number, keys, held, ids, n, size = block + 1, _Numbers(), [], [], [], 0, 0
         if keys:
             yield done(batch.schema.field(0).type)
 
     schema = StructType([StructField(x, t) for x, t in kinds.items()])
-    return bucketed(rows.mapInArrow(packed, schema), "hmm-blocks", "block", max(1, rows.rdd.getNumPartitions()))
+    return bucketed(rows.mapInArrow(packed, schema), "hmm-blocks", "place", bucket_count(rows))
 
 
 def corpus_counts(packed: DataFrame) -> DataFrame:
@@ -135,26 +141,59 @@ def block_counts(packed: DataFrame, corpus: DataFrame) -> DataFrame:
     return saved(dealt.mapInArrow(gathered, "block long, corpus binary"), "hmm-counts")
 
 
-def _summed(parts: DataFrame, kind: str = "<f8") -> dict[int, np.ndarray]:
-    """Sums of (segment, array of `kind`) rows: each segment is added up in double precision where it lands, and the sums come to the driver."""
+PARTS = "share int, segment int, at binary, values binary"  # classes of a segment, and a row of values each
+
+
+def _added(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows of one (share, segment) as one, added up in double precision."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for share, segment, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            at = np.frombuffer(at.as_py(), "<u2")
+            x = np.frombuffer(raw.as_py(), kind).reshape(len(at), -1)
+            total.setdefault((share, segment), np.zeros((SEGMENT, x.shape[1])))[at] += x
+    for (share, segment), x in total.items():
+        at = np.flatnonzero(x.any(1))
+        if len(at):
+            yield _parts(share, [(segment, at, x[at])], "<f8")
+
+
+def in_shares(parts: DataFrame, tasks: int, kind: str) -> DataFrame:
+    """PARTS in double precision of one share for each segment, from those of `tasks` tasks: each share adds up about the square root of them."""
+    shares = max(1, math.isqrt(tasks))
+    few = parts.withColumn("share", F.pmod("share", F.lit(shares)))
+    return few.repartition(min(shares * SEGMENTS, 2_000), "share", "segment").sortWithinPartitions("share", "segment").mapInArrow(partial(_added, kind=kind), PARTS)
+
+
+def _summed(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Sums by segment of PARTS rows, [SEGMENT, values]."""
+    tasks = bucket_count(parts)
+    if tasks >= 9:
+        parts, kind = in_shares(parts, tasks, kind), "<f8"
+    whole = parts.withColumn("share", F.lit(0)).repartition(SEGMENTS, "segment").mapInArrow(partial(_added, kind=kind), PARTS)
+    out: dict[int, np.ndarray] = {}
+    for r in whole.collect():
+        at = np.frombuffer(r["at"], "<u2")
+        x = np.frombuffer(r["values"], "<f8").reshape(len(at), -1)
+        out[r["segment"]] = np.zeros((SEGMENT, x.shape[1]))
+        out[r["segment"]][at] = x
+    return out
+
+
+def _parts(share: int, rows: list[tuple[int, np.ndarray, np.ndarray]], kind: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([share] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(kind).tobytes() for r in rows], pa.binary())], ["share", "segment", "at", "values"])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_py(), kind).astype(np.float64)
-                total[segment] = total[segment] + x if segment in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["segment", "values"])
 
-    rows = parts.repartition(SEGMENTS, "segment").mapInArrow(added, "segment int, values binary").collect()
-    return {r["segment"]: np.frombuffer(r["values"], "<f8") for r in rows}
+def _emit(table: np.ndarray, rest: np.ndarray, kind: str) -> pa.RecordBatch:
+    """PARTS of a [CLASSES, k] table, without classes that are all zero; `rest` as segment -1, a value a row."""
+    met = np.flatnonzero(table.any(1))
+    cuts = np.searchsorted(met, np.arange(SEGMENTS + 1) * SEGMENT)
+    rows = [(k, met[a:b] - k * SEGMENT, table[met[a:b]]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    return _parts(TaskContext.get().partitionId(), [*rows, (-1, np.arange(len(rest)), rest)], kind)
 
 
-def _emit(tables: list[np.ndarray], rest: np.ndarray, kind: str = "<f8") -> pa.RecordBatch:
-    """[CLASSES, k] tables cut into segments; `rest` as segment -1."""
-    both = np.concatenate(tables, 1).reshape(SEGMENTS, -1)
-    values = [x.astype(kind).tobytes() for x in both] + [np.asarray(rest, kind).tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([*range(SEGMENTS), -1], pa.int32()), pa.array(values, pa.binary())], ["segment", "values"])
+def _table(found: dict[int, np.ndarray], width: int) -> np.ndarray:
+    return np.concatenate([found.get(k, np.zeros((SEGMENT, width))) for k in range(SEGMENTS)])
 
 
 def class_totals(corpus: DataFrame) -> tuple[np.ndarray, float]:
@@ -168,12 +207,12 @@ def class_totals(corpus: DataFrame) -> tuple[np.ndarray, float]:
             out[:, 0] += np.bincount(g, c, CLASSES)
             out[:, 1] += np.bincount(g, minlength=CLASSES)
             few += [(c == 1).sum(), (c == 2).sum()]
-        yield _emit([out], few)
+        yield _emit(out, few, "<f8")
 
-    found = _summed(corpus.select("word", "c").mapInArrow(totals, "segment int, values binary"))
-    ones, twos = found.get(-1, np.zeros(2))
+    found = _summed(corpus.select("word", "c").mapInArrow(totals, PARTS), "<f8")
+    ones, twos = found.get(-1, np.zeros((2, 1)))[:2, 0]
     discount = min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
-    return np.concatenate([found.get(k, np.zeros(2 * CLASSES // SEGMENTS)) for k in range(SEGMENTS)]).reshape(CLASSES, 2), discount
+    return _table(found, 2), discount
 
 
 @dataclass
@@ -295,16 +334,15 @@ def score_documents(docs: DataFrame, held_out: Column, passes: int = 12, settled
                     found = expected_counts(model, sequence[np.repeat(learned, lengths)], lengths[learned])
                     sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
             if sums is not None:
-                yield _emit([sums[2]], np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]), "<f4")
+                yield _emit(sums[2], np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]), "<f4")
 
-        return packed.select("classes", "held", "lengths", "ids").mapInArrow(expectations, "segment int, values binary")
+        return packed.select("classes", "held", "lengths", "ids").mapInArrow(expectations, PARTS)
 
     model, before = first_model(prior), -np.inf
     for _ in range(passes if n_train else 0):
         found = _summed(gather(spark.sparkContext.broadcast(model)), "<f4")
-        made = np.concatenate([found[k] for k in range(SEGMENTS)]).reshape(CLASSES, STATES)
-        model = reestimated(found[-1][:STATES], found[-1][STATES:-1].reshape(STATES, STATES), made, prior)
-        likelihood = found[-1][-1]
+        begun, moved, (likelihood, *_) = np.split(found[-1][:, 0], [STATES, STATES + STATES**2])
+        model = reestimated(begun, moved.reshape(STATES, STATES), _table(found, STATES), prior)
         if likelihood - before < settled * abs(likelihood):
             break
         before = likelihood
@@ -326,6 +364,6 @@ def score_documents(docs: DataFrame, held_out: Column, passes: int = 12, settled
                 columns = [keys, pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(latent + within)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    whole = packed.drop("words", "counts").join(block_counts(packed, corpus), "block").select("corpus", "classes", "doc_ids", "held", "lengths", "ids")
+    whole = with_messages(packed.drop("words", "counts"), block_counts(packed, corpus)).select("corpus", "classes", "doc_ids", "held", "lengths", "ids")
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     return whole.mapInArrow(scores, schema)

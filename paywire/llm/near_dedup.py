@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from paywire.llm.blocks import blocks_of, places, rows_but
+from paywire.llm.blocks import blocks_of, places, rows_but, with_messages
 from paywire.llm.common import LOWER_TABLE, saved, scratch
 from paywire.llm.graph import connected_components
 
@@ -213,7 +213,7 @@ def _tag_of(block: str, pos: Column) -> Column:
 def _texts(rows: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
     """node, text of the rows whose tags are these nodes; only their places move."""
     wanted = places(nodes.select(*_place_of("node")))
-    both = rows.select("block", F.col(f"row.`{text_col}`").alias("text")).join(wanted, "block")
+    both = with_messages(rows.select("place", "block", F.col(f"row.`{text_col}`").alias("text")), wanted)
     each = both.select("block", F.explode(F.transform("places", lambda pos: F.struct(pos.alias("pos"), F.get("text", pos).alias("text")))).alias("x"))
     return each.select(_tag_of("block", F.col("x.pos")).alias("node"), "x.text")
 

@@ -174,3 +174,38 @@ def test_long_texts_are_learned_whole(monkeypatch):
     monkeypatch.setattr(hmm_lm, "TRAIN_CUT", 4)
     got = hmm_lm.expected_counts(model, np.array(seq), np.array([len(seq)]))
     assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True)) and got[2].sum() == pytest.approx(len(seq), rel=1e-4)
+
+
+def test_sums_in_shares(spark):
+    """With many tasks no share gets more than about the square root of them, and the sums are the same as in one step."""
+    def made(batches):
+        for batch in batches:
+            table = np.zeros((hmm_lm.CLASSES, 2))
+            for i in batch.column(0).to_pylist():
+                table[[i * 131 % hmm_lm.CLASSES, 7, hmm_lm.CLASSES - 1]] += [[i, 1], [1, 0], [2, 2]]
+            yield hmm_lm._emit(table, np.array([1.0, 0.0, 5.0]), "<f8")
+
+    parts = spark.range(0, 100, 1, 100).mapInArrow(made, hmm_lm.PARTS)
+    shares = hmm_lm.in_shares(parts, 100, "<f8").select("share", "segment").collect()
+    assert len({r["share"] for r in shares}) == 10 and len(shares) == len(set(shares))
+    one, two = hmm_lm._summed(parts, "<f8"), hmm_lm._summed(hmm_lm.in_shares(parts, 100, "<f8"), "<f8")
+    want = np.zeros((hmm_lm.CLASSES, 2))
+    for i in range(100):
+        want[[i * 131 % hmm_lm.CLASSES, 7, hmm_lm.CLASSES - 1]] += [[i, 1], [1, 0], [2, 2]]
+    for found in (one, two):
+        assert np.array_equal(hmm_lm._table(found, 2), want)
+        assert found[-1][:3, 0].tolist() == [100, 0, 500]
+
+
+def test_fewer_buckets_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 40)
+    docs = spark.range(0, 200, 1, 8).selectExpr("id as doc_id", "concat('w', id % 7, ' w', id % 11, ' ', repeat('z ', int(id % 5))) as text")
+    key = "spark.sql.sources.bucketing.maxBuckets"
+    old, whole = spark.conf.get(key), hmm_lm.score_documents(docs, F.lit(False), passes=2).collect()
+    spark.conf.set(key, "3")
+    try:
+        few = hmm_lm.score_documents(docs, F.lit(False), passes=2).collect()
+    finally:
+        spark.conf.set(key, old)
+    score = lambda rows: {r["doc_id"]: round(r["score"], 3) for r in rows}
+    assert len(few) == 200 and score(few) == score(whole)
