@@ -196,11 +196,8 @@ class Bins:
             last[self.lengths[i]] = i
         raise AssertionError("no such pieces")
 
-    def improve(self, look: int | None = None, failures: int | None = None) -> None:
-        """Empty bins from the least full on, until the bound is met or no bin has a step left.
-
-        Each step looks at all bins of the group; look and failures limit nothing and stay for callers that name them.
-        """
+    def improve(self) -> None:
+        """Empty bins from the least full on, until the bound is met or no bin has a step left; each step looks at all bins of the group."""
         need = -(-sum(self.lengths) // self.capacity)
         count = sum(f > 0 for f in self.fill)
         if count <= need:
@@ -271,7 +268,7 @@ def assign(parts: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = parts.withColumn("_group", key).repartition("_group").sortWithinPartitions("_group", *(f"`{c}`" for c in columns))
+    dealt = parts.withColumn("_group", key).repartition(n_groups, "_group").sortWithinPartitions("_group", *(f"`{c}`" for c in columns))
     return dealt.mapInArrow(packed, schema)
 
 

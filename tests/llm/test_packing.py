@@ -37,7 +37,7 @@ def test_exchanges_empty_bins():
         bins.fill.append(0)
         bins.change(i // 2, [], [i, i + 1])
     squares = sum(f * f for f in bins.fill)
-    bins.improve(look=150, failures=150)
+    bins.improve()
     used = [f for f in bins.fill if f]
     assert sum(f * f for f in used) > squares and max(used) <= 100
     assert sorted(i for x in bins.items for i in x) == list(range(300))
