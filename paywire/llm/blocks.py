@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from paywire.llm.common import bucket_count, bucketed, saved
+from paywire.llm.common import arrow_batches, bucket_count, bucketed, free_memory, saved
 
 BLOCK_BYTES = 4 << 20  # a task holds a few copies of a block
 MAX_ROWS = 20_000  # of whole rows; a batch more at most
@@ -37,6 +37,7 @@ def blocks_of(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     names = ["place", "block", "n", *rows.columns]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         block, held, n, size = TaskContext.get().partitionId() << PLACE_SHIFT, [], 0, 0
 
         def done() -> pa.RecordBatch:
@@ -56,7 +57,8 @@ def blocks_of(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
             yield done()
 
     schema = StructType([*(StructField(x, LongType()) for x in names[:3]), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
-    return bucketed(rows.mapInArrow(packed, schema), "blocks", "place", bucket_count(rows))
+    with arrow_batches(rows.sparkSession, 1_000):
+        return bucketed(rows.mapInArrow(packed, schema), "blocks", "place", bucket_count(rows))
 
 
 def with_messages(blocks: DataFrame, messages: DataFrame, how: str = "inner") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,33 @@ def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return found
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while what is inside runs: whole texts go to Python a few MB at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(old)) if int(old) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+#: What a worker process keeps between the tasks of one operator: its name, and how to let go of it.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def free_memory(keep: str | None = None) -> None:
+    """Let go of what other operators' tasks left in this worker, and give freed memory back to the system."""
+    for name, clear in MEMOS.items():
+        if name != keep:
+            clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL ids go to bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

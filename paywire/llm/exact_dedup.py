@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywire.llm.blocks import blocks_of, rows_but, with_messages
-from paywire.llm.common import saved
+from paywire.llm.common import free_memory, saved
 
 PROBES = 4
 GROUP_ROWS = 500_000
@@ -71,6 +71,7 @@ def messages_to_ranges(blocks: DataFrame, how: Filter, group_rows: int = GROUP_R
     """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         held, rows = [], 0  # block, bits set, how often
 
         def done() -> pa.RecordBatch:

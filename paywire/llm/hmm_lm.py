@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from paywire.llm.blocks import PLACE_SHIFT, with_messages
-from paywire.llm.common import LOWER_TABLE, bucket_count, bucketed, saved
+from paywire.llm.common import LOWER_TABLE, arrow_batches, bucket_count, bucketed, saved
 
 CLASSES, STATES, SEGMENTS = 1 << 15, 8, 64
 SEGMENT = CLASSES // SEGMENTS
@@ -103,7 +103,8 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             yield done(batch.schema.field(0).type)
 
     schema = StructType([StructField(x, t) for x, t in kinds.items()])
-    return bucketed(rows.mapInArrow(packed, schema), "hmm-blocks", "place", bucket_count(rows))
+    with arrow_batches(docs.sparkSession, 1_000):
+        return bucketed(rows.mapInArrow(packed, schema), "hmm-blocks", "place", bucket_count(rows))
 
 
 def corpus_counts(packed: DataFrame) -> DataFrame:

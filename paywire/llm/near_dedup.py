@@ -44,12 +44,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from paywire.llm.blocks import blocks_of, places, rows_but, with_messages
-from paywire.llm.common import LOWER_TABLE, saved, scratch
+from paywire.llm.common import LOWER_TABLE, arrow_batches, free_memory, saved, scratch
 from paywire.llm.graph import connected_components
 
 M = 252  # registers
 MISS = 1e-8  # share of the pairs at the threshold that all bands may miss
 FIRST = 7  # bands that give a node its first name
+TEXTS = 1_000  # in an Arrow batch
 LEVELS, REACH = 4, 5  # levels of set size from percent to 100, and how far apart two levels with a link may be (one to spare)
 PIVOTS, NEAR = 4, 2  # nodes of each level of a large cluster that each block up to so many levels away is compared with
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch
@@ -220,6 +221,7 @@ def _texts(rows: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
 
 def _solve(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """a, b: links of each group of rows (label, i, j, node, class, text), which stand together."""
+    free_memory()
     group, nodes, classes, texts, out = None, [], [], [], []
 
     def flush() -> None:
@@ -241,8 +243,9 @@ def _solve(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
             yield made()
             out.clear()
     flush()
-    _HASHES.clear()
     yield made()
+    _HASHES.clear()
+    free_memory()
 
 
 def _first_blocks(members: DataFrame, n_blocks: Column) -> DataFrame:
@@ -311,6 +314,7 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
     schema = StructType([*source.schema.fields[:2], StructField("n", LongType()), StructField("set_id", BinaryType()), StructField("bands", ArrayType(LongType()))])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             done = 0
             for sets in _batched((t.as_py() for t in batch.column(2)), size):
@@ -321,8 +325,9 @@ def near_duplicate_report(rows: DataFrame, id_col: str = "doc_id", text_col: str
                 flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, M // width, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], schema.names)
         _HASHES.clear()
+        free_memory()
 
-    with scratch(rows.sparkSession) as tables:
+    with scratch(rows.sparkSession) as tables, arrow_batches(rows.sparkSession, TEXTS):
         sketched = saved(source.mapInArrow(sketches, schema), "sketches")
         tables.keep_last()
         classes = _classes(partial(_texts, rows, text_col), sketched, size, percent, block, block_shingles)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywire.llm.common import free_memory
+
 WIDTH, STEP, FILTERS = 8, 4, 16
 BLOCK = 32  # window positions in half a chunk: 128 bytes
 MAX_BYTES = 1 << 20  # in a batch inside a task
@@ -180,6 +182,7 @@ def with_scores(docs: DataFrame, net: Network, text_col: str = "text", score_col
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        free_memory()
         net, pairs = shared.value
         out, held, n = [], [], 0
 

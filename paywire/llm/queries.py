@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywire.llm import chat, common, decontaminate, exact_dedup, hmm_lm, langid, near_dedup, packing, quality, token_ids, url_reputation
+from paywire.llm import chat, common, decontaminate, exact_dedup, hmm_lm, knn_join, langid, merkle, near_dedup, packing, periodic_runs, quality, token_ids, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,3 +103,29 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_documents(common.table(spark, sf_dir, "documents"), common.id_bucket("doc_id", 5) == 1)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the id's crc32, the folded root starts from the leaf of the lower-cased text."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = merkle.document_leaves(common.table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    proof = merkle.proof_digest(F.col("siblings")).alias("proof_sha256")
+    found = merkle.build(leaves).proofs("changed")
+    return found.select(F.col("id").alias("doc_id"), text("leaf"), text("subroot"), text("root"), proof, text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id 100 divides, against all others."""
+    rows = common.table(spark, sf_dir, "embeddings")
+    found = knn_join.top_k(rows, F.col("vec_id") % 100 == 0, k=10, id_col="vec_id", vector_col="embedding", scale=1024)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In every tenth text (by the id's crc32) the words from a place on repeat a few of them."""
+    found = periodic_runs.find_runs(common.table(spark, sf_dir, "documents").select("doc_id", "text"), repeat=periodic_runs.planted)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")

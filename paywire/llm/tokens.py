@@ -18,6 +18,8 @@ import re
 import regex
 from tokenizers import Tokenizer
 
+from paywire.llm.common import MEMOS
+
 #: White space that the Unicode pattern `\s` knows beyond ASCII, and the separators Python adds.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
 #: Characters on which normalisation and case are plain in every Unicode version.
@@ -110,6 +112,7 @@ class Encoder:
 
 _CONTROL = re.compile("[\x1c-\x1f]").search
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+MEMOS["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
