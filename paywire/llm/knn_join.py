@@ -16,7 +16,7 @@ once and stay where they are.  The last step keeps k rows a query, cut once befo
 Products are exact: in double precision while they fit 53 bits, beyond in whole numbers.
 
 Defined results: vectors that are NULL or hold NULL or a non-finite component take no
-part; shorter vectors count as if zeros followed; of equal scores the smaller id comes
+part, nor do those whose scaled components aren't finite; shorter vectors count as if zeros followed; of equal scores the smaller id comes
 first, NULL last; repeated rows are candidates each, and a query is no candidate of itself, but its
 copies are; with fewer than k candidates all are returned; a score beyond 64 bits is
 given as the nearest 64-bit integer; an empty table gives an empty result.
@@ -29,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from paywire.llm.blocks import PLACE_SHIFT, with_messages
 from paywire.llm.common import bucket_count, bucketed, saved
@@ -48,8 +49,9 @@ EXACT = 2.0**53
 def vectors(rows: DataFrame, id_col: str, vector_col: str, is_query: Column, scale: int) -> DataFrame:
     """tag, id, query, v: valid vectors as whole numbers in double precision."""
     x = F.col(f"`{vector_col}`")
-    sound = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    whole = F.transform(x, lambda c: F.rint(F.expr("0D") + c.cast("double") * F.lit(float(scale)) - F.pmod(c.cast("double") * F.lit(float(scale)), F.lit(1.0))))
+    scaled = lambda c: c.cast("double") * F.lit(float(scale))
+    sound = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(scaled(c)) < float("inf"), F.lit(False)))  # NaN is greater than all
+    whole = F.transform(x, lambda c: F.when(F.abs(scaled(c)) < EXACT, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
     return rows.where(sound).select(F.monotonically_increasing_id().alias("tag"), F.col(f"`{id_col}`").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), whole.alias("v"))
 
 
@@ -74,7 +76,7 @@ class Cells:
         enough = np.cumsum(self.count[order], 1) >= k + 1
         at = np.where(enough.any(1), enough.argmax(1), 0)
         found = np.take_along_axis(low, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-        return np.where(enough.any(1), found, -np.inf)
+        return np.where(enough.any(1) & ~np.isnan(found), found, -np.inf)
 
 
 def fit_pivots(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -152,7 +154,7 @@ def _packed(rows: DataFrame, width: int, most: int, label: str) -> DataFrame:
     return bucketed(ready, label, "place", bucket_count(rows))
 
 
-def _by_cell(rows: DataFrame, cells: Cells, counts: dict[int, int], most: int) -> DataFrame:
+def _by_cell(rows: DataFrame, counts: dict[int, int], most: int) -> DataFrame:
     """rows sorted by cell, a cell with more rows than `most` in several tasks."""
     parts = rows.sparkSession.createDataFrame([(c, -(-n // most)) for c, n in counts.items()] or [(0, 1)], "cell int, parts long")
     dealt = rows.join(F.broadcast(parts), "cell").withColumn("_part", F.pmod(F.xxhash64("tag"), F.col("parts")))  # at most MAX_PIVOTS rows
@@ -160,9 +162,6 @@ def _by_cell(rows: DataFrame, cells: Cells, counts: dict[int, int], most: int) -
     return dealt.repartition(n, "cell", "_part").sortWithinPartitions("cell")
 
 
-SCORED = "query long, tag long, score decimal(38,0)"
-
-
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T, exactly: doubles where they hold every partial sum, Python's integers elsewhere."""
     largest = np.sqrt((a**2).sum(1).max(initial=0)) * np.sqrt((b**2).sum(1).max(initial=0))
@@ -209,7 +208,7 @@ def _solved(chunks: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFram
 def _order(ids: pa.Array) -> np.ndarray:
     """Each id's place in ascending order, NULL last; equal ids in any order."""
     out = np.empty(len(ids), np.int64)
-    out[pa.compute.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
+    out[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
     return out
 
 
@@ -237,12 +236,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "id", ve
     for r in summary:
         cells.count[r["cell"]], cells.radius[r["cell"]] = r["n"], r["radius"]
     none = F.lit(0.0).alias("floor")
-    chunks = _packed(_by_cell(placed.select("cell", "tag", "id", "v", none), cells, {r["cell"]: r["n"] for r in summary}, chunk_rows), width, chunk_rows, "knn-chunks")
+    chunks = _packed(_by_cell(placed.select("cell", "tag", "id", "v", none), {r["cell"]: r["n"] for r in summary}, chunk_rows), width, chunk_rows, "knn-chunks")
     counts = {r["cell"]: r["queries"] for r in summary if r["queries"]}
     asked = placed.where("query")
 
     def groups(queries: DataFrame) -> DataFrame:
-        return _packed(_by_cell(queries.select("cell", "tag", "id", "v", "floor"), cells, counts, group_queries), width, group_queries, "knn-queries")
+        return _packed(_by_cell(queries.select("cell", "tag", "id", "v", "floor"), counts, group_queries), width, group_queries, "knn-queries")
 
     def sent(queries: DataFrame) -> DataFrame:
         """block (of chunks) and the query group that must see it; queries: to (cell) and a group's columns."""
@@ -259,7 +258,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "id", ve
     first = groups(asked.withColumn("floor", vouched("v")))
     home = saved(_best(_solved(chunks, sent(first.withColumn("to", F.col("cell"))), k, width), k), "knn-home")
     reached = home.groupBy("query_tag").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("reached"))
-    floor = F.greatest(F.coalesce("reached", F.lit(float("-inf"))), vouched("v"))
+    under = F.col("reached") - F.abs("reached") * F.lit(4e-16)  # where a double can't hold the score
+    floor = F.greatest(F.coalesce(under, F.lit(float("-inf"))), vouched("v"))
     second = groups(asked.join(reached, asked["tag"] == reached["query_tag"], "left").withColumn("floor", floor))
 
     @F.arrow_udf("array<int>")

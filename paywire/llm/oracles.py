@@ -108,3 +108,68 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
   sum(length('[INST:') + length(role) + 2 + length(e) + length('[/INST]</s>') + 1)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+ORACLE_SQL["op12_knn_join"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM v q JOIN v x ON q.r <> x.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+
+def _marked(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*map(_marked, ("doc_id", "source", "lang", "n_chars")), f"coalesce(strlen({text})::VARCHAR || ':' || {text}, '-')"]) + ")"
+
+
+#: crc32 by its bits, as DuckDB has no such function: a character of the decimal id a round.
+_CRC = """crc AS (
+  SELECT r, doc_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS c FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r, s, i + 1, xor(c >> 8, list_reduce(list_prepend(xor(c & 255, ascii(s[i + 1])::BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))
+  FROM crc WHERE i < length(s))"""
+
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, * FROM documents),
+{_CRC},
+leaves AS (
+  SELECT d.r, d.doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN xor(c, 4294967295) % 3 = 0 THEN {_leaf(_LOWER.format("text"))} END AS other
+  FROM d LEFT JOIN crc ON crc.r = d.r AND crc.i = length(crc.s)),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level, pos, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, any_value(level) + 1 AS level, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM nodes WHERE n > 1 GROUP BY tree, pos // 8)),
+roots AS (SELECT tree, level AS height, h AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, subroot AS h, count(*) OVER () AS n FROM roots
+  UNION ALL
+  SELECT level, pos, h, count(*) OVER () FROM (SELECT any_value(level) + 1 AS level, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM tops WHERE n > 1 GROUP BY pos // 8)),
+every AS (
+  SELECT tree, level, pos, h FROM nodes WHERE n > 1
+  UNION ALL SELECT r.tree, r.height + t.level, t.pos, t.h FROM roots r, tops t WHERE t.n > 1),
+steps AS (
+  SELECT p.r, p.tree, 0 AS level, p.pos, coalesce(p.other, p.leaf) AS h, '' AS beside, roots.height FROM placed p JOIN roots USING (tree)
+  UNION ALL
+  SELECT r, tree, level + 1, any_value(pos) // 8, sha256(string_agg(CASE WHEN x = pos THEN h ELSE xh END, '' ORDER BY x)),
+         any_value(beside) || coalesce(string_agg(xh, '' ORDER BY x) FILTER (x <> pos), ''), any_value(height)
+  FROM (SELECT s.r, s.tree, s.level, CASE WHEN s.level = s.height THEN s.tree ELSE s.pos END AS pos, s.h, s.beside, s.height, a.pos AS x, a.h AS xh
+        FROM steps s JOIN every a ON a.tree = s.tree AND a.level = s.level AND a.pos // 8 = (CASE WHEN s.level = s.height THEN s.tree ELSE s.pos END) // 8)
+  GROUP BY r, tree, level),
+folded AS (SELECT r, arg_max(h, level) AS folded_root, arg_max(beside, level) AS beside FROM steps GROUP BY r),
+whole AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN roots USING (tree) JOIN folded USING (r), whole
+"""
