@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paywire.llm.common import saved
+from paywire.llm.blocks import blocks_of, rows_but, with_messages
+from paywire.llm.common import arrow_batches, free_memory, saved
 
 SAMPLE = 32
 WINDOW = 13
@@ -221,6 +222,7 @@ def _pass(docs: DataFrame, phrases: Phrases, key_cols: list[str], text_col: str,
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(HITS).fields])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         phrases = shared.value
         get = phrases.vocabulary.get
         for batch in batches:
@@ -258,24 +260,64 @@ def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int,
         yield Phrases(block, window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, key_cols: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, block_phrases: int = 500_000) -> DataFrame:
-    """key_cols (none may be named like the others), n_words, starts, ends (merged spans of word positions, end exclusive) and items (distinct, sorted as strings)."""
-    blocks = phrase_blocks(benchmark, item_id, item_text, window, block_phrases)  # one at a time on the driver
-    first, second = next(blocks, None) or Phrases([], window), next(blocks, None)
-    if second is None:
-        return _pass(docs, first, key_cols, text_col, shard_words)
-    tagged = saved(docs.select(*key_cols, text_col, F.monotonically_increasing_id().alias("_row")), "decontaminate")
-    passes = [_pass(tagged, b, [*key_cols, "_row"], text_col, shard_words) for b in chain([first, second], blocks)]
+def _hits_of_blocks(rows: DataFrame, blocks: Iterator[Phrases], text_col: str, shard_words: int) -> DataFrame:
+    """block, pos, n_words, starts, ends, items of the rows of a `blocks_of` table that any phrase hits; only these shuffle, without their texts."""
+    each = rows.select("block", F.posexplode(F.col(f"row.`{text_col}`")).alias("pos", "text"))
+    with arrow_batches(rows.sparkSession, 1_000):
+        passes = [saved(_pass(each, b, ["block", "pos"], "text", shard_words).where(F.size("starts") > 0), "hits") for b in blocks]
     every = passes[0]
     for x in passes[1:]:
         every = every.unionByName(x)
-    firsts = [F.first(c).alias(c) for c in [*key_cols, "n_words"]]
-    merged = every.groupBy("_row").agg(*firsts, F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    if len(passes) == 1:
+        return every
+    merged = every.groupBy("block", "pos").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     spans = F.expr("""aggregate(array_sort(spans), cast(array() as array<struct<starts:int,ends:int>>), (done, x) ->
         if(size(done) > 0 and element_at(done, -1).ends >= x.starts,
            concat(slice(done, 1, size(done) - 1), array(named_struct('starts', element_at(done, -1).starts, 'ends', greatest(element_at(done, -1).ends, x.ends)))),
            concat(done, array(x))))""")
-    return merged.withColumn("spans", spans).select(*key_cols, "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    return merged.withColumn("spans", spans).select("block", "pos", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+
+
+_DENSE = "array<struct<starts:array<int>,ends:array<int>,items:array<string>>>"
+
+
+def _with_hits(rows: DataFrame, hits: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
+    """key_cols and HITS of every row of a `blocks_of` table, from those of the rows that are hit."""
+
+    @F.arrow_udf(_DENSE)
+    def by_place(found: pa.Array) -> pa.Array:
+        out = []
+        for some in found.to_pylist():
+            dense = [None] * (1 + max(x["pos"] for x in some))
+            for x in some:
+                dense[x.pop("pos")] = x
+            out.append(dense)
+        return pa.array(out, pa.list_(pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])))
+
+    @F.arrow_udf("long")
+    def n_words(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
+
+    sent = hits.groupBy("block").agg(F.collect_list(F.struct("pos", "starts", "ends", "items")).alias("found"))
+    both = with_messages(rows.select("place", "block", "row"), saved(sent.select("block", by_place("found").alias("found")), "hits"), "left")
+    each = both.select(F.explode(F.arrays_zip("row", F.coalesce("found", F.array().cast(_DENSE)).alias("hit"))).alias("x"))
+    none = lambda name, kind: F.coalesce(F.col(f"x.hit.{name}"), F.array().cast(f"array<{kind}>")).alias(name)
+    keys = [F.col(f"x.row.`{c}`").alias(c) for c in key_cols]
+    return each.select(*keys, n_words(F.col(f"x.row.`{text_col}`")).alias("n_words"), none("starts", "int"), none("ends", "int"), none("items", "string"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, key_cols: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 300_000, block_phrases: int = 500_000) -> DataFrame:
+    """key_cols (none may be named like the others), n_words, starts, ends (merged spans of word positions, end exclusive) and items (distinct, sorted as strings).
+
+    Phrases of several blocks take a pass over the documents each, which are written once in blocks of rows; what the
+    passes find meets them there.
+    """
+    blocks = phrase_blocks(benchmark, item_id, item_text, window, block_phrases)  # one at a time on the driver
+    first, second = next(blocks, None) or Phrases([], window), next(blocks, None)
+    if second is None:
+        return _pass(docs, first, key_cols, text_col, shard_words)
+    rows = blocks_of(docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys([*key_cols, text_col]))).alias("row")))
+    return _with_hits(rows, _hits_of_blocks(rows, chain([first, second], blocks), text_col, shard_words), key_cols, text_col)
 
 
 def n_hit_words():
@@ -292,10 +334,12 @@ def _whole_rows(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("_text"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The documents that the rule leaves, with all their columns."""
-    found = find_hits(_whole_rows(docs, text_col), benchmark, ["row"], "_text", **how)
-    return found.where(~contaminated(n_hit_words(), F.col("n_words"))).select("row.*")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 300_000, block_phrases: int = 500_000) -> DataFrame:
+    """The documents that the rule leaves, with all their columns; only the places of the others move."""
+    rows = blocks_of(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    blocks = phrase_blocks(benchmark, item_id, item_text, window, block_phrases)
+    hits = _hits_of_blocks(rows, chain([next(blocks, None) or Phrases([], window)], blocks), text_col, shard_words)
+    return rows_but(rows, hits.where(contaminated(n_hit_words(), F.col("n_words"))).select("block", "pos"))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from paywire.llm.common import arrow_batches, free_memory, saved
+
 PIECES = "piece int, start long, length long, ids binary"
 
 
@@ -36,6 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from paywire.llm.tokens import encoder
 
+        free_memory(keep="tokens")
         enc = encoder(vocabulary, special_as_text)
         end = end_id.to_bytes(enc.width, "little")
         names = ["doc_id", "piece", "start", "length", "ids"]
@@ -281,6 +284,8 @@ def group_count(docs: DataFrame, text_col: str = "text", group_tokens: int = 8_0
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = 8_000_000, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     cut = pieces(docs, vocabulary, end_id, capacity, id_col, text_col, special_as_text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    with arrow_batches(docs.sparkSession, 1_000):
+        cut = saved(cut, "pieces")  # lengths only; a lost executor doesn't cost the tokenizing
     return assign(cut, group_count(docs, text_col, group_tokens), capacity)
 
 

@@ -64,7 +64,8 @@ def _repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     n = len(ids) - SEED + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    key = doc[:n].astype(np.uint64) + np.uint64(1)
+    key = (doc[:n].astype(np.uint64) + np.uint64(1)) * _MIX
+    key ^= key >> np.uint64(32)
     for k in range(SEED):
         key = (key ^ ids[k : n + k].astype(np.uint64)) * _FOLD
         key ^= key >> np.uint64(29)
@@ -125,7 +126,7 @@ class Texts:
     def backwards(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many words before i and before j are the same; i < j, in one text, j may be its end."""
         i, j = i.copy(), j.copy()
-        begin, start = i.copy(), self.start[i]
+        begin, start = i.copy(), self.start[j - 1]
         for k in range(len(self.names) - 1, -1, -1):
             near = np.flatnonzero(i - (1 << k) >= start)
             near = near[self.names[k][i[near] - (1 << k)] == self.names[k][j[near] - (1 << k)]]
@@ -186,14 +187,14 @@ def _at_borders(texts: Texts, borders: list[list[int]]) -> np.ndarray:
         return place, np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + 1
 
     out = []
-    for at, p, to_right in ((*periods(right), True), (*periods(np.minimum(left + right, room)), False)):
-        i, j = (at, at + p) if to_right else (at - p, at)
-        # places at a text's end belong to the text before
+    for border, p, to_right in ((*periods(right), True), (*periods(np.minimum(left + right, room)), False)):
+        i, j = (border, border + p) if to_right else (border - p, border)
         ahead, back = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        inside = np.flatnonzero(j < texts.end[i - (i == at)] if not to_right else j < texts.end[np.minimum(i, len(texts.end) - 1)])
-        ahead[inside] = texts.forwards(i[inside], j[inside])
-        behind_too = np.flatnonzero(i > texts.start[np.minimum(i, j - 1)])
-        back[behind_too] = texts.backwards(i[behind_too], j[behind_too])
+        own = border - (not to_right)  # a place inside the text: a border on the right side may be the text's end
+        some = np.flatnonzero(j < texts.end[own])
+        ahead[some] = texts.forwards(i[some], j[some])
+        some = np.flatnonzero(i > texts.start[own])
+        back[some] = texts.backwards(i[some], j[some])
         found = (ahead + back >= p) & (ahead + back + p >= MIN_LENGTH)
         out.append(np.stack([i - back, j + ahead, p], 1)[found])
     every = np.concatenate(out)

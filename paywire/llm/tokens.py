@@ -45,7 +45,7 @@ class Encoder:
     max_chunks bounds the memory of the memo; a full memo is emptied, which costs time only.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_chunks: int = 150_000, special_as_text: bool = False):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:

@@ -84,3 +84,19 @@ def test_columns_of_any_name_and_long_texts(spark):
     kept = d.remove_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     assert {r["doc_id"]: r["text"] for r in d.cut_spans(docs, items).collect()}[2] == ""
+
+
+def test_blocks_of_phrases_move_no_texts(spark):
+    """Several passes: what they find goes to the rows; no text and no row is in an exchange."""
+    rows = [(i, f"clean words {i} " + ("w1 w2 w3 w4 w5 " if i % 5 == 0 else "v1 v2 v3 v4 v5 ") * 3, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5"), (2, "v1 v2 v3 v4 v5"), (3, "q1 q2 q3 q4")], "item_id long, text string")
+    found = d.find_hits(docs, bench, ["doc_id"], window=4, block_phrases=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    below = plan[plan.index(moved[0]) :] if moved else ""
+    assert len(moved) == 1 and "text" not in below and "row" not in below.replace("arrow", "").lower().replace("columnartorow", "").replace("throw", "")
+    assert {r["doc_id"]: tuple(r["items"]) for r in found.collect()} == {i: ("1",) if i % 5 == 0 else ("2",) for i in range(60)}
+    one = d.find_hits(docs, bench, ["doc_id"], window=4)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, one.collect())) == sorted(map(key, found.collect()))

@@ -1,0 +1,144 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from paywire.llm import periodic_runs as p
+
+
+def brute(words):
+    """Every run by its definition: for each period the maximal stretches; a stretch counts at its smallest period."""
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            s, e = i, j + q
+            if e - s >= max(12, 2 * q):
+                found.setdefault((s, e), q)
+            i = j
+    return sorted((s, e, q) for (s, e), q in found.items())
+
+
+def texts_of(seed, n):
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        kind, size = rnd.randrange(7), rnd.choice([0, 1, 5, 11, 12, 13, 30, 60, 90])
+        few = [rnd.randrange(rnd.choice([1, 2, 3])) for _ in range(size)]
+        if kind == 0:
+            out.append(few)
+        elif kind == 1:  # a period and a half-broken tail
+            root = [rnd.randrange(3) for _ in range(rnd.randrange(1, 9))]
+            out.append((few[:5] + root * rnd.randrange(1, 12) + few)[:140])
+        elif kind == 2:  # copies of a stretch with runs inside, apart from each other
+            inner = [9] * rnd.randrange(10, 16) + [1, 2, 3] * rnd.randrange(3, 6)
+            out.append((few[:9] + [50] + inner + [51] + few[:4] + [50] + inner + [51, 52] + inner)[:170])
+        elif kind == 3:  # runs in runs
+            block = [1] * 12 + [2] + [1] * 12 + [3]
+            out.append((block * 4)[: rnd.randrange(20, 104)])
+        elif kind == 4:
+            a, b = [0], [0, 1]
+            while len(b) < size:
+                a, b = b, b + a
+            out.append(b[: size + 3])
+        elif kind == 5:
+            out.append(list(range(size)) + list(range(size)))
+        else:
+            out.append(few + few + [7] + few)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_brute_force(seed):
+    texts = texts_of(seed, 80)
+    got = p.runs_of([np.array(t, np.int64) for t in texts])
+    for t, g in zip(texts, got, strict=True):
+        assert g == brute(t), t
+
+
+def test_alone_and_in_a_batch():
+    texts = texts_of(99, 40)
+    whole = p.runs_of([np.array(t, np.int64) for t in texts])
+    assert [p.runs_of([np.array(t, np.int64)])[0] for t in texts] == whole
+
+
+def test_previous_factors_and_extensions():
+    rnd = random.Random(3)
+    for _ in range(20):
+        sizes = [rnd.randrange(1, 25) for _ in range(3)]
+        parts = [[rnd.randrange(2) for _ in range(n)] for n in sizes]
+        ends = np.cumsum(sizes)
+        start, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+        ids = np.concatenate([np.array(x) + 2 * k for k, x in enumerate(parts)])
+        t = p.Texts(ids, start, end)
+        longest, source = t.previous_factors()
+        same = lambda i, j, stop: next((k for k in range(stop - j) if ids[i + k] != ids[j + k]), stop - j)
+        for i in range(len(ids)):
+            assert longest[i] == max([same(j, i, end[i]) for j in range(start[i], i)], default=0)
+            if longest[i]:
+                assert source[i] < i and same(source[i], i, end[i]) == longest[i]
+        order = sorted(range(len(ids)), key=lambda i: (start[i], ids[i : end[i]].tolist()))
+        assert t.suffixes.tolist() == order
+
+
+def test_texts_without_repeats_are_told_apart():
+    rnd = random.Random(4)
+    texts = texts_of(5, 120)
+    ids = [np.array(t, np.int64) for t in texts]
+    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    some = set(p._repeats(np.concatenate(ids), doc).tolist())
+    for k, t in enumerate(texts):
+        grams = [tuple(t[i : i + 6]) for i in range(len(t) - 5)]
+        assert (k in some) == (len(set(grams)) < len(grams)) and (k in some or not brute(t))
+    assert rnd and len(some) < len(texts)
+
+
+def plain_row(key, text, plant=True):
+    words = (text or "").encode().split()
+    if plant and key is not None and words:
+        h = zlib.crc32(str(key).encode())
+        g, n = h // 10, len(words)
+        if h % 10 == 0:
+            a = g % n
+            size = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % size] for i, w in enumerate(words)]
+    runs = brute(words)
+    drop = {i for s, e, q in runs for i in range(s + q, e)}
+    best = min(((s - e, s, q) for s, e, q in runs), default=None)
+    first = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return (key, len(runs), *first, sha("".join(f"{s},{e - s},{q}\n" for s, e, q in runs).encode()), sha(b" ".join(w for i, w in enumerate(words) if i not in drop)))
+
+
+def test_rows_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(p, "BATCH_WORDS", 150)
+    texts = [" ".join(f"w{x}" for x in t) for t in texts_of(7, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, " \t\n"), (None, "a b " * 20), (103, "ä\xa0b " * 30), (104, "a\x0bb\x0c" * 20), (5, texts[5]), (5, texts[5])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
+    for plant in (None, p.planted):
+        got = p.find_runs(docs, repeat=plant).collect()
+        key = lambda r: str(tuple(r))
+        assert sorted(map(key, got)) == sorted(str(plain_row(k, t, plant is not None)) for k, t in rows)
+    assert p.find_runs(docs.limit(0)).count() == 0
+
+
+def test_long_text_of_text_ids(spark):
+    """20,000 words with one period, and as many that never repeat."""
+    rows = [("x", "one two three " * 7000), ("y", " ".join(map(str, range(20_000)))), ("z", " ".join(map(str, range(9000))) + " again" * 40)]
+    docs = spark.createDataFrame(rows, "`my id` string, `a.text` string")
+    got = {r["doc_id"]: r for r in p.find_runs(docs, "my id", "a.text").collect()}
+    assert (got["x"]["start"], got["x"]["length"], got["x"]["period"], got["x"]["exponent_milli"], got["x"]["n_runs"]) == (0, 21_000, 3, 7_000_000, 1)
+    assert got["y"]["n_runs"] == 0 and (got["z"]["start"], got["z"]["length"], got["z"]["period"]) == (9000, 40, 1)
+
+
+def test_collapse_text(spark):
+    docs = spark.createDataFrame([(1, "say " * 15 + "it"), (2, None), (3, "a  b"), (4, "")], "id long, text string")
+    assert {r["id"]: r["text"] for r in p.collapse_text(docs).collect()} == {1: "say it", 2: None, 3: "a b", 4: ""}
