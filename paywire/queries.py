@@ -13,7 +13,8 @@ from paywire.operators import conformance as conf
 from paywire.operators import fixed, mtmx, mx, redact, swift
 from paywire.operators import iso8583 as iso
 from paywire.plans import synth
-from paywire.sources import files, log
+from paywire.sources import files, log, store
+from paywire.sources.places import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -661,3 +662,58 @@ def log_append_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("content").cast("long")
     many = F.count("*") - 1  # a mark for each further log
     return whole.groupBy("path").agg(F.min("offset").alias("offset_"), (F.sum(n) - 8 * many).alias("bytes"), F.sum("records").alias("records"), (F.sum(n) - 8 * many - 13).alias("last_offset"))
+
+
+_STORED = """SELECT source, count(*) AS records, sum(strlen(source) + 1 + strlen(text))::BIGINT AS bytes, min(md5(text)) AS least, max(md5(text)) AS most FROM documents GROUP BY source"""
+
+
+def _documents_log(spark: SparkSession, sf_dir: str, where: str = "true", path: str | None = None) -> str:
+    """A log of all texts, each behind its source's name, in small segments; the folder."""
+    store.register(spark)
+    path = path or new_folder(spark, "log")
+    docs = synth.table(spark, sf_dir, "documents").where(where).select(F.encode(F.concat_ws("\n", "source", "text"), "UTF-8").alias("payload"))
+    docs.write.format("paywire_log").option("segmentBytes", 8 << 20).mode("append").save(path)
+    return path
+
+
+def _sources_of(records: DataFrame) -> DataFrame:
+    text = F.decode("payload", "UTF-8")
+    end = F.expr("locate('\n', decode(payload, 'UTF-8'))")
+    rows = records.where("payload is not null").select(F.left(text, end - 1).alias("source"), F.octet_length("payload").alias("n"), F.md5(F.substring(text, end + 1, F.length(text)).cast("binary")).alias("m"))
+    return rows.groupBy("source").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("bytes"), F.min("m").alias("least"), F.max("m").alias("most"))
+
+
+@query(_STORED)
+def log_store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by many tasks and published at once, then read in pieces that the log's own marks allow."""
+    path = _documents_log(spark, sf_dir)
+    return _sources_of(spark.read.format("paywire_log").option("splitBytes", 1 << 20).load(path))
+
+
+@query(_STORED)
+def log_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments as plain logs without marks, each read by several tasks."""
+    return _sources_of(log.read_log_split(spark, f"{_documents_log(spark, sf_dir)}/*.log", 1 << 20))
+
+
+@query(_STORED)
+def log_tail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream follows the log while it is appended to: half of the documents before its first run, half between two."""
+    path, seen, state = (new_folder(spark, x) for x in ("log", "seen", "state"))
+    for where in ("doc_id % 2 = 0", "doc_id % 2 <> 0 or doc_id is null"):
+        _documents_log(spark, sf_dir, where, path)
+        rows = spark.readStream.format("paywire_log_tail").load(path)
+        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(seen).awaitTermination()
+    return _sources_of(spark.read.schema(log.RECORDS).parquet(seen))
+
+
+@query("""
+SELECT length(o_orderpriority)::INT AS length, count(*) AS frames, 0::BIGINT AS dropped FROM orders GROUP BY 1
+UNION ALL SELECT -1, 0, count(*) FROM (SELECT DISTINCT o_custkey % 50, o_orderkey // 5000 FROM orders)""")
+def trace_split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces in a few files, read in parts of 64 KB: the frames of each length, and the dumps that were cut off."""
+    store.register(spark)
+    path = new_folder(spark, "traces")
+    _trace_files(spark, sf_dir).select("content").write.text(path)
+    dumps = spark.read.format("paywire_trace").option("suffix", ".txt").option("splitBytes", 64 << 10).load(path)
+    return dumps.groupBy(F.coalesce(F.octet_length("frame"), F.lit(-1)).alias("length")).agg(F.count("frame").alias("frames"), F.count_if(F.col("frame").isNull()).alias("dropped"))

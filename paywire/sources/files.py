@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,16 @@ _HEAD, _LENGTH, _END = "[buffer dump:", re.compile(r"length=(\d+)"), "[buffer du
 _PAIR = re.compile("[0-9A-Fa-f]{2}")
 
 
+def _share(line: str, left: int) -> bytes | None:
+    """What a line gives an open dump that lacks `left` bytes; None where it drops the dump."""
+    words = [w for w in line.split(" ") if w]
+    want = min(16, left)
+    share = words[:want]
+    if line.startswith(_END) or words and (len(share) < want or not all(_PAIR.fullmatch(w) for w in share)):
+        return None
+    return bytes.fromhex("".join(share))
+
+
 def frames_of(text: str) -> tuple[list[bytes], int]:
     """Frames of a dump trace, and how many dumps were dropped.
 
@@ -73,19 +85,70 @@ def frames_of(text: str) -> tuple[list[bytes], int]:
             continue
         if not need:
             continue
-        words = [w for w in line.split(" ") if w]
-        want = min(16, need - len(got))
-        share = words[:want]
-        if line.startswith(_END) or words and (len(share) < want or not all(_PAIR.fullmatch(w) for w in share)):
+        share = _share(line, need - len(got))
+        if share is None:
             dropped, need = dropped + 1, 0
             continue
-        got += bytes.fromhex("".join(share))
+        got += share
         if len(got) == need:
             frames.append(bytes(got))
             need = 0
     return frames, dropped + (need > 0)
 
 
+def dumps_between(f: BinaryIO, begin: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, frame) of each dump whose header line begins from `begin` up to `end`; None where it is dropped.
+
+    The reader finds the first line that begins there and goes on until the last of these dumps is closed.
+    """
+    f.seek(max(0, begin - 1))
+    lines = io.BufferedReader(_Raw(f), 1 << 20)
+    at = begin
+    if begin:
+        at = begin - 1 + len(lines.readline())  # the rest of the line before, or the line feed itself
+    opened, need, got = 0, 0, bytearray()
+    while need or at < end:
+        raw = lines.readline()
+        if not raw:
+            break
+        here, at = at, at + len(raw)
+        line = raw.removesuffix(b"\n").decode("utf-8", "replace")
+        if line.startswith(_HEAD):
+            if need:
+                yield opened, None
+            size = _LENGTH.search(line)
+            opened, need, got = here, int(size[1]) if size and here < end else 0, bytearray()
+            continue
+        if not need:
+            continue
+        share = _share(line, need - len(got))
+        if share is None:
+            yield opened, None
+            need = 0
+            continue
+        got += share
+        if len(got) == need:
+            yield opened, bytes(got)
+            need = 0
+    if need:
+        yield opened, None
+
+
+class _Raw(io.RawIOBase):
+    """An Arrow file from where it stands, for Python's buffered reader."""
+
+    def __init__(self, f: BinaryIO):
+        self.f = f
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: bytearray) -> int:
+        found = self.f.read(len(into))
+        into[: len(found)] = found
+        return len(found)
+
+
 def explode_traces(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, seq, frame, dropped: a row a frame; a file without frames has one row with NULL."""
 
