@@ -103,7 +103,7 @@ class _Writer:
             raise ValueError(f"no column {self.column!r} to append")
         self.most, self.every = int(options.get("segmentbytes", 128 << 20)), int(options.get("syncevery", 0))
         self.mark_bytes = int(options.get("markbytes", MARK_BYTES))
-        self.stage, self.app = f"{self.root}/_staging/{uuid.uuid4().hex}", app
+        self.stage, self.app = f"{self.root}/_staging/{f'app-{app}' if app else uuid.uuid4().hex}", app  # of a stream Spark makes several writers
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Segments:
         task, done, now = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], None
