@@ -18,8 +18,8 @@ Products are exact: in double precision while they fit 53 bits, beyond in whole
 Defined results: vectors that are NULL or hold NULL or a non-finite component take no
 part, nor do those whose scaled components aren't finite; shorter vectors count as if zeros followed; of equal scores the smaller id comes
 first, NULL last; repeated rows are candidates each, and a query is no candidate of itself, but its
-copies are; with fewer than k candidates all are returned; a score beyond 64 bits is
-given as the nearest 64-bit integer; an empty table gives an empty result.
+copies are; with fewer than k candidates all are returned; a score beyond 64 bits
+counts as the nearest 64-bit integer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,6 +65,10 @@ class Cells:
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest possible score of each query (row) with a vector of each cell; a little slack for rounding."""
+        with np.errstate(over="ignore", invalid="ignore"):  # what overflows bounds nothing
+            return self._bounds(q)
+
+    def _bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         middle = q @ self.pivots.T
         norms = np.sqrt((q**2).sum(1))[:, None]
         reach = norms * self.radius * (1 + 1e-9) + 1e-9 * norms * np.sqrt((self.pivots**2).sum(1)) + 1
@@ -168,7 +172,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if largest < EXACT:
         return a @ b.T
     whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
+    exact = whole(a) @ whole(b).T
+    return np.array([[min(max(x, -(1 << 63)), (1 << 63) - 1) for x in row] for row in exact.tolist()], object).reshape(exact.shape)
 
 
 def _solved(chunks: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
@@ -197,7 +202,7 @@ def _solved(chunks: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFram
                             found[0].append(np.full(len(near), tag))
                             found[1].append(near)
                             found[2].append(own[near])
-                            found[3].append(np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[near]]) if s.dtype == object else s[near].astype(np.int64))
+                            found[3].append(s[near].astype(np.int64))
                 if found[0]:
                     which = np.concatenate(found[1])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[0])), ids.values.take(pa.array(which)), pa.array(np.concatenate(found[2])), pa.array(np.concatenate(found[3]))], schema.names)

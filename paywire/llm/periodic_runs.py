@@ -218,7 +218,7 @@ def _copied(found: dict[int, list[tuple[int, int]]], longest: list[int], source:
 def runs_of(texts: list[np.ndarray]) -> list[list[Run]]:
     """All runs of each text (words as numbers, which texts may share), by start, then period."""
     texts = [np.unique(t, return_inverse=True)[1] for t in texts]
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     start, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
     out: list[list[Run]] = [[] for _ in texts]

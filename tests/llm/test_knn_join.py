@@ -17,9 +17,10 @@ def brute(rows, k, scale=1024):
     out = []
     for a, (q, v) in enumerate(sound):
         if q is not None and q % 10 == 0:
-            scored = [(-sum(x * y for x, y in zip(v, w, strict=False)), i is None, i or 0) for b, (i, w) in enumerate(sound) if b != a]
+            clip = lambda s: max(min(s, 2**63 - 1), -(2**63))
+            scored = [(-clip(sum(x * y for x, y in zip(v, w, strict=False))), i is None, i or 0) for b, (i, w) in enumerate(sound) if b != a]
             scored.sort()
-            out += [(q, r, None if none else i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, none, i) in enumerate(scored[:k], 1)]
+            out += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(scored[:k], 1)]
     return sorted(map(str, out))
 
 
