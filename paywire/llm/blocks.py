@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from paywire.llm.common import arrow_batches, bucket_count, bucketed, free_memory, saved
 
-BLOCK_BYTES = 4 << 20  # a task holds a few copies of a block
+BLOCK_BYTES = 1 << 20  # a task holds a few copies of a block
 MAX_ROWS = 20_000  # of whole rows; a batch more at most
 PLACE_SHIFT = 20  # a place has fewer blocks than that many bits can number
 
