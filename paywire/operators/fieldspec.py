@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 # The fields of ISO 8583:1987 as number, type (n digits, a letters, s special, b bytes, z track and mixes),
@@ -187,3 +188,44 @@ class FieldSpec:
         """number, type, prefix, size, name: 128 rows at most, so a broadcast of it is bounded."""
         rows = [(d.number, d.kind, d.prefix, d.size, d.name) for d in sorted(self.fields.values(), key=lambda d: d.number)]
         return spark.createDataFrame(rows, "number int, type string, prefix int, size int, name string")
+
+
+@dataclass
+class SpecTable:
+    """Many interface specs by id, for columns that name a spec in each row.
+
+    They are sent to the executors once, packed as one array of 129 entries a spec; `MOST` bounds them (about
+    10 KB each).
+    """
+
+    spark: SparkSession
+    specs: dict[str, FieldSpec]
+    MOST = 10_000
+
+    def __post_init__(self) -> None:
+        if len(self.specs) > self.MOST:
+            raise ValueError(f"{len(self.specs)} specs; at most {self.MOST} are sent to every executor")
+
+    @classmethod
+    def of(cls, table: DataFrame) -> SpecTable:
+        """From rows (spec, extends, number, type, prefix, size, name); extends: over the standard table, else closed.  A spec without fields has one row with number NULL.
+
+        Of two rows for a number the one with the greater (prefix, size, type, name) counts; a wrong definition raises.
+        """
+        most = cls.MOST * 129
+        found = table.select("spec", "extends", "number", "type", "prefix", "size", "name").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"over {most} field definitions")
+        own: dict[str, list[Definition]] = {}
+        extends: dict[str, bool] = {}
+        for r in sorted(found, key=lambda r: (r["spec"], r["number"] or 0, r["prefix"] or 0, r["size"] or 0, r["type"] or "", r["name"] or "")):
+            extends[r["spec"]] = r["extends"] if r["extends"] is not None else True
+            fields = own.setdefault(r["spec"], [])
+            if r["number"] is not None:
+                fields.append(Definition(r["number"], TYPE_NAMES.get(r["type"], r["type"]), r["prefix"], r["size"], r["name"] or ""))
+        return cls(table.sparkSession, {k: (FieldSpec.extending if extends[k] else FieldSpec.closed)(k, d) for k, d in own.items()})
+
+    def shared(self) -> Broadcast:
+        if not hasattr(self, "_shared"):
+            self._shared = self.spark.sparkContext.broadcast({k: s.by_number() for k, s in self.specs.items()})
+        return self._shared

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywire.operators.gates import Gate
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -65,3 +67,12 @@ def layout_gate(df: DataFrame, frame: str, layout: Layout) -> DataFrame:
     """frames, matched, gate: 2 without frames, 0 if any fits, else 1."""
     found = df.agg(F.count(frame).alias("frames"), F.count_if(layout.fits(F.col(frame))).alias("matched"))
     return found.withColumn("gate", F.when(F.col("frames") == 0, 2).when(F.col("matched") > 0, 0).otherwise(1))
+
+
+def watched(df: DataFrame, frame: str, layout: Layout, gate: Gate) -> DataFrame:
+    """The frames as they are, counted on their way; gate.result() is what `layout_gate` finds."""
+    return gate.watch(df, frames=F.count(frame), matched=F.count_if(layout.fits(F.col(frame))))
+
+
+def gate_of(counts: dict[str, int]) -> int:
+    return 2 if not counts["frames"] else 0 if counts["matched"] else 1

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paywire.functions import wire as rows
 from paywire.functions.bytesx import printable, to_hex
-from paywire.operators.fieldspec import FieldSpec
+from paywire.operators.fieldspec import FieldSpec, SpecTable
 
 DIALECTS = rows.DIALECTS
 ERROR = "struct<code:string,field:int,offset:int>"
@@ -54,6 +54,11 @@ def bitmap_hex(numbers: Column) -> Column:
     return _once(bits, lambda b: F.concat(quarter(b, 0), quarter(b, 1), F.when(wide, F.concat(quarter(b, 2), quarter(b, 3))).otherwise(F.lit(""))))
 
 
+def bitmap_without(numbers: Column, number: Column) -> Column:
+    """The set fields without one: a bit taken back."""
+    return F.filter(numbers, lambda n: n != number)
+
+
 def _messages(wires: pa.Array, read) -> pa.Array:
     """MESSAGE of each value by read(bytes) -> dialect, type, fields."""
     mti, dialect, errors, numbers, values, ends, null = [], [], [], [], [], [0], []
@@ -100,6 +105,59 @@ def sniff(wire: Column, spec: FieldSpec = FieldSpec()) -> Column:
     return sniffed(wire)
 
 
+def _built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array, tables: list[list | None]) -> pa.Array:
+    ends = lists.offsets.to_pylist()
+    flat = lists.values
+    numbers, values = flat.field("number").to_pylist(), flat.field("value").to_pylist()
+    wires, errors, missing = [], [], lists.is_null().to_pylist()
+    for i, (m, d, table) in enumerate(zip(mtis.to_pylist(), dialects.to_pylist(), tables, strict=True)):
+        own = slice(0, 0) if missing[i] else slice(ends[i], ends[i + 1])
+        try:
+            if table is None:
+                raise rows.Bad("UnknownSpec")
+            wires.append(rows.build(m, dict(zip(numbers[own], values[own], strict=True)), d, table))
+            errors.append(None)
+        except rows.Bad as bad:
+            wires.append(None)
+            errors.append(bad.error)
+    return pa.StructArray.from_arrays([pa.array(wires, pa.binary()), pa.array(errors, _ERROR)], fields=[pa.field("wire", pa.binary()), pa.field("error", _ERROR)])
+
+
+def _by_spec(ids: pa.Array, specs: dict[str, list]) -> list[list]:
+    """The field table of each row's spec; None where the id is no spec's."""
+    return [specs.get(k) for k in ids.to_pylist()]
+
+
+def sniff_by(wire: Column, spec_id: Column, specs: SpecTable) -> Column:
+    """As sniff, each row under the spec that its spec_id names; another id, or NULL, is the error UnknownSpec."""
+    shared = specs.shared()
+
+    @F.arrow_udf(MESSAGE)
+    def sniffed(wires: pa.Array, ids: pa.Array) -> pa.Array:
+        tables = iter(_by_spec(ids.filter(wires.is_valid()), shared.value))
+
+        def read(data: bytes) -> tuple:
+            table = next(tables)
+            if table is None:
+                raise rows.Bad("UnknownSpec")
+            return rows.sniff(data, table)
+
+        return _messages(wires, read)
+
+    return sniffed(wire, spec_id)
+
+
+def build_by(mti: Column, fields: Column, spec_id: Column, specs: SpecTable, dialect: str | Column = "hybrid") -> Column:
+    """As build, each row under the spec that its spec_id names; another id, or NULL, is the error UnknownSpec."""
+    shared = specs.shared()
+
+    @F.arrow_udf(f"struct<wire:binary,error:{ERROR}>")
+    def built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array, ids: pa.Array) -> pa.Array:
+        return _built(mtis, lists, dialects, _by_spec(ids, shared.value))
+
+    return built(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect), spec_id)
+
+
 def build(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: FieldSpec = FieldSpec()) -> Column:
     """struct<wire binary, error>: everything is checked before a byte is written.  fields: FIELDS, any order; of repeated numbers the last counts.
 
@@ -109,19 +167,7 @@ def build(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: F
 
     @F.arrow_udf(f"struct<wire:binary,error:{ERROR}>")
     def built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array) -> pa.Array:
-        ends = lists.offsets.to_pylist()
-        flat = lists.values
-        numbers, values = flat.field("number").to_pylist(), flat.field("value").to_pylist()
-        wires, errors, missing = [], [], lists.is_null().to_pylist()
-        for i, (m, d) in enumerate(zip(mtis.to_pylist(), dialects.to_pylist(), strict=True)):
-            own = slice(0, 0) if missing[i] else slice(ends[i], ends[i + 1])
-            try:
-                wires.append(rows.build(m, dict(zip(numbers[own], values[own], strict=True)), d, table))
-                errors.append(None)
-            except rows.Bad as bad:
-                wires.append(None)
-                errors.append(bad.error)
-        return pa.StructArray.from_arrays([pa.array(wires, pa.binary()), pa.array(errors, _ERROR)], fields=[pa.field("wire", pa.binary()), pa.field("error", _ERROR)])
+        return _built(mtis, lists, dialects, [table] * len(mtis))
 
     return built(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
 

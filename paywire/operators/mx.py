@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywire.operators.gates import Gate
+
 _ADDRESS = "PstlAdr STRUCT<TwnNm: STRING, Ctry: STRING, AdrLine: ARRAY<STRING>>"
 _PARTY = f"STRUCT<Nm: STRING, {_ADDRESS}>"
 _PTY = f"STRUCT<Pty: {_PARTY}>"
@@ -89,12 +91,18 @@ def remediation(verdict: Column, adr: Column) -> Column:
     return F.when(verdict == "missing_structured", text).when(verdict == "no_address", F.lit("add a postal address with TwnNm and Ctry"))
 
 
-def check_addresses(df: DataFrame, keys: list[str], xml: str) -> DataFrame:
-    """keys, message_type, party, verdict, town_name, country, unstructured_lines, remediation, error: two rows a message, one where it fails."""
+def check_addresses(df: DataFrame, keys: list[str], xml: str, gate: Gate | None = None) -> DataFrame:
+    """keys, message_type, party, verdict, town_name, country, unstructured_lines, remediation, error: two rows a message, one where it fails.
+
+    gate: counts the messages on their way, as `address_gate` counts them afterwards.
+    """
     # bound once: an expression that is read often would be worked out as often
     found = once(parse(F.col(xml)), lambda d: F.struct(parse_error(d).alias("e"), parties(d).alias("p")))
     found = df.select(*keys, found.alias("_f")).select(*keys, F.col("_f.e").alias("_e"), F.col("_f.p").alias("_p"))
     error = F.coalesce("_e", F.when(F.col("_p").isNull(), F.lit("UnsupportedDocument")))
+    if gate:
+        good = (address_verdict(F.col("_p.debtor")) == "compliant") & (address_verdict(F.col("_p.creditor")) == "compliant")
+        found = gate.watch(found, compliant=F.count_if(error.isNull() & good), non_compliant=F.count_if(error.isNull() & ~good), errors=F.count_if(error.isNotNull()))
     one = lambda party, adr: F.struct(F.lit(party).alias("party"), adr.alias("adr"))
     none = F.array(F.struct(F.lit(None).cast("string").alias("party"), F.lit(None).cast("struct<TwnNm:string,Ctry:string,AdrLine:array<string>>").alias("adr")))
     rows = found.select(*keys, error.alias("error"), F.when(error.isNull(), F.col("_p.message_type")).alias("message_type"), F.explode(F.when(error.isNull(), F.array(one("debtor", F.col("_p.debtor")), one("creditor", F.col("_p.creditor")))).otherwise(none)).alias("_r"))
@@ -110,6 +118,10 @@ def address_gate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("gate", F.when(F.col("errors") > 0, 2).when(F.col("non_compliant") > 0, 1).otherwise(0))
 
 
+def gate_of(counts: dict[str, int]) -> int:
+    return 2 if counts["errors"] else 1 if counts["non_compliant"] else 0
+
+
 def address_reports(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, all_compliant, failing (parties in order), report (JSON with its nulls kept), error: one row a message."""
     line = F.struct("party", "verdict", "town_name", "country", "unstructured_lines", "remediation")

@@ -11,6 +11,8 @@ from paywire.functions import ebcdic, sm
 from paywire.functions.bytesx import bcd_decode, bcd_encode, hexdump, squeeze, to_hex
 from paywire.operators import conformance as conf
 from paywire.operators import fixed, mtmx, mx, redact, swift
+from paywire.operators.fieldspec import SpecTable
+from paywire.operators.gates import Gate
 from paywire.operators import iso8583 as iso
 from paywire.plans import synth
 from paywire.sources import files, log, store
@@ -147,7 +149,8 @@ _COVER = """, c AS (
 
 @query(_DIFF + _COVER + "SELECT o_orderkey, checked, total, (100 * checked // total)::INT AS percent, gate FROM c")
 def conformance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conf.coverage(_diff(spark, sf_dir), ["o_orderkey"])
+    captures = synth.captures(spark, sf_dir)
+    return conf.capture_coverage(conf.wire_diffs(captures, ["o_orderkey"], "request", "legacy", "migrated", SPEC), ["o_orderkey"])
 
 
 @query(_DIFF + _COVER + "SELECT count(*) AS inputs, count(*) FILTER (gate = 1) AS drifted, 0::BIGINT AS errors, max(gate) AS gate FROM c")
@@ -717,3 +720,63 @@ def trace_split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     _trace_files(spark, sf_dir).select("content").write.text(path)
     dumps = spark.read.format("paywire_trace").option("suffix", ".txt").option("splitBytes", 64 << 10).load(path)
     return dumps.groupBy(F.coalesce(F.octet_length("frame"), F.lit(-1)).alias("length")).agg(F.count("frame").alias("frames"), F.count_if(F.col("frame").isNull()).alias("dropped"))
+
+
+def _same_as(name: str):
+    return query(ORACLE_SQL[name])
+
+
+@_same_as("conformance_gate")
+def conformance_gate_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of `conformance_gate` from counts that the write of all field rows takes along."""
+    gate = Gate(conf.gate_of)
+    diffs = conf.wire_diffs(synth.captures(spark, sf_dir), ["o_orderkey"], "request", "legacy", "migrated", SPEC)
+    conf.field_rows(conf.watched(diffs, gate), ["o_orderkey"]).write.parquet(new_folder(spark, "fields"))
+    return gate.row(spark)
+
+
+@_same_as("mx_address_gate")
+def mx_gate_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of `mx_address_gate` from counts that the write of all party rows takes along."""
+    gate = Gate(mx.gate_of)
+    mx.check_addresses(synth.address_envelopes(spark, sf_dir), ["c_custkey"], "xml", gate).write.parquet(new_folder(spark, "parties"))
+    return gate.row(spark)
+
+
+@_same_as("conformance_long_views")
+def conformance_bucketed_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long views as tables in buckets of the capture: the diff itself moves no row."""
+    view = lambda side: iso.long_view(synth.iso_wires(spark, sf_dir, side).select("o_orderkey", iso.parse(F.col("wire"), "hybrid").alias("m")), "m", ["o_orderkey"]).withColumn("occurrence", F.lit(0))
+    folder = new_folder(spark, "views")
+    tables = []
+    for name, side in (("legacy", False), ("migrated", True)):
+        label = "paywire_" + folder.rsplit("-", 1)[-1] + "_" + name
+        tables.append(conf.bucketed_view(view(side), ["o_orderkey"], label, 8, f"{folder}/{name}"))
+        spark.sql(f"DROP TABLE {label}")  # the name only
+    return conf.diff_views(*tables, ["o_orderkey"], SPEC).groupBy("field", "mask", "verdict", "reason").agg(F.count("*").alias("n"))
+
+
+_SPECS = [
+    ("wide", True, 48, "ans", 3, 999, "note"), ("wide", True, 60, "n", 0, 3, "code"),
+    ("own", False, 3, "n", 0, 6, "processing"), ("own", False, 11, "n", 0, 6, "trace"), ("own", False, 48, "ans", 2, 15, "note"), ("own", False, 60, "n", 2, 5, "code"),
+    ("short", True, 48, "ans", 2, 5, "note"), ("short", True, 60, "n", 2, 3, "code"),
+]
+
+
+@query("""
+SELECT o_orderkey, spec, error, CASE WHEN error IS NULL THEN o_orderpriority END AS note, CASE WHEN error IS NULL THEN '007' END AS code,
+       CASE WHEN error IS NULL AND spec <> 'wide' THEN 'InsufficientBytes' END AS as_wide
+FROM (SELECT *, CASE WHEN spec = 'other' THEN 'UnknownSpec' WHEN spec = 'short' AND length(o_orderpriority) > 5 THEN 'LengthExceedsMax' END AS error
+  FROM (SELECT *, ['wide', 'own', 'short', 'other'][o_orderkey % 4 + 1] AS spec FROM orders))""")
+def iso8583_specs_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages built and read under the spec that each row names; read under another one they are errors."""
+    specs = SpecTable.of(spark.createDataFrame(_SPECS, "spec string, extends boolean, number int, type string, prefix int, size int, name string"))
+    spec = F.element_at(F.array(*map(F.lit, ("wide", "own", "short", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = lambda c: F.encode(c, "US-ASCII")
+    values = ((3, F.lit("000000")), (11, F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")), (48, F.col("o_orderpriority")), (60, F.lit("007")))
+    fields = F.array(*(F.struct(F.lit(n).alias("number"), text(v).alias("value")) for n, v in values))
+    made = synth.table(spark, sf_dir, "orders").select("o_orderkey", spec.alias("spec"), iso.build_by(F.lit("0200"), fields, spec, specs).alias("b"))
+    wide = F.when(F.col("spec") != "wide", iso.sniff_by(F.col("b.wire"), F.lit("wide"), specs)["error"]["code"])
+    read = made.select("o_orderkey", "spec", "b", wide.alias("as_wide"), iso.sniff_by(F.col("b.wire"), F.col("spec"), specs).alias("m"))
+    value = lambda n: F.decode(iso.field(F.col("m"), n), "US-ASCII")
+    return read.select("o_orderkey", "spec", F.coalesce("b.error.code", "m.error.code").alias("error"), value(48).alias("note"), value(60).alias("code"), F.when(F.col("b.wire").isNotNull(), F.col("as_wide")).alias("as_wide"))
