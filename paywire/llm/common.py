@@ -56,7 +56,11 @@ class Scratch:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    """Removes the tables written inside, except those kept.  For code whose result is written before it ends."""
+    """Removes the tables written inside, except those kept.  For code whose result is written before it ends.
+
+    It is also the handle for what a query leaves behind: `with scratch(spark): query(spark, sf_dir).write.parquet(...)`
+    removes all that the query wrote for itself.
+    """
     scope = Scratch()
     _SCOPES.open.append(scope)
     try:
@@ -68,7 +72,7 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def _new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/paywire-{label}-{uuid.uuid4().hex}"
     if _SCOPES.open:
         _SCOPES.open[-1].paths.append(path)
@@ -81,7 +85,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage: a lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = _new_path(spark, label)
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -111,7 +115,7 @@ def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     which is a block of rows, is a row group of its own, so a reader holds one at a time.
     """
     spark = df.sparkSession
-    path, name = _new_path(spark, label), f"paywire_{uuid.uuid4().hex}"
+    path, name = new_path(spark, label), f"paywire_{uuid.uuid4().hex}"
     df.write.format("parquet").option("path", path).option("parquet.block.row.count.limit", 1).bucketBy(n, key).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: files at a path of their own stay

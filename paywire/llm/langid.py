@@ -284,8 +284,8 @@ def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col:
     Rows with longer texts than `max_text_bytes` are not learned from, and rows of one
     repeated id don't add up to more than `max_rows`; so the driver's share is bounded.
     """
-    docs = docs.where(F.octet_length(text_col) <= max_text_bytes)
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"))
+    docs = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in ((id_col, "k"), (lang_col, "l"), (text_col, "t")))).where(F.octet_length("t") <= max_text_bytes)
+    ids = docs.where("l is not null and t is not null").select("k", "l")
     # thinned by hash first, so that no language's rows meet in one task
     sizes = {r["l"]: r["n"] for r in ids.groupBy("l").agg(F.approx_count_distinct("k").alias("n")).collect()}
     if not sizes:
@@ -295,7 +295,7 @@ def fit(docs: DataFrame, max_rows: int = 250, id_col: str = "doc_id", text_col:
     thin = ids.where(unit < share[F.col("l")])
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
     chosen = thin.withColumn("rank", rank).where(F.col("rank") <= max_rows).select("k", "l").distinct()
-    rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), ["k", "l"])
+    rows = docs.join(F.broadcast(chosen), ["k", "l"])
     texts: dict[str, list[str]] = {}
     rows = rows.select("l", F.xxhash64("k").alias("h"), "t").withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("rank") <= max_rows)
     for r in sorted(rows.collect(), key=lambda r: (r["l"], r["h"], r["t"] or "")):

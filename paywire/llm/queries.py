@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,7 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/paywire-tokens-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "tokens")
     token_ids.write_token_file(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_ids.read_token_file(spark, path)
 
@@ -78,7 +77,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.id_bucket("doc_id", 4) == 2
     model = langid.fit(docs.where(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.accepted").alias("accepted"))
 
 
 @query

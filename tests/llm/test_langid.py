@@ -88,3 +88,50 @@ def test_training_rows_are_bounded(spark):
     finally:
         langid.train = real
     assert {k: len(v) for k, v in seen.items()} == {"de": 5, "en": 5} and max(len(t) for v in seen.values() for t in v) < 100
+
+
+def plain_language(model, text):
+    """lang, score and accepted by loops: each character after its context, from the highest order that knows it."""
+    letters = [c for c in text or ""]
+    low = [c.lower() if len(c.lower()) == 1 else c for c in letters]
+    codes = [ord(x) if c.isalpha() else 0 for c, x in zip(letters, low, strict=True)]
+    if not any(codes):
+        return "und", 0.0, False
+    squeezed = [0]
+    for c in [*codes, 0]:
+        if c or squeezed[-1]:
+            squeezed.append(c)
+    line = [0] * (langid.ORDER - 2) + squeezed
+    tables = [{int(k): logs[i] for i, k in enumerate(h.keys)} for h, logs in zip(model.grams, model.logs, strict=True)]
+    back = [{int(k): logs[i] for i, k in enumerate(h.keys)} for h, logs in zip(model.contexts, model.backoff, strict=True)]
+    total, n = np.zeros(len(model.languages)), 0
+    for at in range(len(line) - langid.ORDER + 1):
+        window = np.array(line[at : at + langid.ORDER], np.uint32)
+        for order in range(langid.ORDER, 0, -1):
+            key = int(langid.grams(window, order)[0])
+            if key in tables[order - 1]:
+                total += tables[order - 1][key]
+                break
+            if order > 1:
+                total += back[order - 1].get(int(langid.contexts(window, order)[0]), 0)
+        else:
+            total += model.floor
+        n += 1
+    h = (-total / n).tolist()
+    best = min(range(len(h)), key=h.__getitem__)
+    score = 1 / sum(math.exp(-(x - h[best]) * model.temperature) for x in h)
+    return model.languages[best], score, h[best] <= model.limit[best]
+
+
+def test_identify_against_loops(spark, texts, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 300)
+    model = langid.train({x: t[:30] for x, t in texts.items()})
+    rnd = random.Random(8)
+    rows = [None, "", "12 .!", "ba", "Qx zz 9 yw", "\u0130 \U0001d400 ß"] + [made(rnd.choice("aa bb cc".split()), n, rnd) for n in (1, 3, 50, 900)] + [made("aa", 5, rnd) + " 1 " + made("bb", 5, rnd).upper()]
+    docs = spark.createDataFrame([(i, t, "zz") for i, t in enumerate(rows)], "doc_id long, `my.text` string, language string")
+    got = {r["doc_id"]: r["language"] for r in langid.identify(docs, model, "my.text").collect()}
+    for i, t in enumerate(rows):
+        lang, score, accepted = plain_language(model, t)
+        assert (got[i]["lang"], got[i]["accepted"]) == (lang, accepted) and got[i]["score"] == pytest.approx(score, abs=1e-4), t
+    named = spark.createDataFrame([(i, t, x) for x in texts for i, t in enumerate(texts[x][:12])], "`my.id` long, `my.text` string, `the.lang` string")
+    assert langid.fit(named, 10, "my.id", "my.text", "the.lang").languages == sorted(texts)
