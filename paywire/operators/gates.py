@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 class Gate:
     """Counts of the rows that one action writes; `rule` turns them into the gate: 0, 1 or 2.
 
-    Spark adds the counts up in the tasks that produce the rows and counts a repeated task once.
+    Spark adds the counts up in the tasks of the stage in which the rows are watched.  Watch them behind the last shuffle, in
+    the stage that writes: a stage before it may run again, and a range shuffle runs it once more to sample it.
     """
 
     def __init__(self, rule: Callable[[dict[str, int]], int]):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,22 +22,47 @@ def xml_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, content; a file that isn't there has NULL content and fails nothing."""
+    """path, content, error; a file that can't be read has NULL content and its reason, and fails nothing.
+
+    Each folder is listed once, however many of its files are asked for.  A file that goes between
+    the listing and the read counts as not found.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    full, there = {}, []
-    for p in dict.fromkeys(paths):
-        place = hadoop.Path(p)
+    places = {p: hadoop.Path(p) for p in dict.fromkeys(paths)}
+    folders: dict[str, dict[str, bool]] = {}  # of a folder: is each entry a file?
+    full, error, there = {}, {}, []
+    for p, place in places.items():
         store = place.getFileSystem(conf)
-        full[p] = store.makeQualified(place).toString()
-        if store.exists(place):
+        whole = store.makeQualified(place)
+        full[p] = whole.toString()
+        parent = whole.getParent()
+        if parent is None:
+            error[p] = "is a folder"
+            continue
+        if (key := parent.toString()) not in folders:
+            try:
+                folders[key] = {s.getPath().getName(): s.isFile() for s in store.listStatus(parent)} if store.exists(parent) else {}
+            except Py4JJavaError as bad:
+                folders[key] = {"": False}
+                error[key] = str(bad.java_exception.getMessage())
+        kind = folders[key].get(whole.getName())
+        if kind:
             there.append(p)
-    wanted = spark.createDataFrame([(p, full[p]) for p in paths], "path string, place string")
+        else:
+            error[p] = error.get(key) or ("not found" if kind is None else "is a folder")
+    wanted = spark.createDataFrame([(p, full[p], error.get(p)) for p in paths], "path string, place string, error string")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     if not there:
-        return wanted.select("path", F.lit(None).cast("binary").alias("content"))
-    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(there).select(plain(F.col("path")).alias("place"), "content")
-    return wanted.withColumn("place", plain(F.col("place"))).join(found, "place", "left").select("path", "content")
+        return wanted.select("path", F.lit(None).cast("binary").alias("content"), "error")
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([_escaped(p) for p in there]).select(plain(F.col("path")).alias("place"), "content")
+    both = wanted.withColumn("place", plain(F.col("place"))).join(found, "place", "left")
+    return both.select("path", "content", F.coalesce("error", F.when(F.col("content").isNull(), F.lit("not found"))).alias("error"))
+
+
+def _escaped(path: str) -> str:
+    """A path whose special characters stand for themselves; Spark's readers take patterns."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
 
 
 def labelled_batch(spark: SparkSession, entries: list[tuple[str | None, str]]) -> DataFrame:
