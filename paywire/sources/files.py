@@ -73,11 +73,23 @@ def labelled_batch(spark: SparkSession, entries: list[tuple[str | None, str]]) -
 
 
 def json_message(text: Column) -> Column:
-    """struct<mti, fields> of `{"mti": ..., "fields": {"n": "text" | "hex:.." | {"hex": ".."}}}`, ready to build."""
-    m = F.from_json(text, "mti string, fields map<string,string>")
-    value = lambda v: F.when(v.startswith("{"), from_hex(F.get_json_object(v, "$.hex"))).when(v.startswith("hex:"), from_hex(F.substring(v, F.lit(5), F.length(v)))).otherwise(F.encode(v, "UTF-8"))
-    fields = F.transform(F.map_entries(m["fields"]), lambda e: F.struct(e["key"].try_cast("int").alias("number"), value(e["value"]).alias("value")))
-    return F.struct(m["mti"].alias("mti"), fields.alias("fields"))
+    """struct<mti, fields> of `{"mti": ..., "fields": {"n": "text" | "hex:.." | {"hex": ".."}}}`, ready to build.
+
+    A value of another shape (a number, a list, an object with anything else), and hex that is none, is NULL, which
+    building takes for an error; so is a type or a field number that is none.  Text that isn't such JSON has NULL for both.
+    """
+    whole = F.try_parse_json(text)
+    mti = F.when(F.schema_of_variant(F.try_variant_get(whole, "$.mti", "variant")) == "STRING", F.try_variant_get(whole, "$.mti", "string"))
+
+    def value(v: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "string")
+        by_kind = F.when(F.schema_of_variant(v) == "OBJECT<hex: STRING>", from_hex(F.try_variant_get(v, "$.hex", "string")))
+        as_text = F.when(plain.startswith("hex:"), from_hex(F.substring(plain, F.lit(5), F.length(plain)))).otherwise(F.encode(plain, "UTF-8"))
+        return F.when(F.schema_of_variant(v) == "STRING", as_text).otherwise(by_kind)
+
+    fields = F.try_variant_get(whole, "$.fields", "map<string,variant>")
+    listed = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].try_cast("int").alias("number"), value(e["value"]).alias("value")))
+    return F.struct(mti.alias("mti"), listed.alias("fields"))
 
 
 # The marks of a dump trace.

@@ -59,3 +59,15 @@ def test_pairs_without_a_side(spark):
     right = spark.createDataFrame([(2, "<x>"), (3, "<x>")], "k int, xml string")
     got = {r["k"]: r["error"] for r in mtmx.diff(mtmx.pair(left, right, ["k"], "mt", "xml"), ["k"], "mt", "xml").collect()}
     assert got == {1: "MissingMx", 2: "MalformedXml", 3: "MissingMt"}
+
+
+def test_json_values_of_other_shapes(spark):
+    """Text that looks like JSON stays text; numbers, lists and other objects are NULL values, wrong hex and types too."""
+    value = lambda v: '{"mti": "0200", "fields": {"48": ' + v + "}}"
+    cases = {'"{not json"': b"{not json", '"[1]"': b"[1]", '"hex:4a4B"': b"JK", '{"hex": "4a"}': b"J", "12": None, "1.5": None, "true": None, "null": None, "[\"a\"]": None, "{}": None, '{"hex": 12}': None, '{"hex": "4a", "x": 1}': None, '{"hex": {"hex": "4a"}}': None, '"hex:4"': None, '{"hex": "zz"}': None, '"é"': "é".encode()}
+    rows = spark.createDataFrame([(k, value(k)) for k in cases], "k string, t string")
+    got = {r["k"]: r["j"]["fields"][0]["value"] for r in rows.select("k", files.json_message(F.col("t")).alias("j")).collect()}
+    assert {k: v and bytes(v) for k, v in got.items()} == cases
+    odd = ["", None, "[]", "{", '{"mti": 200}', '{"mti": "0200", "fields": []}', '{"mti": "0200", "fields": {"3": "1", "3": "2"}}']
+    got = [r["j"] for r in spark.createDataFrame([(t,) for t in odd], "t string").select(files.json_message(F.col("t")).alias("j")).collect()]
+    assert [x["mti"] for x in got] == [None, None, None, None, None, "0200", None] and all(x["fields"] is None for x in got)
