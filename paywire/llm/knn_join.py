@@ -43,6 +43,7 @@ SAMPLE_ROWS = 8_192
 MAX_PIVOTS = 256
 CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 8_192
 GROUP_QUERIES = 1_000
+MAX_BROADCAST = 500_000  # rows (chunk, cell) of 12 bytes; with more, they are merged with the query groups instead
 EXACT = 2.0**53
 
 
@@ -248,9 +249,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "id", ve
     def groups(queries: DataFrame) -> DataFrame:
         return _packed(_by_cell(queries.select("cell", "tag", "id", "v", "floor"), counts, group_queries), width, group_queries, "knn-queries")
 
+    homes = chunks.select("block", F.col("cell").alias("to"))
+    homes = F.broadcast(homes) if homes.count() <= MAX_BROADCAST else homes.hint("merge")
+
     def sent(queries: DataFrame) -> DataFrame:
         """block (of chunks) and the query group that must see it; queries: to (cell) and a group's columns."""
-        homes = chunks.select("block", F.col("cell").alias("to"))
         return queries.select("to", F.col("tags").alias("q_tags"), F.col("floors").alias("q_floors"), F.col("matrix").alias("q_matrix")).join(homes, "to").drop("to")
 
     shared = spark.sparkContext.broadcast(cells)
