@@ -18,8 +18,8 @@ A word without a count takes the class's one unseen share, D * (V_class + 1) /
 n1 / (n1 + 2 * n2) over the corpus.  Baum-Welch starts from states drawn around the
 corpus's class shares and makes up to `passes` passes over all training documents, until
 a pass raises the likelihood by less than `settled` of itself.  In a pass each task sums its
-expected counts and sends those of the classes it met, cut into segments; they are added up in two
-steps, first by segment and a share of the tasks, so that no task gets more than about the square root of
+expected counts and sends those of the classes it met, cut into segments; those of over `ONE_STEP` tasks are added
+up in two steps, first by segment and a share of the tasks, so that no task gets more than about the square root of
 the number of tasks, then by segment.  Only the new parameters reach the driver.  Scores come from the scaled forward recursion.
 
 Defined results: NULL counts as the empty text, whose only token is the end;
@@ -49,6 +49,7 @@ from paywire.llm.common import LOWER_TABLE, arrow_batches, bucket_count, buckete
 
 CLASSES, STATES, SEGMENTS = 1 << 15, 8, 64
 SEGMENT = CLASSES // SEGMENTS
+ONE_STEP = 256  # tasks whose sums are added up in one step: 16 KB each a segment
 BLOCK_TOKENS, BLOCK_BYTES = 2_000_000, 24 << 20
 TRAIN_CUT = 1_000
 BATCH_TOKENS = 500_000
@@ -163,15 +164,15 @@ def in_shares(parts: DataFrame, tasks: int, kind: str) -> DataFrame:
     """PARTS in double precision of one share for each segment, from those of `tasks` tasks: each share adds up about the square root of them."""
     shares = max(1, math.isqrt(tasks))
     few = parts.withColumn("share", F.pmod("share", F.lit(shares)))
-    return few.repartition(min(shares * SEGMENTS, 2_000), "share", "segment").sortWithinPartitions("share", "segment").mapInArrow(partial(_added, kind=kind), PARTS)
+    return few.repartition(min(4 * shares, 2_000), "share", "segment").sortWithinPartitions("share", "segment").mapInArrow(partial(_added, kind=kind), PARTS)
 
 
 def _summed(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
     """Sums by segment of PARTS rows, [SEGMENT, values]."""
     tasks = bucket_count(parts)
-    if tasks >= 9:
+    if tasks > ONE_STEP:
         parts, kind = in_shares(parts, tasks, kind), "<f8"
-    whole = parts.withColumn("share", F.lit(0)).repartition(SEGMENTS, "segment").mapInArrow(partial(_added, kind=kind), PARTS)
+    whole = parts.withColumn("share", F.lit(0)).repartition(16, "segment").mapInArrow(partial(_added, kind=kind), PARTS)
     out: dict[int, np.ndarray] = {}
     for r in whole.collect():
         at = np.frombuffer(r["at"], "<u2")
