@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywire.llm.blocks import PLACE_SHIFT, blocks_of, with_messages
+from paywire.llm.blocks import blocks_of, with_messages
 from paywire.llm.common import bucket_count, lower_ascii, saved
 
 ARITY_BITS = 3  # eight siblings
