@@ -159,7 +159,7 @@ def damaged_logs():
     return {"whole": whole, "wrong": bytes(wrong), "huge": huge, "payload": whole[:-1], "header": whole + b"\1\2\3", "magic": b"nothing here", "short": b"WF", "none": log.MAGIC, "zero": b""}
 
 
-@pytest.mark.parametrize("split", [1, 50, 1000, 1 << 20])
+@pytest.mark.parametrize("split", [2_000, 1 << 20])
 def test_split_log_equals_the_whole(spark, tmp_path, split):
     for name, data in damaged_logs().items():
         (tmp_path / name).write_bytes(data)
