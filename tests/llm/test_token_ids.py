@@ -26,6 +26,37 @@ def test_memo_equals_library(text):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == LIBRARY[key].encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from("stremvldaS'  \n\t\r\x0b\x0c19.,-|_~@[`{/:×÷ÀÖØÞßöøÿéÉªµ²"), max_size=40).map("".join))
+def test_plain_texts_equal_library(text):
+    for key, e in ENCODERS.items():
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == LIBRARY[key].encode(text, add_special_tokens=False).ids
+
+
+def test_frequent_parts_stay_in_the_memo():
+    """And a piece that is known costs nothing more with punctuation behind it."""
+    for path in (BYTES, WORDS):
+        e, asked = Encoder(path, max_chunks=40), []
+        model = e.model
+        e.model = lambda piece, asked=asked, model=model: asked.append(piece) or model(piece)
+        word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+        for i in range(0, 2000, 8):
+            e.encode(" often " + " ".join(map(word, range(i, i + 8))) + " often. often, often")
+        assert sum("often" in p for p in asked) == 1
+        assert len(asked) <= 2000 + 2 + 250  # each other word once, with a space before it or not
+
+
+def test_memo_is_bounded_within_a_text():
+    for path in (BYTES, WORDS):
+        e = Encoder(path, max_chunks=50)
+        text = " ".join(f"w{i} é{i} 日{i} " + "x" * (65 + i % 7) for i in range(500))
+        for own in (text, text.replace("日", "e")):
+            ids = np.frombuffer(e.encode(own), "<u2").tolist()
+            assert ids == LIBRARY[path, False].encode(own, add_special_tokens=False).ids
+            assert len(e.memo) + len(e.memo.older) <= 50
+            assert max(map(len, [*e.memo, *e.memo.older])) <= 64
+
+
 def test_control_strings():
     ids = lambda p, special: np.frombuffer(ENCODERS[p, special].encode("a<|endoftext|>b"), "<u2").tolist()
     assert ids(BYTES, False) == [64, 50256, 65] and 50256 not in ids(BYTES, True)
