@@ -28,10 +28,12 @@ _LETTERS = "À-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[ -~{_LETTERS}]+").fullmatch
 _ODD = re.compile(f"[^\t-\r -~{_LETTERS}]").search
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII).findall
-#: The published byte-level pre-tokeniser's pattern, and what it comes to on plain characters.
+#: The two published pre-tokenisers' patterns, and what they come to on plain characters.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ON_PLAIN = {
     _BYTE_LEVEL: rf" ?[A-Za-z{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\s+(?!\S)|\s+",
+    _WORDS: rf"[A-Za-z{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{{-~]+",
 }
 
 
@@ -127,7 +129,7 @@ class Encoder:
         if self.pieces is None:
             return self.whole(text)
         if not _ODD(text):
-            parts = self.pieces(text)
+            parts = self.pieces(text.lower() if self.lower else text)
         elif _OTHER_SPACE(text):
             return self.whole(text)
         else:

@@ -46,6 +46,15 @@ def test_frequent_parts_stay_in_the_memo():
         assert len(asked) <= 2000 + 2 + 250  # each other word once, with a space before it or not
 
 
+def test_case_takes_no_entry_of_its_own():
+    e, asked = Encoder(WORDS), []
+    model = e.model
+    e.model = lambda piece: asked.append(piece) or model(piece)
+    text = "Often often, OFTEN. Été été; ÉTÉ's often's"
+    assert np.frombuffer(e.encode(text), "<u2").tolist() == LIBRARY[WORDS, False].encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(e.memo) == 6  # often, été, 's and three marks
+
+
 def test_memo_is_bounded_within_a_text():
     for path in (BYTES, WORDS):
         e = Encoder(path, max_chunks=50)
