@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,36 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from paywire.llm.common import arrow_batches, free_memory, saved
 
+if TYPE_CHECKING:
+    from paywire.llm.tokens import Encoder
+
 PIECES = "piece int, start long, length long, ids binary"
+BATCH_IDS = 250_000  # in an Arrow batch: 1 MB, which the worker and the JVM hold a few times
+
+
+def _cut(batches: Iterator[pa.RecordBatch], enc: Encoder, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """doc_id and PIECES of each row (id, text), in batches of about `BATCH_IDS` ids however long the texts are."""
+    end = end_id.to_bytes(enc.width, "little")
+    out, held = [], 0
+
+    def done(key_type: pa.DataType) -> pa.RecordBatch:
+        types = [key_type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = np.frombuffer(enc.encode(text.as_py()) + end, f"<u{enc.width}").astype("<u4")
+            at, n = 0, len(ids) % capacity or capacity
+            for piece in range(-(-len(ids) // capacity)):
+                out.append((key, piece, at, n, ids[at : at + n].tobytes()))
+                held += n
+                at, n = at + n, capacity
+                if held >= BATCH_IDS:
+                    yield done(batch.schema.field(0).type)
+                    out, held = [], 0
+        if out:
+            yield done(batch.schema.field(0).type)
+            out, held = [], 0
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
@@ -39,24 +69,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
         from paywire.llm.tokens import encoder
 
         free_memory(keep="tokens")
-        enc = encoder(vocabulary, special_as_text)
-        end = end_id.to_bytes(enc.width, "little")
-        names = ["doc_id", "piece", "start", "length", "ids"]
-        for batch in batches:
-            out, held = [], 0
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, f"<u{enc.width}").astype("<u4")
-                at, n = 0, len(ids) % capacity or capacity
-                for piece in range(-(-len(ids) // capacity)):
-                    out.append((key, piece, at, n, ids[at : at + n].tobytes()))
-                    at, n = at + n, capacity
-                held += len(ids)
-                if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        yield from _cut(batches, encoder(vocabulary, special_as_text), end_id, capacity)
+        free_memory(keep="tokens")  # an idle worker keeps its memo, not the batches' memory
 
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL(PIECES).fields])
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)

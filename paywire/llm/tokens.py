@@ -13,6 +13,7 @@ is ordinary text, so no document can put a control token among its ids.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 
@@ -138,7 +139,15 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
-MEMOS["tokens"] = _ENCODERS.clear
+
+
+def _forget() -> None:
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()  # an encoder and its memo refer to each other, so the memory stays without
+
+
+MEMOS["tokens"] = _forget
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:

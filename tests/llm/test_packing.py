@@ -1,14 +1,17 @@
+import gc
 import itertools
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from paywire.llm import packing
+from paywire.llm import common, packing, tokens
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -121,3 +124,38 @@ def test_very_long_text(spark):
     n = len(Tokenizer.from_file(BYTES).encode("word and word " * 40_000, add_special_tokens=False).ids) + 1
     rows = [r for r in packing.pack(docs, BYTES).collect() if r["doc_id"] == 1]
     assert sum(r["length"] for r in rows) == n and len(rows) == -(-n // 2048)
+
+
+def test_a_long_text_goes_on_in_small_batches(spark):
+    """The function that a task runs, on one text of 600,000 ids: what it holds at once doesn't grow with the text."""
+
+    class Rows:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, cut, _: cut
+
+    text = "word and word " * 200_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": [text, "x"]})
+    made = list(packing.pieces(Rows(), BYTES)(iter([batch])))
+    assert max(b.nbytes for b in made) < 1_500_000 and len(made) > 1
+    rows = pa.Table.from_batches(made).to_pylist()
+    ids = tokens.encoder(BYTES).encode(text)
+    want = np.append(np.frombuffer(ids, "<u2"), 0).astype("<u4").tobytes()
+    assert b"".join(r["ids"] for r in rows if r["doc_id"] == 1) == want and [r["piece"] for r in rows if r["doc_id"] == 2] == [0]
+    at = 0
+    for r in rows[:-1]:
+        assert r["start"] == at and r["length"] == len(r["ids"]) // 4
+        at += r["length"]
+
+
+def test_other_operators_get_the_encoders_memory():
+    enc = tokens.encoder(BYTES)
+    enc.encode("some words")
+    gone = weakref.ref(enc)
+    del enc
+    gc.disable()
+    try:
+        common.free_memory()
+        assert gone() is None
+    finally:
+        gc.enable()
