@@ -172,6 +172,20 @@ def build(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: F
     return built(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
 
 
+def wire(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: FieldSpec = FieldSpec()) -> Column:
+    """The bytes that `build` makes, NULL where it has an error.
+
+    Not being a field of a struct, they go on to a parser in the same Python worker where nothing else reads them.
+    """
+    table = spec.by_number()
+
+    @F.arrow_udf("binary")
+    def made(mtis: pa.Array, lists: pa.Array, dialects: pa.Array) -> pa.Array:
+        return _built(mtis, lists, dialects, [table] * len(mtis)).field("wire")
+
+    return made(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
+
+
 def field(message: Column, number: int) -> Column:
     """Value of a field, NULL where absent."""
     return F.get(F.filter(message["fields"], lambda f: f["number"] == number), 0)["value"]
@@ -180,7 +194,8 @@ def field(message: Column, number: int) -> Column:
 def long_view(df: DataFrame, message: str, keys: list[str]) -> DataFrame:
     """keys, number, value: one row a field, the type as field 0."""
     all_fields = F.concat(F.array(F.struct(F.lit(0).alias("number"), F.encode(F.col(message)["mti"], "US-ASCII").alias("value"))), F.col(message)["fields"])
-    return df.where(F.col(message)["error"].isNull()).select(*keys, F.explode(all_fields).alias("_f")).select(*keys, "_f.number", "_f.value")
+    good = F.when(F.col(message)["error"].isNull(), all_fields)  # a filter would be moved below the parser, which would then run twice
+    return df.select(*keys, F.explode(good).alias("_f")).select(*keys, "_f.number", "_f.value")
 
 
 def message_view(df: DataFrame, message: str, keys: list[str], spec: FieldSpec = FieldSpec()) -> DataFrame:

@@ -55,7 +55,7 @@ def iso_wires(spark: SparkSession, sf_dir: str, migrated: bool = False, dialect:
     orders = table(spark, sf_dir, "orders")
     rows = orders.select("o_orderkey", order_fields(migrated).alias("f"))
     which = F.element_at(F.array(*(F.lit(d) for d in iso8583.DIALECTS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return rows.select("o_orderkey", iso8583.build(F.lit("0210"), F.col("f"), dialect or which)["wire"].alias("wire"))
+    return rows.select("o_orderkey", iso8583.wire(F.lit("0210"), F.col("f"), dialect or which).alias("wire"))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     request = F.array(F.struct(F.lit(3).alias("number"), _text(F.lit("000000")).alias("value")))
     rows = orders.select("o_orderkey", order_fields().alias("l"), order_fields(True).alias("m"))
-    wire = lambda mti, f, d: iso8583.build(F.lit(mti), f, d)["wire"]
+    wire = lambda mti, f, d: iso8583.wire(F.lit(mti), f, d)
     return rows.select("o_orderkey", wire("0200", request, "hybrid").alias("request"), wire("0210", F.col("l"), "hybrid").alias("legacy"), wire("0210", F.col("m"), F.when(F.col("o_orderkey") % 3 == 0, "binary").otherwise("hybrid")).alias("migrated"))
 
 

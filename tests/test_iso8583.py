@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from paywire import queries
 from paywire.operators import iso8583 as iso
 from paywire.operators.fieldspec import Definition, FieldSpec
 
@@ -92,3 +93,17 @@ def test_specs(spark):
     view = iso.message_view(df.select(F.lit(1).alias("k"), iso.sniff(F.unhex("h")).alias("m")), "m", ["k"]).orderBy("number").collect()
     assert [(r["number"], r["name"], r["value_text"]) for r in view] == [(0, None, "0200"), (3, "Processing Code", "000000"), (4, "Amount, Transaction", "000000010000")]
     assert df.select(iso.decode_mti(F.lit("0210")).alias("m")).first()["m"].asDict() == {"version": "ISO 8583:1987", "class": "Financial", "function": "Request response", "origin": "Acquirer"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lost_keys_are_joined_without_a_broadcast_and_parsed_once(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id o_orderkey", "id * 7 o_custkey", "'F' o_orderstatus", "id + 0.5d o_totalprice", "timestamp '2026-01-02 03:04:05' o_orderdate", "'1-URGENT' o_orderpriority")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    lost = queries.QUERIES["conformance_lost_keys"](spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(lost) and plan_of(lost).count("parsed(") == 2
+    assert sorted(map(tuple, lost.collect())) == [(0, 41), (17, 41), (34, 41)]
+    damaged = rows.select("o_orderkey", iso.parse(F.when(F.col("o_orderkey") > 0, F.unhex(F.lit(VECTORS[0][1]))), "hybrid").alias("m"))
+    assert iso.long_view(damaged.union(damaged.limit(0)), "m", ["o_orderkey"]).count() == 49
