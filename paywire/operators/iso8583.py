@@ -59,10 +59,21 @@ def bitmap_without(numbers: Column, number: Column) -> Column:
     return F.filter(numbers, lambda n: n != number)
 
 
+def _plain(values: pa.Array) -> list:
+    """values.to_pylist(), for numbers and bytes without NULLs by whole buffers: taking values one by one is half of the time of `_built`."""
+    if values.null_count or not len(values) or not (pa.types.is_binary(values.type) or pa.types.is_integer(values.type)):
+        return values.to_pylist()
+    if pa.types.is_integer(values.type):
+        return values.to_numpy().tolist()
+    ends = pa.Array.from_buffers(pa.int32(), len(values) + 1, [None, values.buffers()[1]], offset=values.offset).to_numpy().tolist()
+    data = values.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    return [data[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
+
+
 def _messages(wires: pa.Array, read) -> pa.Array:
     """MESSAGE of each value by read(bytes) -> dialect, type, fields."""
     mti, dialect, errors, numbers, values, ends, null = [], [], [], [], [], [0], []
-    for wire in wires.to_pylist():
+    for wire in _plain(wires):
         null.append(wire is None)
         try:
             d, m, fields = read(wire) if wire is not None else (None, None, ())
@@ -106,9 +117,9 @@ def sniff(wire: Column, spec: FieldSpec = FieldSpec()) -> Column:
 
 
 def _built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array, tables: list[list | None]) -> pa.Array:
-    ends = lists.offsets.to_pylist()
+    ends = _plain(lists.offsets)
     flat = lists.values
-    numbers, values = flat.field("number").to_pylist(), flat.field("value").to_pylist()
+    numbers, values = _plain(flat.field("number")), _plain(flat.field("value"))
     wires, errors, missing = [], [], lists.is_null().to_pylist()
     for i, (m, d, table) in enumerate(zip(mtis.to_pylist(), dialects.to_pylist(), tables, strict=True)):
         own = slice(0, 0) if missing[i] else slice(ends[i], ends[i + 1])

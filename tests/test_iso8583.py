@@ -1,7 +1,11 @@
+import gc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paywire import queries
+from paywire.functions import wire as rows
 from paywire.operators import iso8583 as iso
 from paywire.operators.fieldspec import Definition, FieldSpec
 
@@ -107,3 +111,22 @@ def test_lost_keys_are_joined_without_a_broadcast_and_parsed_once(spark, tmp_pat
     assert sorted(map(tuple, lost.collect())) == [(0, 41), (17, 41), (34, 41)]
     damaged = rows.select("o_orderkey", iso.parse(F.when(F.col("o_orderkey") > 0, F.unhex(F.lit(VECTORS[0][1]))), "hybrid").alias("m"))
     assert iso.long_view(damaged.union(damaged.limit(0)), "m", ["o_orderkey"]).count() == 49
+
+
+def test_sniffed_batches_leave_nothing_behind():
+    """An exception kept in a variable of the frame that caught it held the whole batch until a full collection."""
+    table = FieldSpec().by_number()
+    wires = pa.array([bytes.fromhex(h) for d, h, *_ in VECTORS + FAULTS if d != "hybrid"] * 20)
+    gc.collect()
+    gc.disable()
+    try:
+        iso._messages(wires, lambda data: rows.sniff(data, table))
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_values_taken_by_whole_buffers():
+    values = pa.array([b"x", b"", b"abc", b"zz"])
+    for a in (values, values[1:], values[1:3], values[:0], pa.array([b"", b""]), pa.array([None, b"x"]), pa.array([1, 2, 3], pa.int32())[1:], pa.array([None, 2]), values.cast(pa.large_binary())):
+        assert iso._plain(a) == a.to_pylist()
