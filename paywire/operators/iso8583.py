@@ -197,6 +197,30 @@ def wire(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: Fi
     return made(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
 
 
+def build_read(mti: Column, fields: Column, dialect: str | Column = "hybrid", spec: FieldSpec = FieldSpec()) -> Column:
+    """`build` with read_back boolean: the dialect's parser takes the bytes and finds the same fields; NULL where there are no bytes."""
+    table = spec.by_number()
+
+    def same(data: bytes | None, dialect: str, fields: list[tuple[int, bytes]]) -> bool | None:
+        try:
+            return None if data is None else rows.parse(data, dialect, table)[1] == fields
+        except rows.Bad:
+            return False
+
+    @F.arrow_udf(f"struct<wire:binary,error:{ERROR},read_back:boolean>")
+    def built(mtis: pa.Array, lists: pa.Array, dialects: pa.Array) -> pa.Array:
+        made = _built(mtis, lists, dialects, [table] * len(mtis))
+        ends, flat = _plain(lists.offsets), lists.values
+        pairs = list(zip(_plain(flat.field("number")), _plain(flat.field("value")), strict=True))
+        wires = made.field("wire")
+        given = [[] if null else pairs[ends[i] : ends[i + 1]] for i, null in enumerate(lists.is_null().to_pylist())]
+        read = list(map(same, _plain(wires), dialects.to_pylist(), given))
+        kinds = [pa.field("wire", pa.binary()), pa.field("error", _ERROR), pa.field("read_back", pa.bool_())]
+        return pa.StructArray.from_arrays([wires, made.field("error"), pa.array(read, pa.bool_())], fields=kinds)
+
+    return built(mti, fields.cast(FIELDS), dialect if isinstance(dialect, Column) else F.lit(dialect))
+
+
 def field(message: Column, number: int) -> Column:
     """Value of a field, NULL where absent."""
     return F.get(F.filter(message["fields"], lambda f: f["number"] == number), 0)["value"]

@@ -43,8 +43,7 @@ def sanitize(df: DataFrame, keys: list[str], wire: str, acceptor: dict[int, str]
     parsed = df.select(*keys, F.col(wire).alias("_w"), iso8583.sniff(F.col(wire)).alias("_m"))
     m = F.col("_m")
     masked = parsed.withColumn("_f", F.transform(m["fields"], lambda f: F.struct(f["number"].alias("number"), masked_field(f["number"], f["value"], acceptor).alias("value"))))
-    built = masked.withColumn("_b", iso8583.build(m["mti"], F.col("_f"), m["dialect"]))
-    again = built.withColumn("_a", iso8583.parse_any_of(F.col("_b.wire"), m["dialect"]))
+    built = masked.withColumn("_b", iso8583.build_read(m["mti"], F.col("_f"), m["dialect"]))
     touched = F.transform(F.filter(F.arrays_zip(m["fields"].alias("old"), F.col("_f").alias("new")), lambda x: x["old"]["value"] != x["new"]["value"]), lambda x: x["old"]["number"])
     pan = iso8583.field(m, 2)
     error = (
@@ -53,9 +52,9 @@ def sanitize(df: DataFrame, keys: list[str], wire: str, acceptor: dict[int, str]
         .when((m["dialect"] == "binary") & pan.isNotNull(), F.lit("PackedAccountNumber"))
         .when(F.col("_b.error").isNotNull(), F.col("_b.error.code"))
         .when(F.octet_length("_b.wire") != F.octet_length("_w"), F.lit("LengthChanged"))
-        .when(F.col("_a.error").isNotNull() | (F.col("_a.fields") != F.col("_f")), F.lit("NotReadBack"))
+        .when(~F.col("_b.read_back"), F.lit("NotReadBack"))
     )
-    out = again.select(*keys, error.alias("error"), F.col("_b.wire").alias("wire"), m["dialect"].alias("dialect"), touched.alias("touched"), F.decode(pan, "ISO-8859-1").alias("_pan"))
+    out = built.select(*keys, error.alias("error"), F.col("_b.wire").alias("wire"), m["dialect"].alias("dialect"), touched.alias("touched"), F.decode(pan, "ISO-8859-1").alias("_pan"))
     ok = F.col("error").isNull()
     size = F.when(F.array_contains("touched", 2), anonymity(F.col("_pan"))).otherwise(F.lit(0).cast("long"))
     only = lambda c: F.when(ok, c)
