@@ -156,8 +156,11 @@ def bucketed_view(view: DataFrame, keys: list[str], table: str, buckets: int, pa
 
 
 def field_rows(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, field, mask, verdict, reason, counted: one row a field."""
-    flat = diffs.select(*keys, F.explode("rows").alias("_r"))
+    """keys, field, mask, verdict, reason, counted: one row a field.
+
+    A plain explode would have Spark look for empty arrays first, below the parsers, which would then all run twice.
+    """
+    flat = diffs.select(*keys, F.explode_outer("rows").alias("_r")).where("_r is not null")
     return flat.select(*keys, F.col("_r.field").alias("field"), F.col("_r.mask").alias("mask"), F.col("_r.v.verdict").alias("verdict"), F.col("_r.v.reason").alias("reason"), F.col("_r.counted").alias("counted"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paywire import queries
 from paywire.functions import wire as rows
+from paywire.operators import conformance as conf
 from paywire.operators import iso8583 as iso
 from paywire.operators.fieldspec import Definition, FieldSpec
 
@@ -145,3 +146,12 @@ def test_redaction_builds_and_reads_back_in_one_step(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     done = queries.QUERIES["redact_refusals"](spark, str(tmp_path))
     assert plan_of(done).count("ArrowEvalPython") == 2 and sorted(map(tuple, done.collect())) == [("PackedAccountNumber", 2), ("ok", 4)]
+
+
+def test_fields_of_a_diff_are_parsed_once(spark, tmp_path):
+    orders = spark.range(6).selectExpr("id o_orderkey", "id * 7 o_custkey", "'F' o_orderstatus", "id + 0.5d o_totalprice", "timestamp '2026-01-02 03:04:05' o_orderdate", "'1-URGENT' o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    fields = queries.QUERIES["conformance_fields"](spark, str(tmp_path))
+    assert plan_of(fields).count("ArrowEvalPython") == 1 and fields.count() == 6 * 11 + 2
+    none = spark.createDataFrame([(1, []), (2, None)], f"k int, rows {conf.ROWS}")
+    assert conf.field_rows(none, ["k"]).count() == 0
