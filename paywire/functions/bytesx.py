@@ -50,15 +50,15 @@ def hexdump(data: Column, cap: int = 4096) -> Column:
     """Rows of 16 bytes in two halves with an ASCII gutter; a last line tells what is over `cap`."""
     shown = F.substring(data, 1, cap)
     n = F.octet_length(shown)
-
-    def line(at: Column) -> Column:
-        part = F.hex(F.substring(shown, at + 1, F.lit(16)))
-        pairs = F.regexp_extract_all(F.lower(part), F.lit("(..)"), F.lit(1))
-        left, right = F.array_join(F.slice(pairs, 1, 8), " "), F.array_join(F.slice(pairs, 9, 8), " ")
-        gutter = F.array_join(F.transform(pairs, lambda p: F.when(p.rlike("^([2-6].|7[0-9a-e])$"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.lit("."))), "")
-        return F.concat(F.lpad(F.lower(F.hex(at)), 8, "0"), F.lit("  "), F.rpad(left, 23, " "), F.lit("  "), F.rpad(right, 23, " "), F.lit("  |"), gutter, F.lit("|"))
-
-    rows = F.array_join(F.transform(F.sequence(F.lit(0), n - 1, F.lit(16)), line), "\n")
+    width = 32 * F.ceil(n / 16).cast("int")
+    # Each of these goes over the whole value once: 16 pairs of digits (or of blanks, at the end) a line, and 16 characters of the gutter.
+    eight = lambda k: " ".join(f"${i}" for i in range(k, k + 8))
+    bodies = F.split(F.regexp_replace(F.rpad(F.lower(F.hex(shown)), width, " "), F.lit("(..)" * 16), F.lit(f"{eight(1)}  {eight(9)}\n")), "\n")
+    gutters = F.regexp_extract_all(F.regexp_replace(F.decode(shown, "ISO-8859-1"), "[^ -~]", "."), F.lit(".{1,16}"), F.lit(0))
+    joined = lambda g: F.array_join(
+        F.transform(F.slice(bodies, 1, F.size(g)), lambda body, i: F.concat(F.lpad(F.lower(F.hex(16 * i)), 8, "0"), F.lit("  "), body, F.lit("  |"), F.get(g, i), F.lit("|"))), "\n"
+    )
+    rows = F.element_at(F.transform(F.array(gutters), joined), 1)  # bound: an expression would be made again for each line
     more = F.octet_length(data) - n
     tail = F.when(more > 0, F.concat(F.lit("\n... "), more.cast("string"), F.lit(" more bytes"))).otherwise(F.lit(""))
     return F.when(n == 0, F.lit("")).otherwise(F.concat(rows, tail))

@@ -1,6 +1,7 @@
 """Encodings, digests, ciphers, frames, traces and logs."""
 
 import hashlib
+import time
 import zlib
 
 import pytest
@@ -121,6 +122,21 @@ def test_dumps_of_whole_texts(spark, tmp_path):
     assert got == {i: (None, None) if t is None else (dump(t.encode()), " ".join(t.split())) for i, t in enumerate(texts)}
 
 
+def test_a_long_dump_takes_no_longer_than_its_bytes_in_many(spark):
+    """Each line once encoded its whole text again: the time grew with the square of a text."""
+
+    def took(rows: int, words: int) -> float:
+        texts = spark.range(rows).select(F.repeat(F.lit("word \u00e9\n\x7f|"), words).alias("t")).repartition(1).cache()
+        texts.count()
+        began = time.perf_counter()
+        n = texts.select(F.sum(F.length(bytesx.hexdump(F.encode("t", "UTF-8"), 2**31 - 1)))).first()[0]
+        assert n == rows * (79 * (10 * words // 16) - 1)
+        return time.perf_counter() - began
+
+    took(64, 160)
+    assert took(1, 160 * 320) < 4 * took(320, 160) + 1
+
+
 def test_logs_stay_of_one_size(spark):
     rows = [("big", i, bytes([i % 256]) * 92) for i in range(2000)] + [("small", 7, b"x")]
     made = log.log_files(spark.createDataFrame(rows, "f string, o int, p binary"), "f", "o", "p", segment_bytes=10_000)
