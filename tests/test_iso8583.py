@@ -155,3 +155,17 @@ def test_fields_of_a_diff_are_parsed_once(spark, tmp_path):
     assert plan_of(fields).count("ArrowEvalPython") == 1 and fields.count() == 6 * 11 + 2
     none = spark.createDataFrame([(1, []), (2, None)], f"k int, rows {conf.ROWS}")
     assert conf.field_rows(none, ["k"]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def six_orders(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("orders"))
+    orders = spark.range(1, 7).selectExpr("id o_orderkey", "id * 7 o_custkey", "'F' o_orderstatus", "id + 0.5d o_totalprice", "timestamp '2026-01-02 03:04:05' o_orderdate", "'1-URGENT' o_orderpriority")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def test_coverage_builds_and_reads_in_one_worker(spark, six_orders):
+    found = queries.QUERIES["conformance_coverage"](spark, six_orders)
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [(k, 8 + (k == 5), 8 + (k == 5), 100, 0) for k in range(1, 7)]
