@@ -169,3 +169,8 @@ def test_coverage_builds_and_reads_in_one_worker(spark, six_orders):
     found = queries.QUERIES["conformance_coverage"](spark, six_orders)
     assert plan_of(found).count("ArrowEvalPython") == 1
     assert sorted(map(tuple, found.collect())) == [(k, 8 + (k == 5), 8 + (k == 5), 100, 0) for k in range(1, 7)]
+
+
+def test_gate_builds_and_reads_in_one_worker(spark, six_orders):
+    found = queries.QUERIES["conformance_gate"](spark, six_orders)
+    assert plan_of(found).count("ArrowEvalPython") == 1 and [tuple(r) for r in found.collect()] == [(6, 0, 0, 0)]
