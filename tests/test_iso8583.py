@@ -9,6 +9,8 @@ from paywire.functions import wire as rows
 from paywire.operators import conformance as conf
 from paywire.operators import iso8583 as iso
 from paywire.operators.fieldspec import Definition, FieldSpec
+from paywire.operators.gates import Gate
+from paywire.plans import synth
 
 H = lambda text: text.encode().hex()
 VECTORS = [
@@ -174,3 +176,11 @@ def test_coverage_builds_and_reads_in_one_worker(spark, six_orders):
 def test_gate_builds_and_reads_in_one_worker(spark, six_orders):
     found = queries.QUERIES["conformance_gate"](spark, six_orders)
     assert plan_of(found).count("ArrowEvalPython") == 1 and [tuple(r) for r in found.collect()] == [(6, 0, 0, 0)]
+
+
+def test_watched_fields_are_parsed_once_in_one_worker(spark, six_orders):
+    """What conformance_gate_observed writes."""
+    gate = Gate(conf.gate_of)
+    fields = conf.field_rows(conf.watched(conf.wire_diffs(synth.captures(spark, six_orders), ["o_orderkey"], "request", "legacy", "migrated", queries.SPEC), gate), ["o_orderkey"])
+    assert plan_of(fields).count("ArrowEvalPython") == 1
+    assert fields.count() == 6 * 11 + 1 and gate.result() == {"inputs": 6, "drifted": 0, "errors": 0, "gate": 0}
